@@ -1,4 +1,8 @@
-"""Queries over the test tables."""
+"""All queries of the core over the test tables, and their SQL."""
 
-QUERIES = {}
-ORACLE = {}
+from __future__ import annotations
+
+from . import text_queries
+
+QUERIES = {**text_queries.QUERIES}
+ORACLE = {**text_queries.ORACLE}
