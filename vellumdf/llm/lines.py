@@ -140,17 +140,19 @@ class Lines:
         last = np.full(n_lines, -1)
         first[sl[::-1]] = solid[::-1]
         last[sl] = solid
-        open_end = solid[~np.isin(a[solid], _points(CLOSERS))]
+        open_end = solid[~_marks(CLOSERS)[np.minimum(a[solid], 0x10000)]]
         inner = last.copy()
         inner[line_of[open_end]] = open_end
         real = first >= 0
         # words
         wordy = (cls >= VOWEL) & (cls <= DIGIT) | (cls == UPPER_V) | (cls == UPPER_C)
-        ws = np.flatnonzero(wordy & ~np.concatenate(([False], wordy[:-1])))
+        new = wordy.copy()
+        new[1:] &= ~wordy[:-1]
+        ws = np.flatnonzero(new)
         if len(ws):
             at = np.flatnonzero(wordy)
-            wid = np.searchsorted(ws, at, side="right") - 1
-            h = np.add.reduceat(small[np.minimum(a[at], 0x10000)].astype(np.uint64) * _weights()[(at - ws[wid]) & 63], np.searchsorted(at, ws))
+            wid = np.cumsum(new)[at] - 1
+            h = np.add.reduceat(small[np.minimum(a[at], 0x10000)].astype(np.uint64) * _weights()[(at - ws[wid]) & 63], np.cumsum(wordy)[ws] - 1)
         else:
             h = np.zeros(0, np.uint64)
         wl = line_of[ws]
@@ -225,8 +227,8 @@ class Lines:
         k[np.isin(cls, (UPPER_V, UPPER_C))] = 1
         k[cls == DIGIT] = 2
         k[np.isin(cls, (SOFT, CLOSER, STOP))] = 3
-        k[np.isin(ch, _points(BULLETS))] = 4
-        k[np.isin(ch, _points(MARKUP))] = 5
+        k[_marks(BULLETS)[np.minimum(ch, 0x10000)]] = 4
+        k[_marks(MARKUP)[np.minimum(ch, 0x10000)]] = 5
         return k
 
     def bins(self) -> np.ndarray:
@@ -257,8 +259,11 @@ SIZES = [len(e) + 1 for e in EDGES.values()] + [5, 7, 2]
 
 
 @functools.cache
-def _points(chars: str) -> np.ndarray:
-    return np.array([ord(c) for c in chars], np.uint32)
+def _marks(chars: str) -> np.ndarray:
+    """Table of the basic plane: is it one of these characters."""
+    t = np.zeros(0x10001, bool)
+    t[[ord(c) for c in chars]] = True
+    return t
 
 
 @functools.cache

@@ -48,28 +48,31 @@ class Words:
         letter = _is_letter(cls)
         inner = np.zeros(len(a), bool)
         if len(a) > 2:
-            inner[1:-1] = letter[:-2] & letter[2:] & np.isin(a[1:-1], np.array([0x2019, 0x27, 0x2D], np.uint32))
+            b = a[1:-1]
+            inner[1:-1] = letter[:-2] & letter[2:] & ((b == 0x2019) | (b == 0x27) | (b == 0x2D))
         wordy = letter | inner
-        ws = np.flatnonzero(wordy & ~np.concatenate(([False], wordy[:-1])))
+        new = wordy.copy()
+        new[1:] &= ~wordy[:-1]
+        ws = np.flatnonzero(new)
         at = np.flatnonzero(letter)
-        wid = np.searchsorted(ws, at, side="right") - 1
+        wid = np.cumsum(new)[at] - 1
         self.start = ws
         self.letters = np.bincount(wid, minlength=len(ws))
         small = _folds()[1]
         h = small[np.minimum(a[at], 0x10000)].astype(np.uint64) * _weights()[(at - ws[wid]) & 63] if len(at) else np.zeros(0, np.uint64)
-        self.hash = np.add.reduceat(h, np.searchsorted(at, ws)) if len(ws) else np.zeros(0, np.uint64)
+        self.hash = np.add.reduceat(h, np.cumsum(letter)[ws] - 1) if len(ws) else np.zeros(0, np.uint64)
         zero = np.flatnonzero(a == 0)
         self.text = np.searchsorted(zero, ws)
         self.first = np.concatenate(([0], zero[:-1] + 1)) if len(zero) else zero
         latin = letter & ((a < 0x250) | (a >= 0x1E00) & (a < 0x1F00))
         cyrillic = letter & (a >= 0x400) & (a < 0x530)
-        text_of = np.searchsorted(zero, np.arange(len(a)))
+        text_of = np.repeat(np.arange(len(texts)), zero - self.first + 1)
         per = lambda m: np.bincount(text_of[m], minlength=len(texts))
         self.script = np.maximum(per(latin), per(cyrillic)) / np.maximum(per(letter), 1)
         self.count = np.bincount(self.text, minlength=len(texts))
         self.commas = per((a == 0x2C) | (a == 0x3B) | (a == 0x3A))
         self.clauses = per((a == 0x3B) | (a == 0x3A) | (a == 0x28) | (a == 0x2013) | (a == 0x2014) | (a == 0x2026))
-        self.quotes = per(np.isin(a, np.array([0x22, 0x201C, 0x201D, 0x201E, 0xAB, 0xBB], np.uint32)))
+        self.quotes = per((a == 0x22) | (a >= 0x201C) & (a <= 0x201E) | (a == 0xAB) | (a == 0xBB))
 
 
 def running_text(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -122,25 +125,21 @@ def measure(stored: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     f[:, 4] = per(w.letters) / one(words, 1)
     f[:, 5] = np.sqrt(one(per(w.letters.astype(float) ** 2) / one(words, 1) - f[:, 4] ** 2, 0))
     f[:, 6] = 100 * per(w.letters > 10) / one(words, 1)
-    # vocabulary: distinct words and words that occur once
-    o = np.lexsort((w.hash, w.text))
-    t, h = w.text[o], w.hash[o]
-    fresh = np.ones(len(o), bool)
-    fresh[1:] = (t[1:] != t[:-1]) | (h[1:] != h[:-1])
-    last = np.append(fresh[1:], True) if len(fresh) else fresh
-    f[:, 7] = np.bincount(t[fresh], minlength=n) / one(np.sqrt(words), 1)
-    f[:, 8] = np.bincount(t[fresh & last], minlength=n) / one(words, 1)
+    # vocabulary: distinct words of each text and words that occur once in it
+    _, kind, times = np.unique(w.hash + w.text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_inverse=True, return_counts=True)
+    where = np.zeros(len(times), np.int64)
+    where[kind] = w.text
+    f[:, 7] = np.bincount(where, minlength=n) / one(np.sqrt(words), 1)
+    f[:, 8] = np.bincount(where[times == 1], minlength=n) / one(words, 1)
     f[:, 9] = w.commas / one(n_sent, 1)
     f[:, 10] = w.clauses / one(n_sent, 1)
     f[:, 11] = w.quotes / one(n_sent, 1)
     # cohesion: words of more than three letters that the next sentence repeats
     big = (w.letters > 3) & (sent >= 0)
-    key = np.unique(np.stack((w.hash[big], sent[big].astype(np.uint64)), 1), axis=0)
-    again = (key[1:, 0] == key[:-1, 0]) & (key[1:, 1] == key[:-1, 1] + 1) if len(key) > 1 else np.zeros(0, bool)
-    if again.any():
-        a = key[1:][again][:, 1].astype(np.int64)
-        same = sent_text[a] == sent_text[a - 1]
-        f[:, 12] = np.bincount(sent_text[a[same]], minlength=n) / one(n_sent, 1)
+    width = len(starts) + 1
+    key = np.unique(kind[big].astype(np.int64) * width + sent[big])
+    again = key[1:][np.diff(key) == 1]
+    f[:, 12] = np.bincount(sent_text[again % width], minlength=n) / one(n_sent, 1)
     f[:, 13] = np.log1p(words)
     graded = ~no_prose & (whole.script > 0.5) & (whole.count >= LEAST_WORDS) & (words > 0) & (n_sent > 0)
     return f, f[:, 0] + f[:, 3], graded

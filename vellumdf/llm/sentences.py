@@ -142,14 +142,14 @@ def candidates(text: str) -> tuple[list[int], list[Bundle]]:
     what: list[Bundle] = []
     ascii_only = text.isascii()
     if not ascii_only:
-        thai = len(THAI.findall(text))
-        if thai * 2 > sum(map(str.isalpha, text)):
+        thai = len(THAI.findall(text)) if THAI.search(text) else 0
+        if thai and thai * 2 > sum(map(str.isalpha, text)):
             for m in BLANKS.finditer(text):
                 if 0 < m.start() and m.end() < len(text):
                     ends.append(m.start())
                     what.append(("blank", "-", "-", "-", "-"))
             return ends, what
-    greek = not ascii_only and len(GREEK.findall(text)) * 3 > len(text)
+    greek = not ascii_only and GREEK.search(text) is not None and len(GREEK.findall(text)) * 3 > len(text)
     n = len(text)
     last = 0
     for m in (CANDIDATE_GREEK if greek else CANDIDATE).finditer(text):
