@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import cut
 from .batches import map_texts
 from .lookalikes import skeletons
 
@@ -54,7 +55,7 @@ def look_alikes(sections: DataFrame) -> DataFrame:
     Values are paired variant by variant and expanded to rows afterwards: many
     copies of one stored value never meet each other.
     """
-    keys = skeleton_keys(sections)
+    keys = cut(skeleton_keys(sections))  # the texts are read once; from here on only hashes
     group = ["field_name", "look"]
     mixed = keys.groupBy(*group).agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).where("lo <> hi").select(*group)
     keys = keys.join(mixed, group, "left_semi")
