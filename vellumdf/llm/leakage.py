@@ -9,7 +9,8 @@ occur in the items are sorted; no other can match, so nothing is lost.
 Words are runs of letters or digits in consistent form without regard to case:
 each character is replaced by the representative of its case and look-alike
 variants.  Null and empty texts match nothing; an item of fewer than ``least``
-words can match nothing.
+words can match nothing.  Rows of one item_id are one item, a repeated document row
+is searched again.
 """
 
 from __future__ import annotations
@@ -158,9 +159,9 @@ def matches(items: Items, texts: list[str | None]) -> list[tuple[int, int, int,
         m = k
         while p + m < len(words) and q + m < len(items.words) and words[p + m] == items.words[q + m] != 0:
             m += 1
-        if m > best.get((t, o), (0, 0, 0))[0]:
-            best[t, o] = (m, p - int(starts[t]), q - int(items.first[o]))
-    return [(t, items.ids[o], *v) for (t, o), v in best.items()]
+        if m > best.get((t, items.ids[o]), (0, 0, 0))[0]:
+            best[t, items.ids[o]] = (m, p - int(starts[t]), q - int(items.first[o]))
+    return [(t, i, *v) for (t, i), v in best.items()]
 
 
 def leaked(documents: DataFrame, items: DataFrame, least: int = 10) -> DataFrame:

@@ -10,7 +10,8 @@ reduction tree until one is left of the source.
 
 A null text has no tokens and null sources belong to no target, but a null-source
 document counts into the size of all documents.  A source without documents
-reaches nothing.  Repeated rows count each.
+reaches nothing.  Repeated document rows count each, repeated target rows once;
+a target with a null share, ratio or limit wants or takes nothing.
 """
 
 from __future__ import annotations
@@ -41,11 +42,12 @@ def plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """One row a target: wanted and present tokens, the rate at which each document is taken, whether the target is out of reach."""
     present = sized.groupBy("source").agg(F.sum("tokens").alias("source_tokens"), F.count("*").alias("source_docs"))
     everything = sized.agg(F.sum("tokens").alias("all_tokens"))
+    targets = targets.select(*KEYS, "target_share", "max_repeats", "budget_ratio").distinct()
     p = targets.join(present, "source", "left").crossJoin(F.broadcast(everything))  # one row
     p = p.withColumn("source_tokens", F.coalesce("source_tokens", F.lit(0))).withColumn("source_docs", F.coalesce("source_docs", F.lit(0)))
-    p = p.withColumn("wanted_tokens", F.col("target_share") * F.col("budget_ratio") * F.coalesce("all_tokens", F.lit(0)))
-    p = p.withColumn("out_of_reach", F.col("source_tokens") * F.col("max_repeats") < F.col("wanted_tokens"))
-    rate = F.when(F.col("source_tokens") > 0, F.least(F.col("wanted_tokens") / F.col("source_tokens"), F.col("max_repeats").cast("double"))).otherwise(0.0)
+    p = p.withColumn("wanted_tokens", F.coalesce(F.col("target_share") * F.col("budget_ratio") * F.col("all_tokens"), F.lit(0.0)))
+    p = p.withColumn("out_of_reach", F.coalesce(F.col("source_tokens") * F.col("max_repeats") < F.col("wanted_tokens"), F.lit(False)))
+    rate = F.when(F.col("source_tokens") > 0, F.least(F.col("wanted_tokens") / F.col("source_tokens"), F.coalesce(F.col("max_repeats").cast("double"), F.lit(0.0)))).otherwise(0.0)
     return p.withColumn("rate", rate)
 
 

@@ -147,8 +147,11 @@ def _case_breaks(before: str, s: str) -> int:
     return n
 
 
-def _utf8_at(text: str, at: int, codec: str) -> tuple[int, str, int] | None:
-    """Longest stretch from ``at`` that is UTF-8 read under the code page: (end, restored, doubt)."""
+def _utf8_at(text: str, at: int, codec: str, sure: bool = False) -> tuple[int, str, int] | None:
+    """Longest stretch from ``at`` that is UTF-8 read under the code page: (end, restored, doubt).
+
+    ``sure``: the text has plain evidence of that code page elsewhere, so that two letters which stand alone count too.
+    """
     m = _rest_pattern(codec).match(text, at)
     if not m:
         return None
@@ -167,8 +170,10 @@ def _utf8_at(text: str, at: int, codec: str) -> tuple[int, str, int] | None:
     before, after = text[at - 1 : at], text[at + n : at + n + 1]
     stored = re.sub("[\x80-\x9f\xad]", "", text[at : at + n])
     inside = before.isascii() and before.isalpha() or after.isascii() and after.isalpha()
-    if len(good) == 1 and stored > "Ͱ" and _letters(stored) and not (inside and good in COMMON_ACCENTED):
+    if n == 2 and stored > "Ͱ" and _letters(stored) and not (inside and good in COMMON_ACCENTED) and not (good in "£€¥" and after.isdigit()) and not (sure and not before.isalpha() and not after.isalpha()):
         return None  # letters of one alphabet side by side are no evidence alone
+    if len(good) == 1 and n > 2 and stored > "Ͱ" and _letters(stored) and good not in PRINT_SIGNS:
+        return None  # three look-alike letters in a row, put in on purpose
     if any(map(_frame, stored)) and not all(c in COMMON_ACCENTED or c in PRINT_SIGNS or c.isalpha() and "Ά" <= c < "݀" or "฀" <= c < "຀" or _is_cjk(c) for c in good):
         return None  # a frame drawn with line characters
     return at + n, good, _case_breaks(before, good)
@@ -184,7 +189,7 @@ GREEK_WORD = re.compile("[Ά-ώ]+$")
 # The letters most Russian and Greek words are made of.
 FREQUENT_CYRILLIC = frozenset("оеаинтсрвлкмдпуяы")
 FREQUENT_GREEK = frozenset("αοιετσνηυρπκμλ")
-AROUND = "«»“”„‘’—–-…№ \xad"
+AROUND = "«»“”„‘’—–-…№·. \xa0\u202f\u2009\xad"
 RUN = re.compile(r"[^\x00-\x7f\s]+")
 CHUNK = re.compile(r"\S*[^\x00-\x7f\s]\S*")
 WORD = re.compile(r"[^\s.,;:!?()\[\]{}<>\"/|=+*#]*[^\x00-\x7f\s][^\s.,;:!?()\[\]{}<>\"/|=+*#]*")
@@ -192,7 +197,6 @@ CASED_CYRILLIC = re.compile("[а-яё][А-ЯЁ]{2,}")
 #: Characters that a letter of another script turns into under the pages of READ_SIGNS.
 SIGN_CHARS = "\x80-\xffŒœŠšŸŽžƒˆ˜ıˇ˘˙˚˛˝–—‘-„†-•…‰‹›⁄€™Ω∂∆∏∑−√∞∫≈≠≤≥◊\uf8ffﬁﬂĂ-ž─-▟ΓΘΣΦαδεπστφⁿ₧⌐⌠⌡∙∩≡■"
 SIGN_RUN = re.compile(f"[{SIGN_CHARS}]{{3,}}")
-CYRILLIC_PAIRS = tuple((r, w) for r in READ_SIGNS for w in WRITTEN_CYRILLIC)
 LATIN_PAIRS = tuple((r, w) for r in READ_LATIN for w in WRITTEN_LATIN if r != w and not {r, w} <= {"cp1252", "latin-1", "cp1250"})
 
 
@@ -225,12 +229,17 @@ def _is_foreign(run: str) -> bool:
     return sum(c.isalpha() and c < "Ͱ" or c not in AROUND and not _frame(c) and not c.isalpha() for c in run) * 2 > len(run) and len(set(run)) > 1
 
 
-def _cyrillic_rank(run: str, got: str | None) -> float:
+def _rank(got: str | None, pattern: re.Pattern, frequent: frozenset[str]) -> float:
+    """How much a decoded run is a word of the script: its letters times the share of frequent ones beyond chance."""
     core = got.strip(AROUND) if got else ""
-    if len(core) < 3 or not CYRILLIC_WORD.match(core) or not _word_shape(core):
+    if len(core) < 3 or not pattern.match(core) or not _word_shape(core.replace("ς", "σ")):
         return 0.0
-    low = core.lower()
-    return max(0.0, sum(c in FREQUENT_CYRILLIC for c in low) / len(low) - 0.4) * len(low)
+    low = core.lower().translate(UNACCENT)
+    return max(0.0, sum(c in frequent for c in low) / len(low) - 0.4) * len(low)
+
+
+UNACCENT = str.maketrans("άέήίόύώϊϋΐΰ", "αεηιουωιυιυ")
+SCRIPTS = tuple(((r, w), CYRILLIC_WORD, FREQUENT_CYRILLIC) for r in READ_SIGNS for w in WRITTEN_CYRILLIC) + tuple(((r, w), GREEK_WORD, FREQUENT_GREEK) for r in READ_SIGNS for w in WRITTEN_GREEK)
 
 
 def _script_spans(text: str) -> list[tuple[int, int, str]]:
@@ -238,18 +247,11 @@ def _script_spans(text: str) -> list[tuple[int, int, str]]:
     runs = [m for m in SIGN_RUN.finditer(text) if _is_foreign(m.group()) and not _is_utf8(m.group())]
     if not runs:
         return []
-    votes = {p: sum(_cyrillic_rank(m.group(), _decode(m.group(), *p)) for m in runs) for p in CYRILLIC_PAIRS}
-    pair = max(votes, key=votes.get)
-    pattern, shape = CYRILLIC_WORD, votes[pair] > 1.0
-    if not shape:
-        greek = {}
-        for p in ((r, w) for r in READ_SIGNS for w in WRITTEN_GREEK):
-            got = [(_decode(m.group(), *p) or "").strip(AROUND) for m in runs]
-            greek[p] = sum(len(g) for g in got if len(g) >= 4 and GREEK_WORD.match(g) and _word_shape(g.replace("ς", "σ")) and sum(c in FREQUENT_GREEK for c in g) * 2 > len(g))
-        pair = max(greek, key=greek.get)
-        pattern = GREEK_WORD
-        if greek[pair] < 4:
-            return []
+    votes = [sum(_rank(_decode(m.group(), *pair), pattern, frequent) for m in runs) for pair, pattern, frequent in SCRIPTS]
+    best = max(range(len(votes)), key=votes.__getitem__)
+    if votes[best] <= 1.0:
+        return []
+    pair, pattern, _ = SCRIPTS[best]
     spans = []
     for m in re.finditer(f"[{SIGN_CHARS}]+", text):
         got = _decode(m.group(), *pair)
@@ -350,6 +352,28 @@ def _cased_spans(text: str) -> list[tuple[int, int, str]]:
     return spans
 
 
+#: Characters of the Cyrillic code pages that Russian words do not hold, look-alikes left out.
+UNRUSSIAN = re.compile("[ЂЃ‚ѓ‡€‰ЉЊЌЋЏђљњќћџЎўҐґ¤¦§©Є¬®Ї°±µ¶№єї]")
+HIGH_1251 = re.compile("[" + re.escape("".join(_bytes_of("cp1251"))) + "]{2,}")
+REREAD = tuple((r, w) for r in ("cp1251", "koi8-r", "mac_cyrillic") for w in ("cp866", "koi8-r", "cp1251", "mac_cyrillic") if r != w)
+
+
+def _reread_spans(text: str) -> list[tuple[int, int, str]]:
+    """Cyrillic of one code page read under another: words with signs and letters that Russian does not have."""
+    runs = [m for m in HIGH_1251.finditer(text) if len(m.group()) > 2 and UNRUSSIAN.search(m.group())]
+    votes = {p: sum(_rank(_decode(m.group(), *p), CYRILLIC_WORD, FREQUENT_CYRILLIC) for m in runs) for p in REREAD}
+    best = max(votes, key=votes.get) if runs else None
+    if best is None or votes[best] <= 2.0:
+        return []
+    spans = []
+    for m in HIGH_1251.finditer(text):
+        got = _decode(m.group(), *best)
+        core = got.strip(AROUND) if got else ""
+        if core and CYRILLIC_WORD.match(core) and _word_shape(core) and (UNRUSSIAN.search(m.group()) or "\xa0" in m.group() or "\xad" in m.group()):
+            spans.append((m.start(), m.end(), got))
+    return spans
+
+
 def _spans_utf8(text: str) -> list[tuple[int, int, str]]:
     """The code page that explains most of the text's hits goes first; a hit it cannot explain falls to the next."""
     if not _pair_pattern().search(text):
@@ -373,7 +397,7 @@ def _spans_utf8(text: str) -> list[tuple[int, int, str]]:
         if at < end:
             continue
         for codec in order:
-            if codec in codecs and (got := found.get((at, codec)) or _utf8_at(text, at, codec)):
+            if codec in codecs and (got := found.get((at, codec)) or _utf8_at(text, at, codec, votes[codec] > 8)):
                 spans.append((at, got[0], got[1]))
                 end = got[0]
                 break
@@ -397,6 +421,8 @@ def repair(text: str | None) -> tuple[str | None, int, int]:
     steps = []
     if SIGN_RUN.search(text):
         steps += (_script_spans, _double_spans)
+    if len(UNRUSSIAN.findall(text)) > 1:
+        steps.append(_reread_spans)
     steps += (_spans_utf8,) * ROUNDS
     if MIXED.search(text):
         steps.append(_latin_spans)

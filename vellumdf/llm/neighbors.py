@@ -10,7 +10,8 @@ vectors by brute force, reaches the wanted recall.
 
 Equal vectors are one vector of the index with the list of their rows.  A leaf
 of more than SHARD vectors is searched in shards.  Rows whose vector is null,
-holds null or NaN or has another length take no part.  Ties go to the smaller
+holds null or NaN or has another length, and rows without a number, take no part; a
+row that is repeated counts once.  Ties go to the smaller
 row number.
 """
 
@@ -119,7 +120,7 @@ def usable(df: DataFrame, key: str, vector: str, dim: int = DIM) -> DataFrame:
     """id, v of the rows that take part."""
     v = F.col(vector)
     ok = (F.size(v) == dim) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x))
-    return df.where(v.isNotNull() & ok).select(F.col(key).cast("long").alias("id"), v.alias("v"))
+    return df.where(v.isNotNull() & ok & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), v.alias("v"))
 
 
 def _matrix(col: pa.Array, dim: int) -> np.ndarray:
@@ -158,7 +159,8 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = K, dim: int = DIM, re
     rows = usable(df, key, vector, dim).withColumn("g", F.struct(F.xxhash64("v").alias("a"), F.xxhash64("v", F.lit(1)).alias("b")))
     # equal vectors: the smallest row number stands for them; of its rows the k + 1 smallest can ever be neighbours
     place = Window.partitionBy("g").orderBy("id")
-    rows = cut(rows.withColumn("place", F.row_number().over(place)))
+    once = rows.withColumn("before", F.lag("id").over(place)).where(~F.col("before").eqNullSafe(F.col("id"))).drop("before")
+    rows = cut(once.withColumn("place", F.row_number().over(place)))
     reps = rows.where("place = 1").select("id", "v", "g")
     n = reps.count()
     if n < 2:

@@ -9,7 +9,7 @@ repeats the ``overlap`` code points before it, less only where a whole block
 would otherwise exceed the limit.
 
 Of a block delivered more than once one row counts (the earliest).  Null texts
-are empty.  Null chapter numbers form a chapter of their own.  A piece never
+are empty, rows without a block_id are left out.  Null chapter numbers form a chapter of their own.  A piece never
 spans two chapters.  Chapters of any size are worked in spans of SPAN code
 points that end at block edges, so no task holds a whole chapter.
 """
@@ -143,7 +143,7 @@ def chapter_pieces(blocks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP
     """
     chapter = ["book_id", "chapter_index"]
     meta = blocks.select("block_id", *chapter, "block_no", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("size"))
-    meta = meta.join(one_row_per_block(blocks), "block_id", "left_semi")
+    meta = meta.join(one_row_per_block(blocks), "block_id", "left_semi").dropDuplicates(["block_id"])
     # sizes only: even a very long chapter is a narrow sort
     order = Window.partitionBy(*chapter).orderBy("block_no", "block_id")
     meta = meta.withColumn("start", F.sum("size").over(order) - F.col("size")).withColumn("total", F.sum("size").over(Window.partitionBy(*chapter)))
@@ -153,7 +153,7 @@ def chapter_pieces(blocks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP
     meta = meta.withColumn("again", (last < F.col("total")) & (last - F.col("start") - F.col("size") < overlap))
     spread = F.when(F.col("again"), F.array("span", F.col("span") + 1)).otherwise(F.array("span"))
     meta = meta.withColumn("work", F.explode(spread)).select("block_id", "start", "work", (F.col("work") > F.col("span")).alias("context"))
-    rows = blocks.select("block_id", *chapter, "text", "boundary_before").join(meta, "block_id").drop("block_id")
+    rows = blocks.select("block_id", *chapter, "text", "boundary_before").join(meta, "block_id")
 
     target = arrow_schema(SCHEMA)
 
@@ -176,14 +176,17 @@ def chapter_pieces(blocks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP
 
         group: list[tuple] = []
         key: tuple | None = None
+        last: int | None = None
         for batch in batches:
-            cols = [batch.column(n).to_pylist() for n in (*chapter, "work", "start", "text", "boundary_before", "context")]
-            for book, ch, work, start, text, mark, context in zip(*cols, strict=True):
+            cols = [batch.column(n).to_pylist() for n in (*chapter, "work", "start", "text", "boundary_before", "context", "block_id")]
+            for book, ch, work, start, text, mark, context, block in zip(*cols, strict=True):
                 if (book, ch, work) != key:
                     if group:
                         close(key, group)
-                    key, group = (book, ch, work), []
-                group.append((start, text or "", mark, context))
+                    key, group, last = (book, ch, work), [], None
+                if block != last:  # a row delivered twice under one id
+                    group.append((start, text or "", mark, context))
+                last = block
             if len(out) > 2000:
                 yield record_batch(out, target)
                 out.clear()
@@ -193,7 +196,7 @@ def chapter_pieces(blocks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP
             yield record_batch(out, target)
 
     parts = [*chapter, "work"]
-    return rows.repartition(*parts).sortWithinPartitions(*parts, "start").select(*parts, "start", "text", "boundary_before", "context").mapInArrow(run, SCHEMA)
+    return rows.repartition(*parts).sortWithinPartitions(*parts, "start", "block_id").select(*parts, "start", "text", "boundary_before", "context", "block_id").mapInArrow(run, SCHEMA)
 
 
 def chapter_cuts(pieces: DataFrame) -> DataFrame:

@@ -216,6 +216,15 @@ def _folded(s: str) -> str:
     return s if re.match(r"[\u0400-\u052f\u0386-\u03ce\s]+", s) and not re.search("[A-Za-z]", s[:20]) and re.search("[бгдёжзийлфцчшщъыьэюяβγδζθλξπσφψω]", s[:20]) else skeleton(s)
 
 
+#: Shapes of speech that a sample may lack, taken into the training as they are.
+SHAPES = (
+    "“Stop!” Grikar replied. He ran. “Who is it?” Dal asked. It rained. “Late,” she said. “Yes.” They left.",
+    "»Halt!« Grikar rief es. Er lief. »Halt!« Marta sagte nichts. «¡Alto!» Kazur gritó. «Alto.» Se fue.",
+    "「行く？」猫は寝た。「行く」と言った。「行く。」雨が降った。“走吗？”守塔人说。“走。”他走了。",
+    "В 1847 г. Тот ушёл. Г. Бель пришёл. EE. UU. y Dal. El Sr. Dal vio. A. C. Dal, p. ex. Dal, vino. Fin.",
+)
+
+
 # -- model -----------------------------------------------------------------
 def features(b: Bundle) -> tuple[str, ...]:
     kind, follow, word, speech, gap = b
@@ -246,7 +255,7 @@ def train(texts: list[str], epochs: int = 4, seed: int = 5) -> dict:
     Texts of scripts without stops are taken without any punctuation: their blanks are the labelled boundaries.
     """
     chains = []
-    for t in texts:
+    for t in [*texts, *SHAPES * max(1, len(texts) // 50)]:
         if len(THAI.findall(t)) * 2 > len(t):
             t = re.sub(r"[^\w\s\u0e00-\u0e7f]", "", t)
         _, what = candidates(t)
@@ -262,6 +271,7 @@ def train(texts: list[str], epochs: int = 4, seed: int = 5) -> dict:
             feats, gold = chains[i]
             emit = np.zeros((len(gold), 2))
             emit[:, 1] = [sum(w.get(f, 0.0) for f in fs) for fs in feats]
+            emit[np.arange(len(gold)), 1 - np.array(gold)] += 2.0  # a margin: the wrong tag gets a head start
             got = viterbi(emit, np.array([0]), np.array([len(gold)]), trans, np.zeros(2))
             for k, (y, z) in enumerate(zip(gold, got, strict=True)):
                 if y != z:
