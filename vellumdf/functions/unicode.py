@@ -7,15 +7,16 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Composed form (NFC); null stays null."""
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def slug(s: pd.Series) -> pd.Series:
     """ASCII small letters and figures joined by hyphens; ``book`` where nothing is left; null stays null."""
 
@@ -26,7 +27,7 @@ def slug(s: pd.Series) -> pd.Series:
     return s.map(one, na_action="ignore")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def mtld(words: pd.Series) -> pd.Series:
     """Mean length of the stretches over which the type-token ratio stays above .72, forwards and backwards; null where no stretch ends."""
 
