@@ -321,6 +321,14 @@ def _latin_word(w: str, read: str, written: str) -> str | None:
 MIXED = re.compile("[A-Za-z](?=[^\x00-\x7f])|[^\x00-\x7f](?=[A-Za-z])")
 
 
+#: Quotation marks of the Macintosh page read as Windows letters: they touch punctuation instead of a word.
+STRAY_QUOTE = re.compile(r"(?<=[.!?,])[ÒÓÔÕ](?=[\s,.;:]|$)|(?<![^\W\d_])[ãÒÔ](?=[A-ZÄÖÜ][a-zäöüß])")
+
+
+def _stray_spans(text: str) -> list[tuple[int, int, str]]:
+    return [(m.start(), m.end(), m.group().encode("cp1252").decode("mac_roman")) for m in STRAY_QUOTE.finditer(text)]
+
+
 def _latin_spans(text: str) -> list[tuple[int, int, str]]:
     odd = [m for m in WORD.finditer(text) if any(c >= "\x80" and _odd_inside(c) for c in m.group()) and any(c.isascii() and c.isalpha() for c in m.group())]
     if not odd:
@@ -426,6 +434,8 @@ def repair(text: str | None) -> tuple[str | None, int, int]:
     steps += (_spans_utf8,) * ROUNDS
     if MIXED.search(text):
         steps.append(_latin_spans)
+    if STRAY_QUOTE.search(text):
+        steps.append(_stray_spans)
     if CASED_CYRILLIC.search(text):
         steps.append(_cased_spans)
     done = False
