@@ -1,6 +1,6 @@
 """Text statistics and line kinds: prose, list, table or junk.
 
-Every line of a text is an observation of a hidden Markov model with six
+Every line of a text is an observation of a hidden Markov model with seven
 states that belong to four kinds.  A line is described by fifteen binned statistics (shares of letters,
 digits and symbols, vowels, commas, word length, repetition, first and last
 character ...); the emission is the product of their probabilities.  The
@@ -25,9 +25,9 @@ from .chains import viterbi
 from .lookalikes import tables
 
 KINDS = ("prose", "list", "table", "junk")
-#: Hidden states and the kind each belongs to: lists of entries and of words, noise and repetition differ too much for one state.
-STATES = ("prose", "entries", "words", "table", "noise", "repeated")
-KIND_OF = np.array([0, 1, 1, 2, 3, 3])
+#: Hidden states and the kind each belongs to: lists of entries and of words, noise, repetition and random letters differ too much for one state.
+STATES = ("prose", "entries", "words", "table", "noise", "repeated", "letters")
+KIND_OF = np.array([0, 1, 1, 2, 3, 3, 3])
 MODEL = Path(__file__).parent / "models" / "lines.json"
 MAX_LAG = 16
 
@@ -86,15 +86,17 @@ def _classes() -> np.ndarray:
 
 @functools.cache
 def _folds() -> tuple[np.ndarray, np.ndarray]:
-    """(plain form of each code point, its small letter): full-width and other styled forms are folded, 0xFFFF marks what prints nothing."""
+    """(plain form of each code point, its small look-alike): full-width and other styled forms are folded, 0xFFFF marks what prints nothing."""
     plain = np.arange(0x10001, dtype=np.uint32)
     for cp, to in tables()[1].items():
         if cp < 0x10000 and len(to) <= 1 and (not to or to.isalnum()):
             plain[cp] = ord(to) if to and ord(to) < 0x10000 else 0xFFFF if not to else cp
     plain[[0x2010, 0x2011]] = ord("-")
     small = plain.copy()
+    look = tables()[0]
     for cp in range(0x10000):
-        if len(low := chr(int(plain[cp])).lower()) == 1 and ord(low) < 0x10000:
+        ch = chr(int(plain[cp]))
+        if len(low := (look.get(ord(ch), ch) or ch).lower()) == 1 and ord(low) < 0x10000:
             small[cp] = ord(low)
     return plain, small
 
@@ -236,7 +238,7 @@ class Lines:
         cols = [np.searchsorted(edges, s[name], side="right") for name, edges in EDGES.items()]
         first, last = self.first_kind(), self.last_kind()
         # flowing text: single blanks between several words, few figures and signs, no entry from number to number
-        flow = (s["letters"] > 0.6) & (s["digits"] < 0.33) & (s["symbols"] < 0.06) & (s["commas"] < 0.06) & (s["repetition"] < 0.65)
+        flow = (s["letters"] > 0.6) & (s["digits"] < 0.33) & (s["symbols"] < 0.06) & (s["commas"] < 0.075) & (s["repetition"] < 0.65)
         flow &= ((s["vowels"] < 0) | (s["vowels"] > 0.2)) & (s["gaps"] < 1.5) & ~((first == 2) & (last == 2)) & ((s["length"] > 22) | (last == 0)) & (first < 4)
         return np.stack([*cols, last, first, flow.astype(int)], 1) if len(self.unit) else np.zeros((0, len(SIZES)), int)
 
@@ -286,7 +288,8 @@ def weak_labels(lines: Lines) -> np.ndarray:
     noise = (s["letters"] < 0.45) & (s["digits"] < 0.3) & (s["symbols"] > 0.25)
     consonants = (s["vowels"] >= 0) & (s["vowels"] < 0.14)
     blob = (s["solidlen"] > 40) & (s["upper"] > 0.25) & (s["upper"] < 0.8)
-    kind[markup | noise | consonants | blob] = 4
+    kind[markup | noise | blob] = 4
+    kind[consonants & ~markup & (s["letters"] > 0.6)] = 6
     kind[s["repetition"] > 0.7] = 5
     return kind
 
