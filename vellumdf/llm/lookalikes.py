@@ -30,7 +30,7 @@ import numpy as np
 CYRILLIC = ("АВЕЅІЈКМНОРСТУХԌԚԜҮаеѕіјорсухһԁԛԝүѵӏ", "ABESIJKMHOPCTYXGQWYaesijopcyxhdqwyvl")
 GREEK_CYRILLIC = ("ΓΠΦ", "ГПФ")
 GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧΥϹϳονιαρυϲγ", "ABEZHIKMNOPTYXYCjoviapucy")
-OTHER = ("ıȷɑɡＡ‐‑‒⁃﹣－−՚ꞌ‚⸲٫·‧∙⋅․", "ijagA------–’’,,,·····")
+OTHER = ("ɑɡ‐‑‧∙⋅", "ag--···")
 
 # Characters that print nothing.
 INVISIBLE = "­͏؜ᅟᅠ឴឵᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩⁪⁫⁬⁭⁮⁯﻿︎️"
@@ -80,6 +80,7 @@ def tables() -> tuple[dict, dict]:
     for twins, proto in (CYRILLIC, GREEK, GREEK_CYRILLIC, OTHER):
         for a, b in zip(twins, proto, strict=True):
             skel[ord(a)] = b
+    read[0x2010] = read[0x2011] = "-"  # hyphens of the same length join words as the common one does
     for ch in INVISIBLE:
         skel[ord(ch)] = ""
         read[ord(ch)] = ""

@@ -152,14 +152,19 @@ def _utf8_at(text: str, at: int, codec: str, sure: bool = False) -> tuple[int, s
 
     ``sure``: the text has plain evidence of that code page elsewhere, so that two letters which stand alone count too.
     """
-    m = _rest_pattern(codec).match(text, at)
-    if not m:
-        return None
-    raw = _encode(m.group(), codec)
-    try:
-        good = raw.decode("utf-8")
-    except UnicodeDecodeError as e:
-        good = raw[: e.start].decode("utf-8")
+    # a growing stretch: most end after a few characters, and a long one must not be decoded from every hit
+    room, good = 32, ""
+    while m := _rest_pattern(codec).match(text, at, at + room):
+        raw = _encode(m.group(), codec)
+        try:
+            good = raw.decode("utf-8")
+            stop = len(raw)
+        except UnicodeDecodeError as e:
+            good = raw[: e.start].decode("utf-8")
+            stop = e.start
+        if stop < len(raw) - 3 or len(raw) < room:
+            break
+        room *= 4
     k = 0
     while k < len(good) and (_is_text(good[k]) or good[k] == "\xad" or "\x80" <= good[k] < "\xa0"):
         k += 1

@@ -46,7 +46,7 @@ SAY = (
     "dit|demanda|cria|murmura|répondit|écrivit|ajouta|dijo|preguntó|gritó|respondió|susurró|murmuró|exclamó|escribió|"
     "сказал|сказала|спросил|спросила|крикнул|крикнула|ответил|ответила|шепнул|шепнула|прошептал|прошептала|написал|написала|είπε|ρώτησε|φώναξε|απάντησε|ψιθύρισε"
 )
-ATTRIBUTION = re.compile(rf"\s*(?:[^\W\d_][\w’'-]*\.?\s+){{0,2}}(?:{SAY})\b", re.I)
+ATTRIBUTION = re.compile(rf"\s*(?:[^\W\d_][\w’'-]*\.?\s+){{1,2}}(?:{SAY})\s*[.,:;]", re.I)
 SPOKEN_CJK = re.compile("(?:と|って)|[^。！？…，、\\s]{0,8}(?:说|說|问|問|喊|叫|答|道|言っ|聞い|尋ね|叫ん|答え)|(?:이?라고|하고|고) ")
 
 STOPS = ".!?…。！？．｡।॥؟\u037e"
@@ -57,7 +57,7 @@ OPENERS = frozenset("“\"„«»‚‘'(「『《[¿¡—–-")
 FULL_STOPS = frozenset("。！？．｡।॥؟")
 WIDE = re.compile("[\u3040-\u30ff\u3400-\u9fff]")
 
-CANDIDATE = re.compile("[.!?…。！？．｡।॥؟\u037e]+|[」』]|\n[^\\S\n]*\n\\s*|(?<=[^\\W\\d_])[»«”“\"](?=\\s+[„“«»\"])")
+CANDIDATE = re.compile("[.!?…。！？．｡।॥؟]+|[」』]|\n[^\\S\n]*\n\\s*|(?<=[^\\W\\d_])[»«”“\"](?=\\s+[„“«»\"])")
 CANDIDATE_GREEK = re.compile("[.!?…;\u037e]+|\n[^\\S\n]*\n\\s*|(?<=[^\\W\\d_])[»«”“\"](?=\\s+[„“«»\"])")
 BLANKS = re.compile(r"\s+")
 TOKEN = re.compile(r"[^\s“”\"„»«(‘'—–\[]*$")
@@ -219,7 +219,7 @@ def _folded(s: str) -> str:
 #: Shapes of speech that a sample may lack, taken into the training as they are.
 SHAPES = (
     "“Stop!” Grikar replied. He ran. “Who is it?” Dal asked. It rained. “Late,” she said. “Yes.” They left.",
-    "»Halt!« Grikar rief es. Er lief. »Halt!« Marta sagte nichts. «¡Alto!» Kazur gritó. «Alto.» Se fue.",
+    "»Halt!« Er rief den Hund. Er lief. »Halt!« Marta sagte nichts. «¡Alto!» Kazur gritó. «Alto.» Se fue.",
     "「行く？」猫は寝た。「行く」と言った。「行く。」雨が降った。“走吗？”守塔人说。“走。”他走了。",
     "В 1847 г. Тот ушёл. Г. Бель пришёл. EE. UU. y Dal. El Sr. Dal vio. A. C. Dal, p. ex. Dal, vino. Fin.",
 )
