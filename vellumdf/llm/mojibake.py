@@ -88,7 +88,7 @@ def _is_text(ch: str) -> bool:
     cat = unicodedata.category(ch)
     if cat in ("Cn", "Co", "Cs", "Cc"):
         return False
-    return ch in "șțȘȚ" or 0x300 <= o < 0x30D or 0x386 <= o < 0x3CF or 0x400 <= o < 0x460 or 0x490 <= o < 0x492 or 0x5D0 <= o < 0x700 or 0x900 <= o < 0xE80 or 0x1E00 <= o < 0x2070 or 0x20A0 <= o < 0x20C0 or 0x2100 <= o < 0x2200 or 0x2500 <= o < 0x2600 or 0x3000 <= o < 0x3100 or 0x4E00 <= o < 0xA000 or 0xAC00 <= o < 0xD7A4 or 0xFB00 <= o < 0xFB07 or 0xFF00 <= o < 0xFFF0 or ch in "​‌‍⁠﻿" or o == 0xFFFD or 0x1F300 <= o < 0x1FA00
+    return ch in "șțȘȚƒˆ˜" or 0x300 <= o < 0x30D or 0x386 <= o < 0x3CF or 0x400 <= o < 0x460 or 0x490 <= o < 0x492 or 0x5D0 <= o < 0x700 or 0x900 <= o < 0xE80 or 0x1E00 <= o < 0x2070 or 0x20A0 <= o < 0x20C0 or 0x2100 <= o < 0x2200 or 0x2500 <= o < 0x2600 or 0x3000 <= o < 0x3100 or 0x4E00 <= o < 0xA000 or 0xAC00 <= o < 0xD7A4 or 0xFB00 <= o < 0xFB07 or 0xFF00 <= o < 0xFFF0 or ch in "​‌‍⁠﻿" or o == 0xFFFD or 0x1F300 <= o < 0x1FA00
 
 
 @functools.cache
@@ -221,8 +221,9 @@ def _is_utf8(run: str) -> bool:
         raw = _encode(run, read)
         if raw is not None:
             try:
-                raw.decode("utf-8")
-                return True
+                got = raw.decode("utf-8")
+                if all(map(_is_text, got)) and (len(got) > 1 or got in COMMON_ACCENTED or got in PRINT_SIGNS):
+                    return True
             except UnicodeDecodeError as e:
                 if len(raw) > 6 and e.start >= len(raw) - 3:
                     return True
@@ -243,7 +244,7 @@ def _rank(got: str | None, pattern: re.Pattern, frequent: frozenset[str]) -> flo
     return max(0.0, sum(c in frequent for c in low) / len(low) - 0.4) * len(low)
 
 
-UNACCENT = str.maketrans("άέήίόύώϊϋΐΰ", "αεηιουωιυιυ")
+UNACCENT = str.maketrans("άέήίόύώϊϋΐΰё", "αεηιουωιυιυе")
 SCRIPTS = tuple(((r, w), CYRILLIC_WORD, FREQUENT_CYRILLIC) for r in READ_SIGNS for w in WRITTEN_CYRILLIC) + tuple(((r, w), GREEK_WORD, FREQUENT_GREEK) for r in READ_SIGNS for w in WRITTEN_GREEK)
 
 
@@ -254,7 +255,7 @@ def _script_spans(text: str) -> list[tuple[int, int, str]]:
         return []
     votes = [sum(_rank(_decode(m.group(), *pair), pattern, frequent) for m in runs) for pair, pattern, frequent in SCRIPTS]
     best = max(range(len(votes)), key=votes.__getitem__)
-    if votes[best] <= 1.0:
+    if votes[best] <= 0.75:
         return []
     pair, pattern, _ = SCRIPTS[best]
     spans = []
