@@ -66,8 +66,8 @@ def frequencies(tok: DataFrame) -> DataFrame:
     return tok.groupBy("unit_id", "lang", "word").agg(F.count("*").alias("f"), F.min("pos").alias("first_pos"))
 
 
-def vocabulary(freq: DataFrame) -> DataFrame:
-    """Word counts, readability sums and the vocabulary metrics; word properties are computed once a distinct word."""
+def vocabulary(freq: DataFrame, *more: Column) -> DataFrame:
+    """Word counts, readability sums and the vocabulary metrics (and ``more`` sums); word properties are computed once a distinct word."""
     w, lang, f = F.col("word"), F.col("lang"), F.col("f")
     d = freq.withColumn("k", T.letters(w)).withColumn("syl", T.syllables(w, lang))
     hit = lambda name: by_language(lang, w.isin(LEXICONS[name]["de"].split()), w.isin(LEXICONS[name]["en"].split()))
@@ -80,7 +80,7 @@ def vocabulary(freq: DataFrame) -> DataFrame:
         weigh(F.col("k") > 6).alias("long"), weigh(F.col("k") >= 6).alias("six"), weigh(F.col("syl") >= 3).alias("multi"), weigh(F.col("syl") == 1).alias("mono"),
         F.sum(f * F.log2(f)).alias("flog"), F.sum(f * (f - 1)).alias("ff"), F.sum(f * f).alias("f2"), F.count_if(f == 1).alias("once"),
         weigh(~is_stop(w, lang)).alias("content"), weigh(nominal).alias("nominal_n"), weigh(adverb).alias("adverbs_n"),
-        *(weigh(hit(x)).alias(f"{x}_n") for x in LEXICONS),
+        *(weigh(hit(x)).alias(f"{x}_n") for x in LEXICONS), *more,
     )
     n = F.col("n")
     cols = {
@@ -203,16 +203,24 @@ def paragraph_metrics(par: DataFrame) -> DataFrame:
     return a.select("unit_id", "paragraphs", "paragraphMean", F.when(F.col("paragraphs") >= 3, F.col("sd") / F.col("paragraphMean")).alias("paragraphCV"), "cohesion", "shifts")
 
 
-def punctuation(u: DataFrame) -> DataFrame:
-    """Marks per hundred words and the share of words in paired quotes, without exploding anything."""
+def _marks() -> dict[str, Column]:
     t = F.col("text")
     n = T.word_count(t)
     count = lambda rx: F.regexp_count(t, F.lit(rx))
-    hyphens = F.regexp_count(t, F.lit(rf"(?<![^\s\x{{A0}}])-(?![^\s\x{{A0}}])"))
+    hyphens = F.regexp_count(t, F.lit(r"(?<![^\s\x{A0}])-(?![^\s\x{A0}])"))
     quoted = F.aggregate(F.regexp_extract_all(t, F.lit(f"({T.QUOTED})"), F.lit(1)), F.lit(0), lambda acc, q: acc + F.regexp_count(q, F.lit(T.WORD)))
-    return u.select(
-        "unit_id", share(count(","), n).alias("commas"), share(count(T.DASH) + hyphens, n).alias("dashes"), share(count(r"[(\[]"), n).alias("parentheses"), share(count(T.ELLIPSIS), n).alias("ellipses"), share(quoted, n).alias("dialogue")
-    )
+    parts = {"commas": count(","), "dashes": count(T.DASH) + hyphens, "parentheses": count(r"[(\[]"), "ellipses": count(T.ELLIPSIS), "dialogue": quoted}
+    return {k: share(c, n) for k, c in parts.items()}
+
+
+def punctuation(u: DataFrame) -> DataFrame:
+    """Marks per hundred words and the share of words in paired quotes, without exploding anything."""
+    return u.select("unit_id", *(c.alias(k) for k, c in _marks().items()))
+
+
+def per_text(u: DataFrame) -> DataFrame:
+    """Everything that needs no exploding: language, marks, MTLD."""
+    return u.select("unit_id", "lang", mtld(T.words(F.col("text"))).alias("mtld"), *(c.alias(k) for k, c in _marks().items()))
 
 
 def lexical_stretch(u: DataFrame) -> DataFrame:
@@ -220,24 +228,80 @@ def lexical_stretch(u: DataFrame) -> DataFrame:
     return u.select("unit_id", mtld(T.words(F.col("text"))).alias("mtld"))
 
 
-def readability(v: DataFrame, r: DataFrame) -> DataFrame:
-    """Formulas over the sums of ``vocabulary`` and ``rhythm``."""
-    x = v.select("unit_id", "n", "syl", "long", "six", "multi", "mono").join(r.select("unit_id", "sentences"), "unit_id")
+def formulas() -> dict[str, Column]:
+    """Readability from word sums (n, syl, long, six, multi, mono) and the number of sentences."""
     n, s = F.col("n"), F.col("sentences")
     length, syl = n / s, F.col("syl") / n
-    return x.select(
-        "unit_id", (length + 100.0 * F.col("long") / n).alias("lix"), (F.col("long") / s).alias("rix"), (180 - length - 58.5 * syl).alias("fleschDe"), (206.835 - 1.015 * length - 84.6 * syl).alias("fleschEn"), (0.39 * length + 11.8 * syl - 15.59).alias("fkGrade"),
-        (19.35 * F.col("multi") / n + 0.1672 * length + 12.97 * F.col("six") / n - 3.27 * F.col("mono") / n - 0.875).alias("wiener"),
+    return {
+        "lix": length + 100.0 * F.col("long") / n,
+        "rix": F.col("long") / s,
+        "fleschDe": 180 - length - 58.5 * syl,
+        "fleschEn": 206.835 - 1.015 * length - 84.6 * syl,
+        "fkGrade": 0.39 * length + 11.8 * syl - 15.59,
+        "wiener": 19.35 * F.col("multi") / n + 0.1672 * length + 12.97 * F.col("six") / n - 3.27 * F.col("mono") / n - 0.875,
+    }
+
+
+def readability(v: DataFrame, r: DataFrame) -> DataFrame:
+    """The formulas over the sums of ``vocabulary`` and ``rhythm``."""
+    x = v.select("unit_id", "n", "syl", "long", "six", "multi", "mono").join(r.select("unit_id", "sentences"), "unit_id")
+    return x.select("unit_id", *(c.alias(k) for k, c in formulas().items()))
+
+
+def word_metrics(u: DataFrame, sample: int = 42) -> DataFrame:
+    """All metrics over words in one pass: a shuffle by unit and word for the places of each word, one by unit for the sums."""
+    lists = u.select("unit_id", "lang", T.words(F.col("text")).alias("ws"))
+    t = lists.select("unit_id", "lang", F.size("ws").alias("size"), F.posexplode("ws").alias("pos", "word"))
+    prev = F.lag("pos").over(Window.partitionBy("unit_id", "word").orderBy("pos"))
+    t = t.withColumn("prev", prev)
+    pos, size = F.col("pos"), F.col("size")
+    new = F.greatest(F.lit(0), F.least(pos, size - WINDOW) - F.greatest(F.coalesce(F.col("prev"), F.lit(-1)) + 1, pos - WINDOW + 1, F.lit(0)) + 1)
+    near = (pos - F.col("prev") <= NEAR).cast("int")
+    w = t.groupBy("unit_id", "word", "lang", "size").agg(F.count("*").alias("f"), F.min("pos").alias("first_pos"), F.sum(new).alias("new"), F.coalesce(F.sum(near), F.lit(0)).alias("near"))
+    stop = is_stop(F.col("word"), F.col("lang"))
+    w = w.withColumn("stop", stop).withColumn("r", F.row_number().over(Window.partitionBy("unit_id").orderBy("stop", F.desc("f"), "first_pos")))
+    # chance that a type is not drawn, as a product over its occurrences
+    missed = F.aggregate(F.sequence(F.lit(0), (F.col("f") - 1).cast("int")), F.lit(1.0), lambda acc, k: acc * (size - sample - k) / (size - k))
+    drawn = F.when(size >= sample, 1 - F.when(size - F.col("f") < sample, 0.0).otherwise(missed))
+    v = vocabulary(
+        w, F.sum("new").alias("windows"), F.sum(F.when(~F.col("stop"), F.col("near"))).alias("repeats"), F.sum(F.when(~F.col("stop") & (F.col("r") <= 10), F.col("f"))).alias("top"), F.sum(drawn).alias("drawn")
     )
+    n = F.col("n")
+    return v.withColumns(
+        {
+            "mattr": F.when(n >= WINDOW, 100.0 * F.col("windows") / (WINDOW * (n - WINDOW + 1))),
+            "nearRepeat": share(F.coalesce("repeats", F.lit(0)), F.col("content")),
+            "topWords": share(F.col("top"), F.col("content")),
+            "hdd": 100.0 / sample * F.col("drawn"),
+        }
+    )
+
+
+def repetition_in_one(u: DataFrame) -> DataFrame:
+    """The four shares of ``repetition`` from one scan and one shuffle: every unit lists its keys, marked by kind."""
+    text = F.col("text")
+    key = lambda kind: lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key"))
+    lists = u.select("unit_id", F.transform(T.sentences(text), T.words).alias("s"), F.transform(T.paragraphs(text), T.words).alias("p"))
+    join = lambda ws: F.concat_ws(" ", ws)
+    grams = F.flatten(F.transform(F.filter("s", lambda w: F.size(w) >= 3), lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: join(F.slice(w, i, 3)))))
+    parts = {
+        "trigramRepeat": grams,
+        "sentenceRepeat": F.transform(F.filter("s", lambda w: F.size(w) >= 5), join),
+        "startRepeat": F.transform(F.filter("s", lambda w: F.size(w) >= 2), lambda w: join(F.slice(w, 1, 2))),
+        "paragraphRepeat": F.transform(F.filter("p", lambda w: F.size(w) >= 12), join),
+    }
+    keys = lists.select("unit_id", F.inline(F.concat(*(F.transform(v, key(k)) for k, v in parts.items()))))
+    c = keys.groupBy("unit_id", "kind", "key").agg(F.count("*").alias("f"))
+    of = lambda k, x: F.sum(F.when(F.col("kind") == k, x))
+    return c.groupBy("unit_id").agg(*(share(of(k, F.col("f") - 1), of(k, F.col("f"))).alias(k) for k in parts))
 
 
 def wide(u: DataFrame, long_sentence: int = LONG_SENTENCE) -> DataFrame:
-    """unit_id, lang, words and all metrics, without the gates."""
-    tok, sent, par = tokens(u), sentence_rows(u), paragraph_rows(u)
-    freq = frequencies(tok)
-    v, r = vocabulary(freq), rhythm(sent, long_sentence)
-    parts = [v.drop("lang", "letters", "syl", "long", "six", "multi", "mono", "flog", "ff", "f2", "once", "content", "types", *(f"{x}_n" for x in (*LEXICONS, "nominal", "adverbs"))), readability(v, r), r, top_words(freq), hdd(freq), ordered(tok), lexical_stretch(u), repetition(sent, par), paragraph_metrics(par), punctuation(u)]
-    out = reduce(lambda a, b: a.join(b, "unit_id", "left"), parts, u.select("unit_id", "lang"))
+    """unit_id, lang, words and all metrics, without the gates.  The texts are scanned once a family: five times in all."""
+    base = per_text(u)
+    drop = ("lang", "letters", "flog", "ff", "f2", "once", "content", "types", "windows", "repeats", "top", "drawn", *(f"{x}_n" for x in (*LEXICONS, "nominal", "adverbs")))
+    out = reduce(lambda a, b: a.join(b, "unit_id", "left"), [word_metrics(u).drop(*drop), rhythm(sentence_rows(u), long_sentence), repetition_in_one(u), paragraph_metrics(paragraph_rows(u))], base)
+    out = out.withColumns(formulas())
     return out.withColumn("n", F.coalesce("n", F.lit(0)))
 
 
@@ -248,13 +312,20 @@ def profile(u: DataFrame, groups: list[str] | None = None, long_sentence: int =
     no value.  Values are rounded half-even to four places.
     """
     w = wide(u, long_sentence)
-    rows = []
-    for m in METRICS:
-        v = F.col(m.id).cast("double")
-        reason = F.when(F.lit(groups is not None and m.group not in groups), REASONS["disabled"]).when(~F.col("lang").isin(*m.languages), REASONS["language"]).when(F.col("n") < m.min_words, REASONS["short"])
-        reason = reason.when(v.isNull() | F.isnan(v), REASONS.get(m.id, REASONS["other"]))
-        rows.append(F.struct(F.lit(m.id).alias("metric"), F.when(reason.isNull(), F.bround(v, 4)).alias("value"), reason.alias("reason")))
-    return w.select("unit_id", "lang", F.inline(F.array(*rows)))
+    ids = [m.id for m in METRICS]
+    long = w.select("unit_id", "lang", "n", *(F.col(i).cast("double").alias(i) for i in ids)).unpivot(["unit_id", "lang", "n"], ids, "metric", "value")
+    metric, v = F.col("metric"), F.col("value")
+    reason = F.when(metric.isin([m.id for m in METRICS if groups is not None and m.group not in groups] or [""]), REASONS["disabled"])
+    for spoken in {m.languages for m in METRICS if "und" not in m.languages}:
+        reason = reason.when(metric.isin([m.id for m in METRICS if m.languages == spoken]) & ~F.col("lang").isin(*spoken), REASONS["language"])
+    for least in {m.min_words for m in METRICS}:
+        reason = reason.when(metric.isin([m.id for m in METRICS if m.min_words == least]) & (F.col("n") < least), REASONS["short"])
+    missing = v.isNull() | F.isnan(v)
+    for i in ids:
+        if i in REASONS:
+            reason = reason.when(missing & (metric == i), REASONS[i])
+    long = long.withColumn("reason", reason.when(missing, REASONS["other"]))
+    return long.select("unit_id", "lang", "metric", F.when(F.col("reason").isNull(), F.bround("value", 4)).alias("value"), "reason")
 
 
 def cadence(sent: DataFrame, bins: int = 160) -> DataFrame:
