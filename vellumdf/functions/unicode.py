@@ -27,26 +27,32 @@ def slug(s: pd.Series) -> pd.Series:
     return s.map(one, na_action="ignore")
 
 
+#: Type-token ratio at which a stretch ends.
+LIMIT = 0.72
+
+
 @F.pandas_udf(DoubleType())
 def mtld(words: pd.Series) -> pd.Series:
     """Mean length of the stretches over which the type-token ratio stays above .72, forwards and backwards; null where no stretch ends."""
 
-    def one_way(seq: list[str]) -> float | None:
-        factors, size, seen = 0.0, 0, set()
-        for w in seq:
-            size += 1
-            seen.add(w)
-            if len(seen) / size <= 0.72:
-                factors, size, seen = factors + 1, 0, set()
-        if size:
-            factors += (1 - len(seen) / size) / 0.28
-        return len(seq) / factors if factors else None
+    def stretches(seq: list[str]) -> float:
+        """Stretches that end at the limit, the open one counted by its share of the way there."""
+        last: dict[str, int] = {}
+        begin = kinds = ended = 0
+        for i, w in enumerate(seq):
+            # new in this stretch: last met before it began
+            kinds += last.get(w, -1) < begin
+            last[w] = i
+            if kinds / (i + 1 - begin) <= LIMIT:
+                begin, kinds, ended = i + 1, 0, ended + 1
+        rest = len(seq) - begin
+        return ended + ((1 - kinds / rest) / (1 - LIMIT) if rest else 0.0)
 
     def both(w: object) -> float | None:
         if w is None or not len(w):
             return None
         seq = list(w)
-        there, back = one_way(seq), one_way(seq[::-1])
-        return None if there is None or back is None else (there + back) / 2
+        there, back = stretches(seq), stretches(seq[::-1])
+        return (len(seq) / there + len(seq) / back) / 2 if there and back else None
 
     return words.map(both)
