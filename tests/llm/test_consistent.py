@@ -26,13 +26,13 @@ def test_batch_equals_single():
 def test_pairs_match_brute_force(spark):
     rows = [
         (1, "a", "One", "same text", "x", "y"), (2, "a", "Оne", "same text", "x", "y"), (3, "b", "One", "same text", "x", "y"), (4, "b", None, None, None, None),
-        (5, "b", "", "​", "x", "y"), (6, "b", "​", "", "x", "y"), (7, "c", "One", "ｓame text", "x", "y"), (7, "c", "One", "ｓame text", "x", "y"),
+        (5, "b", "", "​", "x", "y"), (6, "b", "​", "", "x", "y"), (7, "c", "One", "ｓame text", "x", "y"), (7, "c", "One", "ｓame text", "x", "y"), (8, None, "One", None, "x", "y"), (9, None, "Оne", None, "x", "y"),
     ]
     got = {tuple(r) for r in consistent.look_alikes(spark.createDataFrame(rows, SCHEMA)).collect()}
     want = set()
     for a, b in combinations(sorted(set(rows), key=str), 2):
         for field, k in (("content", 3), ("chapter_title", 2)):
-            if a[k] is not None and b[k] is not None and a[k] != b[k] and skeleton(a[k]) == skeleton(b[k]) and (field == "content" or a[1] == b[1]):
+            if a[k] is not None and b[k] is not None and a[k] != b[k] and skeleton(a[k]) == skeleton(b[k]) and (field == "content" or a[1] is not None and a[1] == b[1]):
                 want.add((min(a[0], b[0]), max(a[0], b[0]), field))
     assert got == want
 

@@ -3,7 +3,8 @@
 ``consistent_sections`` gives both text fields of every section in one
 consistent form; ``look_alikes`` the pairs of rows whose values look the same
 but are stored differently.  Null values stay null and pair with nothing; empty
-texts and texts of blanks or invisible characters alone look the same.
+texts and texts of blanks or invisible characters alone look the same; a title without
+a book_id shares its book with none.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ def skeleton_keys(sections: DataFrame) -> DataFrame:
         out: dict[str, list] = {"field_name": [], "look": [], "stored": [], "section_id": []}
         for field in ("content", "chapter_title"):
             for i, (value, skel) in enumerate(zip(c[field], skeletons(c[field]), strict=True)):
-                if value is None:
+                if value is None or field == "chapter_title" and c["book_id"][i] is None:
                     continue
                 scope = "" if field == "content" else f"{c['book_id'][i]}\x00"
                 out["field_name"].append(field)
