@@ -122,3 +122,19 @@ def test_phrases_keywords_cadence(spark):
     assert M.keywords(M.frequencies(M.tokens(u))).orderBy("rank").first().word == "red"
     c = M.cadence(M.sentence_rows(u), bins=4).orderBy("bin").collect()
     assert [(r["first"], r["last"]) for r in c] == [(1, 3), (4, 6), (7, 9)]
+
+
+def test_index_of_findings(spark):
+    para = "The old dog was found near a warm door, then it slept under the very same light, quietly."
+    text = f"  {para}\n\n{para} The old cat ran. Dr. Bell saw the old cat.\n \nNew words, one, two, three, four, follow here because nothing else was said about any of this at all today."
+    u = units(spark, text, None, "")
+    e = E.index(u).collect()
+    at = lambda m: sorted(text[r.start : r.end] for r in e if r.metric == m)
+    assert {r.unit_id for r in e} == {0}
+    assert at("sentenceRepeat") == [para] and at("paragraphRepeat") == []
+    assert at("startRepeat") == ["The old", "The old"]
+    assert "the old cat" in {x.lower() for x in at("trigramRepeat")} and set(at("adverbs")) == {"quietly"} and at("connectors") == ["because"]
+    assert at("commaChains")[0].startswith("New words") and at("negations") == ["nothing"]
+    assert all(r.start < r.end <= len(text) for r in e)
+    got = E.sentence_offsets(u).where("unit_id = 0").orderBy("start").collect()
+    assert [text[r.start : r.end] for r in got] == [r.body for r in got] and len(got) == 5

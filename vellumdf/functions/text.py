@@ -41,15 +41,23 @@ def word_count(text: Column, pattern: str = WORD) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0))
 
 
-def sentences(text: Column) -> Column:
-    """Sentence texts in order; those without a word are left out.
+#: Stands behind the end of a sentence or paragraph, and for the point of an abbreviation; texts do not hold them.
+END, POINT = "\u0002", "\u0001"
+
+
+def marked_sentences(text: Column) -> Column:
+    """The text with END behind every sentence and POINT for points that end none: as long as the text but for the marks.
 
     A stop ends a sentence before a blank or the end, a blank line does too; a
     lone point behind an abbreviation or a single letter does not.
     """
-    guarded = F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?iu)(?<![{L}])({'|'.join(ABBREVIATIONS)}|[{L}])\.(?={WS}|\z)", "$1\u0001")
-    marked = F.regexp_replace(F.regexp_replace(guarded, rf"({STOPS})(?={WS}|\z)", "$1\u0002"), BLANK_LINE, "\n\u0002\n")
-    return F.filter(F.split(F.regexp_replace(marked, "\u0001", "."), "\u0002"), lambda s: s.rlike(WORD))
+    guarded = F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?iu)(?<![{L}])({'|'.join(ABBREVIATIONS)}|[{L}])\.(?={WS}|\z)", f"$1{POINT}")
+    return F.regexp_replace(F.regexp_replace(guarded, rf"({STOPS})(?={WS}|\z)", f"$1{END}"), f"({BLANK_LINE})", f"$1{END}")
+
+
+def sentences(text: Column) -> Column:
+    """Sentence texts in order; those without a word are left out."""
+    return F.filter(F.split(F.regexp_replace(marked_sentences(text), POINT, "."), END), lambda s: s.rlike(WORD))
 
 
 def paragraphs(text: Column) -> Column:

@@ -133,15 +133,26 @@ def ordered(tok: DataFrame) -> DataFrame:
     return a.select("unit_id", F.when(n >= WINDOW, 100.0 * F.col("s") / (WINDOW * (n - WINDOW + 1))).alias("mattr"), share(F.coalesce("repeats", F.lit(0)), F.col("content")).alias("nearRepeat"))
 
 
+def is_passive(lang: Column) -> Column:
+    """A sentence (its ``words``) with an auxiliary and a participle candidate."""
+    has = lambda words: F.arrays_overlap("words", F.array(*map(F.lit, words)))
+    de = has(PASSIVE_AUXILIARIES["de"]) & F.exists("words", lambda w: w.rlike("^(?:ge.{2,}(?:t|en)|.{3,}iert)$"))
+    en = has(PASSIVE_AUXILIARIES["en"]) & F.exists("words", lambda w: (F.length(w) >= 5) & (w.endswith("ed") | w.endswith("en")) | w.isin(PARTICIPLES_EN))
+    return by_language(lang, de, en)
+
+
+def own_words(lang: Column) -> Column:
+    """Distinct words of a paragraph of at least 12 words that are no stop words; none of a shorter one."""
+    content = F.array_distinct(F.filter("words", lambda w: ~is_stop(w, lang)))
+    return F.when(F.col("len") >= 12, content).otherwise(F.array().cast("array<string>"))
+
+
 def rhythm(sent: DataFrame, long_sentence: int = LONG_SENTENCE) -> DataFrame:
     """Sentence lengths and their change, and the sentence counts of the style metrics."""
     lang, s = F.col("lang"), F.col("sentence")
     nxt = F.lead("len").over(Window.partitionBy("unit_id").orderBy("sent"))
-    has = lambda words: F.arrays_overlap("words", F.array(*map(F.lit, words)))
-    de = has(PASSIVE_AUXILIARIES["de"]) & F.exists("words", lambda w: w.rlike("^(?:ge.{2,}(?:t|en)|.{3,}iert)$"))
-    en = has(PASSIVE_AUXILIARIES["en"]) & F.exists("words", lambda w: (F.length(w) >= 5) & (w.endswith("ed") | w.endswith("en")) | w.isin(PARTICIPLES_EN))
     t = sent.select(
-        "unit_id", "sent", F.col("len").cast("double").alias("len"), nxt.cast("double").alias("nxt"), F.contains(s, F.lit("?")).alias("q"), F.contains(s, F.lit("!")).alias("x"), F.regexp_count(s, F.lit(",")).alias("c"), by_language(lang, de, en).alias("passive")
+        "unit_id", "sent", F.col("len").cast("double").alias("len"), nxt.cast("double").alias("nxt"), F.contains(s, F.lit("?")).alias("q"), F.contains(s, F.lit("!")).alias("x"), F.regexp_count(s, F.lit(",")).alias("c"), is_passive(lang).alias("passive")
     )
     count = lambda c: F.sum(c.cast("int"))
     a = t.groupBy("unit_id").agg(
@@ -192,9 +203,7 @@ def phrases(sent: DataFrame, k: int = 16) -> DataFrame:
 def paragraph_metrics(par: DataFrame) -> DataFrame:
     """Paragraph lengths and the word overlap of neighbours; a paragraph under 12 words parts its neighbours."""
     lang = F.col("lang")
-    content = F.array_distinct(F.filter("words", lambda w: ~is_stop(w, lang)))
-    own = F.when(F.col("len") >= 12, content).otherwise(F.array().cast("array<string>"))
-    p = par.select("unit_id", "par", F.col("len").cast("double").alias("len"), own.alias("own"))
+    p = par.select("unit_id", "par", F.col("len").cast("double").alias("len"), own_words(lang).alias("own"))
     p = p.withColumn("before", F.lag("own").over(Window.partitionBy("unit_id").orderBy("par")))
     jaccard = F.when((F.size("own") > 0) & (F.size("before") > 0), F.size(F.array_intersect("own", "before")) / F.size(F.array_union("own", "before")))
     a = p.withColumn("j", jaccard).groupBy("unit_id").agg(

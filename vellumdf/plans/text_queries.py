@@ -223,6 +223,25 @@ def token_offsets(spark, d):
     return o.groupBy("unit_id", cut.alias("word")).agg(F.count("*").alias("f"))
 
 
+_HITS = f"""hits AS (SELECT unit_id, 'longSentences' AS metric, count(*) AS n FROM sent WHERE n > 30 GROUP BY unit_id
+  UNION ALL SELECT unit_id, 'commaChains', count(*) FROM sent WHERE length(sentence) - length(replace(sentence, ',', '')) >= 4 GROUP BY unit_id
+  UNION ALL SELECT unit_id, 'passive', count(*) FROM sent WHERE {_PASSIVE} GROUP BY unit_id
+  UNION ALL SELECT unit_id, 'sentenceRepeat', sum(f - 1) FROM (SELECT unit_id, w, count(*) AS f FROM sent WHERE n >= 5 GROUP BY ALL HAVING count(*) > 1) GROUP BY unit_id
+  UNION ALL SELECT unit_id, 'startRepeat', sum(f - 1) FROM (SELECT unit_id, w[1:2] AS k, count(*) AS f FROM sent WHERE n >= 2 GROUP BY ALL HAVING count(*) > 1) GROUP BY unit_id
+  UNION ALL SELECT unit_id, 'trigramRepeat', count(*) FROM (SELECT unit_id, gram FROM (SELECT unit_id, unnest(list_transform(range(1, n::BIGINT - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS gram FROM sent WHERE n >= 3) GROUP BY ALL HAVING count(*) >= 2) GROUP BY unit_id
+  UNION ALL SELECT unit_id, 'paragraphRepeat', sum(f - 1) FROM (SELECT unit_id, w, count(*) AS f FROM par WHERE n >= 12 GROUP BY ALL HAVING count(*) > 1) GROUP BY unit_id
+  UNION ALL SELECT unit_id, 'nominal', count(*) FROM tokens WHERE {_NOM} GROUP BY unit_id
+  UNION ALL SELECT unit_id, 'adverbs', count(*) FROM tokens WHERE {_ADV} GROUP BY unit_id
+  {" ".join(f"UNION ALL SELECT unit_id, '{x}', count(*) FROM tokens WHERE {S.in_lexicon(x)} GROUP BY unit_id" for x in LEXICONS)})"""
+
+
+@query(f"WITH {SECTIONS}, {S.TOKENS}, {S.SENTENCES}, {S.PARAGRAPHS}, {_HITS} SELECT unit_id, metric, n::BIGINT AS n FROM hits")
+def evidence_counts(spark, d):
+    """Findings of every metric with places, counted from their index."""
+    e = E.index(sections(spark, d)).where(~F.col("metric").isin("nearRepeat", "shifts"))
+    return e.groupBy("unit_id", "metric").agg(F.count("*").alias("n"))
+
+
 @query()
 def findings_shown(spark, d):
     """The first six findings of three metrics a document with their surroundings."""
