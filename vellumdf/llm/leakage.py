@@ -27,6 +27,8 @@ from .lookalikes import tables
 
 #: Rows of evaluation items that may be sent to all executors.
 MAX_ITEMS = 200_000
+#: Hits that are looked at together.
+HITS = 2_000_000
 DROP = 0xFFFFFFFF
 
 
@@ -145,22 +147,44 @@ def matches(items: Items, texts: list[str | None]) -> list[tuple[int, int, int,
         return []
     lo, hi = np.searchsorted(keys, items.keys, "left"), np.searchsorted(keys, items.keys, "right")
     n = hi - lo
-    if not n.any():
+    # hits of many suffixes at a time, a bounded number of them: repetitive texts hit often
+    hit = np.flatnonzero(n)
+    upto = np.cumsum(n[hit])
+    heads: list[tuple[np.ndarray, np.ndarray]] = []
+    a = 0
+    while a < len(hit):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + HITS, side="right")))
+        some = hit[a:b]
+        m = n[some]
+        pos = at[np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(lo[some], m)]
+        ipos = np.repeat(items.at[some], m)
+        # a match that goes on to the left is part of a longer one
+        head = (pos == 0) | (ipos == 0) | (words[pos - 1] != items.words[ipos - 1]) | (words[pos - 1] == 0)
+        heads.append((pos[head], ipos[head]))
+        a = b
+    if not heads:
         return []
-    which = np.repeat(np.arange(len(n)), n)
-    pos = at[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
-    ipos = items.at[which]
-    # a match that goes on to the left is part of a longer one
-    head = (pos == 0) | (ipos == 0) | (words[pos - 1] != items.words[ipos - 1]) | (words[pos - 1] == 0)
-    pos, ipos = pos[head], ipos[head]
+    pos, ipos = (np.concatenate(x) for x in zip(*heads, strict=True))
     text_of = np.searchsorted(starts, pos, side="right") - 1
+    # all matches grow together, word by word
+    length = np.full(len(pos), k)
+    live = np.arange(len(pos))
+    while len(live):
+        p, q = pos[live] + length[live], ipos[live] + length[live]
+        inside = (p < len(words)) & (q < len(items.words))
+        live, p, q = live[inside], p[inside], q[inside]
+        live = live[(words[p] == items.words[q]) & (words[p] != 0)]
+        length[live] += 1
+    # the longest of each text and item, the first of equal ones
+    owner = items.owner[ipos]
+    order = np.lexsort((pos, -length, owner, text_of))
+    keep = np.ones(len(order), bool)
+    keep[1:] = (text_of[order][1:] != text_of[order][:-1]) | (owner[order][1:] != owner[order][:-1])
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for p, q, t, o in zip(pos.tolist(), ipos.tolist(), text_of.tolist(), items.owner[ipos].tolist(), strict=True):
-        m = k
-        while p + m < len(words) and q + m < len(items.words) and words[p + m] == items.words[q + m] != 0:
-            m += 1
+    for x in order[keep].tolist():
+        t, o, m = int(text_of[x]), int(owner[x]), int(length[x])
         if m > best.get((t, items.ids[o]), (0, 0, 0))[0]:
-            best[t, items.ids[o]] = (m, p - int(starts[t]), q - int(items.first[o]))
+            best[t, items.ids[o]] = (m, int(pos[x] - starts[t]), int(ipos[x] - items.first[o]))
     return [(t, i, *v) for (t, i), v in best.items()]
 
 
