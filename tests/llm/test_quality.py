@@ -1,3 +1,5 @@
+import random
+
 from vellumdf.llm import quality
 from vellumdf.llm.chains import viterbi
 from vellumdf.llm.lines import not_prose
@@ -39,6 +41,20 @@ def test_styled_letters_do_not_matter():
     assert list(not_prose([wide, JUNK["list"].replace("a", "a​"), TEXT["prose"].replace("e", "е")])) == [True, True, False]
 
 
+def test_long_phrases_are_repeated_too():
+    rng = random.Random(5)
+    words = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(900)]
+    for period in (17, 24, 34, 60, 250):
+        phrase = " ".join(rng.choice(words) for _ in range(period)).capitalize() + "."
+        half = phrase.split()[: period // 2]
+        twice = " ".join(half + half + ["pol", "gar", "min"]) + "."  # a phrase that holds the same words twice
+        damaged = " ".join(w if rng.random() > 0.02 else "xoru" for w in ((phrase + " ") * 10).split())
+        assert list(not_prose([(phrase + " ") * 10, (phrase + "\n") * 10, (twice + "\n") * 10, damaged])) == [True] * 4, period
+        # once and twice is running text, and so is verse with a refrain
+        verse = "".join("\n".join(" ".join(rng.choice(words) for _ in range(7)) for _ in range(6)) + f"\n{' '.join(half[:9])}\n\n" for _ in range(5))
+        assert list(not_prose([phrase, phrase + " " + phrase, verse])) == [False] * 3, period
+
+
 def test_statistics(spark):
     rows = [(1, PROSE, 9), (2, JUNK["table"], 9), (3, None, 9), (4, "", 9), (5, "Wort " * 60_000, 9)]
     df = spark.createDataFrame(rows, "block_id long, text string, unit_id long")

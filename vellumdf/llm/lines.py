@@ -29,7 +29,10 @@ KINDS = ("prose", "list", "table", "junk")
 STATES = ("prose", "entries", "words", "table", "noise", "repeated", "letters")
 KIND_OF = np.array([0, 1, 1, 2, 3, 3, 3])
 MODEL = Path(__file__).parent / "models" / "lines.json"
+#: Periods up to here are compared at every lag; longer ones, of any length, are found by long_periods.
 MAX_LAG = 16
+#: Share of a whole long period that must agree with the one before where words differ.
+AGREEMENT = 0.7
 
 # character classes
 BREAK, BLANK, VOWEL, CONSONANT, UNCASED, DIGIT, STOP, COMMA, SOFT, SYMBOL, UPPER_V, UPPER_C, CLOSER, CELL = range(14)
@@ -107,6 +110,66 @@ def code_points(texts: list[str | None]) -> np.ndarray:
     return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def long_periods(h: np.ndarray, unit: np.ndarray) -> np.ndarray:
+    """How many of its two neighbours a period before and behind equal each word (0 to 2), in stretches repeated with a period over MAX_LAG.
+
+    h: hashes of the words, unit: the text of each, ascending.  For m = 4, 8, 16 ... the distance of each m words to
+    their previous place in the same text is taken; where it stays the same for a whole period, the stretch repeats.
+    Only what occurs twice with m words is looked at with 2 m, so that all periods are covered in a few short sorts.
+    A second pass takes the most frequent distance of each text and allows for single words that differ.
+    """
+    n = len(h)
+    behind, before = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+    gram, at, m, base = h * np.uint64(0x9E3779B97F4A7C15), np.arange(n), 1, 0xD6E8FEB86659FD93
+    voted = np.zeros(0, int), np.zeros(0, int)
+    while True:
+        at = at[(at + 2 * m <= n) & (unit[at] == unit[np.minimum(at + 2 * m, n) - 1])]
+        if not len(at):
+            break
+        gram = gram[: n - 2 * m + 1] * np.uint64(base) + gram[m : n - m + 1]
+        base, m = base * base % 2**64, 2 * m
+        if m < 4:
+            continue
+        key = gram[at] ^ (unit[at].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        order = np.argsort(key, kind="stable")
+        same = key[order[1:]] == key[order[:-1]]
+        i, d = at[order[1:][same]], (at[order[1:]] - at[order[:-1]])[same]
+        twice = np.zeros(len(at), bool)
+        twice[order[1:][same]] = twice[order[:-1][same]] = True
+        at = at[twice]
+        i, d = i[d > MAX_LAG], d[d > MAX_LAG]
+        o = np.argsort(i)
+        i, d = i[o], d[o]
+        if m == 4:
+            voted = i, d
+        if len(i):
+            head = np.flatnonzero(np.concatenate(([True], (np.diff(i) != 1) | (np.diff(d) != 0) | (np.diff(unit[i]) != 0))))
+            tail = np.concatenate((head[1:], [len(i)])) - 1
+            whole = i[tail] - i[head] + m >= d[head]
+            lo, hi, p = i[head][whole], i[tail][whole] + m, d[head][whole]
+            for marks, a, b in ((behind, lo, hi), (before, lo - p, hi - p)):
+                np.add.at(marks, a, 1)
+                np.add.at(marks, b, -1)
+    back, ahead = np.cumsum(behind)[:n] > 0, np.cumsum(before)[:n] > 0
+    i, d = voted
+    if len(i):
+        pair, votes = np.unique(np.stack((unit[i], d), 1), axis=0, return_counts=True)
+        o = np.lexsort((votes, pair[:, 0]))
+        best = pair[o][np.concatenate((np.diff(pair[o, 0]) != 0, [True]))]
+        for (_, p), s, e in zip(best, np.searchsorted(unit, best[:, 0]), np.searchsorted(unit, best[:, 0], side="right"), strict=True):
+            if e - s >= 2 * p:
+                eq = h[s + p : e] == h[s : e - p]
+                total = np.concatenate(([0], np.cumsum(eq)))
+                good = np.flatnonzero(total[p:] - total[:-p] >= AGREEMENT * p)
+                inside = np.zeros(len(eq) + 1, np.int64)
+                np.add.at(inside, good, 1)
+                np.add.at(inside, good + p, -1)
+                eq &= np.cumsum(inside)[:-1] > 0
+                back[s + p : e] |= eq
+                ahead[s : e - p] |= eq
+    return back.astype(np.int64) + ahead
+
+
 class Lines:
     """The non-blank lines of a batch of texts with their statistics."""
 
@@ -175,6 +238,7 @@ class Lines:
         # a stretch repeated with one period: words equal to the word a period before or behind
         periodic = np.where(unit_words >= 8, rep_unit.max(0) / np.maximum(unit_words - lag, 1), 0)
         own = rep_line[lag[unit_of_line], np.arange(n_lines)] / np.maximum(2 * words, 1) if n_lines else np.zeros(0)
+        own = np.maximum(own, np.bincount(wl, weights=long_periods(h, wu), minlength=n_lines) / np.maximum(2 * words, 1))
         self.repetition = np.where(words >= 1, np.maximum(own, np.where(words < 4, periodic[unit_of_line], 0)), 0.0)[real]
         self.n_units = n_units
         self.word_hash, self.word_unit = h, wu
