@@ -1,6 +1,7 @@
 import json
 import re
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from vellumdf.operators import evidence as E
 from vellumdf.operators import library as Y
 from vellumdf.operators import metrics as M
 from vellumdf.operators.taxonomy import Feature
+from vellumdf.plans.library_queries import QUERIES
 
 
 def test_settings():
@@ -93,6 +95,17 @@ def test_gate_and_distance(spark):
     assert [tuple(r) for r in Y.chapter_distances(vec, cover).collect()] == [(0, 1, 4.0)]
 
 
+def test_every_group_has_a_distance(spark, tmp_path):
+    rows = [(i, i % 10, [float((i * (3 + k) + k * k) % 17) for k in range(64)]) for i in range(400)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.doc: r.distance for r in QUERIES["baseline_distances"](spark, str(tmp_path)).collect()}
+    x, label = np.array([r[2] for r in rows]), np.array([r[1] for r in rows])
+    base = x[label == 0]
+    z = (x - base.mean(0)) / np.where(base.std(0) == 0, 1, base.std(0))
+    near = lambda v: np.sort(np.sqrt(((z[label == 0] - v) ** 2).sum(1)))[:25].mean()
+    assert got == {str(k): pytest.approx(np.mean([near(v) for v in z[label == k]]), abs=2e-5) for k in range(1, 10)}
+
+
 def test_matched_windows_are_medians_of_equal_windows(spark):
     words = [f"q{chr(97 + (i * i + i // 7) % 19)}{chr(97 + i % 11)}" for i in range(500)]
     u = M.units(spark.createDataFrame([("r", "de", " ".join(words) + ".")], "id string, lang string, t string"), "id", "lang", "t")

@@ -77,11 +77,22 @@ def segment_spans(spark, d):
   k AS (SELECT doc, tz.vec_id, list_distance(tz.z, bz.z) AS dist, row_number() OVER (PARTITION BY tz.vec_id ORDER BY list_distance(tz.z, bz.z), bz.vec_id) AS n FROM tz, bz QUALIFY n <= 25), r AS (SELECT doc, vec_id, avg(dist) AS raw FROM k GROUP BY ALL)
 SELECT doc, round(avg(raw), 5) AS distance FROM r GROUP BY doc""")
 def baseline_distance(spark, d):
-    """Distance of three groups to a fourth, scaled on that one only."""
+    """Distance of three groups to a fourth, scaled on that one only (all groups: baseline_distances)."""
     e = V.vectors(table(spark, d, "embeddings"), "vec_id", "embedding", F.col("label").cast("string").alias("doc"))
     return Y.baseline_distance(e.where(F.col("doc").isin("1", "2", "3")), e.where("doc = '0'").select("id", "v")).select("doc", F.round("distance", 5).alias("distance"))
 
 
+@query("""WITH v AS (SELECT vec_id, label::VARCHAR AS doc, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0), x AS (SELECT unnest(e) AS x, generate_subscripts(e, 1) AS dim FROM v WHERE doc = '0'),
+  f AS (SELECT list(mean ORDER BY dim) AS m, list(sd ORDER BY dim) AS s FROM (SELECT dim, avg(x) AS mean, CASE WHEN stddev_pop(x) = 0 THEN 1 ELSE stddev_pop(x) END AS sd FROM x GROUP BY dim)),
+  z AS (SELECT doc, vec_id, list_transform(range(1, 65), lambda i: (e[i] - m[i]) / s[i]) AS z FROM v, f WHERE doc IS NOT NULL), k AS (SELECT t.doc, t.vec_id, list_distance(t.z, b.z) AS dist, row_number() OVER (PARTITION BY t.vec_id ORDER BY list_distance(t.z, b.z), b.vec_id) AS n FROM z t, z b WHERE t.doc <> '0' AND b.doc = '0' QUALIFY n <= 25),
+  r AS (SELECT doc, vec_id, avg(dist) AS raw FROM k GROUP BY ALL)
+SELECT doc, round(avg(raw), 5) AS distance FROM r GROUP BY doc""")
+def baseline_distances(spark, d):
+    """Distance of every other group to the first, scaled on that one only."""
+    e = V.vectors(table(spark, d, "embeddings"), "vec_id", "embedding", F.col("label").cast("string").alias("doc"))
+    return Y.baseline_distance(e.where("doc <> '0'"), e.where("doc = '0'").select("id", "v")).select("doc", F.round("distance", 5).alias("distance"))
+
+
 @query("""WITH p AS (SELECT CASE WHEN source = 'lantern_press' THEN 'human' ELSE source END AS source, (doc_id % 100) / 100.0 AS percentile FROM documents WHERE source IS NOT NULL)
 SELECT round(avg(percentile) FILTER (source = 'human'), 6) AS human_mean, round(avg(percentile) FILTER (source <> 'human'), 6) AS machine_mean,
   coalesce(abs(avg(percentile) FILTER (source = 'human') - 0.71) <= 0.1 AND abs(avg(percentile) FILTER (source <> 'human') - 0.49) <= 0.1, false) AS within_tolerance, 'reconstruction' AS status FROM p""")
