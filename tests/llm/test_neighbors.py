@@ -39,6 +39,14 @@ def test_spread_vectors(spark):
     assert len(got & brute(rows)) >= 0.9 * 5 * 1500
 
 
+def test_spread_vectors_in_many_leaves(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "LEAF", 4)
+    rng = np.random.default_rng(6)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(1200, 64)).astype(np.float32))]
+    got = {(r.id, r.neighbor) for r in neighbors.nearest(frame(spark, rows), "reference_index", "matrix").collect()}
+    assert len(got & brute(rows)) >= 0.98 * 5 * 1200  # 300 leaves
+
+
 def test_copies_ties_and_unusable_rows(spark):
     one, two = [1.0] * 64, [2.0] * 64
     rows = [(i, one) for i in range(1, 10)] + [(20, two), (21, two), (22, [3.0] * 64)]

@@ -1,12 +1,13 @@
 """Problem 4: the most similar vectors for every vector.
 
 A hierarchical k-means tree of two levels is fitted on a bounded sample; every
-vector is put into the leaf a best-bin-first descent reaches.  Each leaf is
+vector is put into the leaf with the nearest centroid of all, so that the plane
+half way to another centroid is a true bound.  Each leaf is
 searched for its own vectors first, which gives every query the distance its
 k-th neighbour must beat.  The query then visits further leaves in the order of a
 priority queue over centroid distances, leaving out those that a bound rules
 out, up to the number of visits at which a calibration sample, compared with all
-vectors by brute force, reaches the wanted recall.
+vectors by brute force, reaches the wanted recall: all leaves if it takes them.
 
 Equal vectors are one vector of the index with the list of their rows.  A leaf
 of more than SHARD vectors is searched in shards.  Rows whose vector is null,
@@ -31,8 +32,8 @@ from ..tables import cut
 K, DIM = 5, 64
 #: Vectors a leaf should hold, most leaves (also the bound of what is broadcast: 4 bytes x DIM each), sample vectors a leaf.
 LEAF, MAX_LEAVES, PER_LEAF = 256, 32_768, 16
-#: Vectors searched at once, queries of the calibration, wanted recall, first and highest number of leaf visits.
-SHARD, CALIBRATION, RECALL, MIN_VISITS, MAX_VISITS = 4096, 256, 0.99, 4, 64
+#: Vectors searched at once, queries of the calibration, wanted recall, fewest leaf visits, visits the calibration begins with.
+SHARD, CALIBRATION, RECALL, MIN_VISITS, FIRST_VISITS = 4096, 256, 0.99, 4, 64
 
 
 class Tree:
@@ -52,6 +53,11 @@ class Tree:
         self.begin = np.concatenate(([0], np.cumsum(parent)))
         self.reach = np.full(len(self.leaf), np.inf)
 
+    def nearest_leaf(self, q: np.ndarray) -> np.ndarray:
+        """The leaf with the nearest centroid of all."""
+        step = max(1, (1 << 22) // len(self.leaf))
+        return np.concatenate([distances(q[i : i + step], self.leaf).argmin(1) for i in range(0, len(q), step)])
+
     def order(self, q: np.ndarray, visits: int) -> tuple[np.ndarray, np.ndarray]:
         """([queries, visits] leaves in best-bin-first order, their centroid distances); -1 where the tree has fewer leaves.
 
@@ -176,8 +182,10 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = K, dim: int = DIM, re
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                leaf, far = shared.value.order(_matrix(part.column("v"), dim), 1)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("v"), pa.array(leaf[:, 0]), pa.array(far[:, 0])], names=["id", "v", "leaf", "far"])
+                q = _matrix(part.column("v"), dim)
+                leaf = shared.value.nearest_leaf(q)
+                far = np.sqrt(((q - shared.value.leaf[leaf]) ** 2).sum(1))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("v"), pa.array(leaf), pa.array(far)], names=["id", "v", "leaf", "far"])
 
     placed = cut(reps.select("id", "v").mapInArrow(assign, "id long, v array<float>, leaf long, far double"))
     # one row a leaf: at most MAX_LEAVES rows come to the driver
@@ -210,9 +218,10 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = K, dim: int = DIM, re
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, shards = bent.value
+        step = max(1, 1024 * FIRST_VISITS // max(visits, FIRST_VISITS))
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
+            for at in range(0, b.num_rows, step):
+                part = b.slice(at, step)
                 q = _matrix(part.column("v"), dim)
                 bound = part.column("bound").to_numpy()
                 leaf, mine = part.column("leaf").to_numpy(), part.column("shard").to_numpy()
@@ -317,11 +326,17 @@ def _calibrate(placed: DataFrame, q: np.ndarray, qid: np.ndarray, tree: Tree, k:
     found = placed.select("id", "v", "leaf").mapInArrow(scan, "q long, d double, n long, leaf long")
     rank = Window.partitionBy("q").orderBy("d", "n")
     truth = found.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= k).select("q", "leaf").toArrow()  # k rows a sample query
-    order, _ = tree.order(q, min(MAX_VISITS, len(tree.leaf)))
-    at = (order[truth.column("q").to_numpy()] == truth.column("leaf").to_numpy()[:, None])
-    first = np.where(at.any(1), at.argmax(1) + 1, MAX_VISITS + 1)
-    need = int(np.quantile(first, recall, method="higher")) if len(first) else 1
-    return int(min(max(need, MIN_VISITS), MAX_VISITS, len(tree.leaf)))
+    if not truth.num_rows:
+        return min(MIN_VISITS, len(tree.leaf))
+    asked, wanted = truth.column("q").to_numpy(), truth.column("leaf").to_numpy()
+    visits = min(FIRST_VISITS, len(tree.leaf))
+    while True:
+        order, _ = tree.order(q, visits)
+        at = order[asked] == wanted[:, None]
+        need = int(np.quantile(np.where(at.any(1), at.argmax(1) + 1, len(tree.leaf) + 1), recall, method="higher"))
+        if need <= visits or visits == len(tree.leaf):
+            return min(max(need, MIN_VISITS), len(tree.leaf))
+        visits = min(2 * visits, len(tree.leaf))
 
 
 def _expand(rows: DataFrame, best: DataFrame, k: int) -> DataFrame:
