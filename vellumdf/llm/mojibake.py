@@ -1,16 +1,16 @@
 """Text decoded with a wrong encoding: find the garbled spans, restore them.
 
-Garbled sequences of every encoding pair are computed beforehand and matched by
-one Aho-Corasick automaton; only matched spans are replaced, so correct text in
-the same record stays as it is.
-
-* Multi-byte pairs (UTF-8 read as a one-byte code page): the automaton holds the
-  garbled form of every lead byte with its first continuation byte.  A hit is
-  extended to the longest stretch that decodes as UTF-8 and accepted when the
-  result is text.  Texts damaged twice are repaired again until nothing is left.
-* One-byte pairs (a code page read as another one): the automaton holds the
-  garbled letters; a word with a hit is decoded back and accepted when the
-  result is an ordinary word shape and the stored form is not.
+Only matched spans are replaced, so correct text in the same record stays as
+it is.
+
+* UTF-8 read as one of the one-byte pages in READ_AS: an Aho-Corasick automaton
+  holds the garbled form of every lead byte with its first continuation byte.
+  A hit is extended to the longest stretch that decodes as UTF-8 and accepted
+  when the result is text.  Texts damaged twice are repaired again until nothing is left.
+* One-byte pages read as others and two-byte pages (WRITTEN_...) are found beside
+  it by patterns and votes: what is decoded back is accepted when it is an ordinary
+  word shape and the stored form is not.
+* Not covered: Arabic and Thai pages, cp1255, cp1257, UTF-8 read as a two-byte page.
 * Characters lost for good (U+FFFD, also in its own garbled forms) are reported
   and left in place.
 
