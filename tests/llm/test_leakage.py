@@ -52,6 +52,17 @@ def test_disguised_passages(spark):
     assert got == [(1, 1), (2, 1), (3, 1), (4, 1), (9, 1), (9, 1)]
 
 
+def test_letters_above_the_basic_plane(spark):
+    item = "She left it behind the Lentrikax and met the Tafensan when it was the Dalfentam that closed"
+    bold = "".join(chr(0x1D41A + ord(c) - 97) if "a" <= c <= "z" else chr(0x1D400 + ord(c) - 65) if "A" <= c <= "Z" else c for c in item)
+    han = " ".join(chr(0x20000 + i) for i in range(12))
+    deseret = " ".join(chr(0x10400 + i) + chr(0x10401) for i in range(12))
+    small = " ".join(chr(0x10428 + i) + chr(0x10429) for i in range(12))
+    docs = [(1, bold), (2, han), (3, " ".join(chr(0x20100 + i) for i in range(12))), (4, small), (5, " ".join("\U0001f600" for _ in range(12))), (6, item.replace(" ", " \U0001f600 "))]
+    got = sorted((r.doc_id, r.item_id) for r in run(spark, docs, [(1, item), (2, han), (3, deseret), (4, "\U0001f680 " * 12)]).collect())
+    assert got == [(1, 1), (2, 2), (4, 3), (6, 1)]
+
+
 def test_clean_and_empty(spark):
     item = " ".join(f"w{i}" for i in range(12))
     df = spark.createDataFrame([(1, item), (2, "other")], "doc_id long, text string")

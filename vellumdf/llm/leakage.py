@@ -63,10 +63,27 @@ def _folds() -> tuple[np.ndarray, dict[int, str]]:
             fold[cp] = find(cp) + 1
         elif read.get(cp, "x") == "" or 0x300 <= cp < 0x370:
             fold[cp] = DROP
-    fold[0x10000] = 1
+    several |= {cp: to for cp, to in read.items() if cp >= 0x10000 and to}
     return fold, several
 
 
+def _fold_above(a: np.ndarray, f: np.ndarray) -> None:
+    """Sets the codes ``f`` of the characters of ``a`` above the basic plane: each letter or digit its own, in one case."""
+    big = np.flatnonzero(a >= 0x10000)
+    if not len(big):
+        return
+    read = tables()[1]
+    chars, which = np.unique(a[big], return_inverse=True)
+    codes = np.zeros(len(chars), np.uint32)
+    for i, cp in enumerate(chars.tolist()):
+        ch = chr(cp)
+        if unicodedata.category(ch)[0] in "LN":
+            codes[i] = ord(ch.lower()) + 1
+        elif read.get(cp) == "" or unicodedata.category(ch) == "Mn":
+            codes[i] = DROP
+    f[big] = codes[which]
+
+
 @functools.cache
 def _weights() -> np.ndarray:
     return np.random.default_rng(11).integers(1, 2**63, 128, dtype=np.uint64) | np.uint64(1)
@@ -86,6 +103,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
                 joined = joined.replace(chr(c), several[c])
             a = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     f = fold[np.minimum(a, 0x10000)]
+    _fold_above(a, f)
     keep = f != DROP
     a, f = a[keep], f[keep]
     in_word = f > 0
