@@ -34,14 +34,21 @@ def test_levels_and_who_is_graded(spark):
     rows = [(1, "a", story(3, 40), "x"), (2, "a", None, "x"), (3, "a", "", "x"), (4, "a", "Too short.", "x"), (5, "a", "猫は寝た。" * 100, "x"), (6, "b", "1 Dal ...... 9\n" * 60, "x")]
     df = spark.createDataFrame(rows, "section_id long, book_id string, content string, reading_level string")
     got = {r.section_id: r for r in reading.reading_levels(df).collect()}
-    assert set(got) == {1} and got[1].reading_level == reading.level_of(got[1].counted_grade)
+    assert set(got) == {1} and got[1].reading_level == reading.level_of(got[1].predicted_grade)
     assert reading.reading_levels(df.limit(0)).count() == 0
 
 
-def test_level_always_that_of_the_counted_grade():
+def test_the_trees_decide(monkeypatch):
     texts = [story(i, 20 + i) for i in range(1, 40)]
-    for g in reading.grades(texts):
-        assert g is not None and g[2] == reading.level_of(g[1])
+    got = reading.grades(texts)
+    assert all(g is not None and g[2] == reading.level_of(g[0]) for g in got)
+    assert len({g[2] for g in got}) > 1
+    monkeypatch.setattr(reading, "_model", lambda: {"slope": 1.0, "offset": 0.0, "model": {"base": 99.0, "trees": []}})
+    assert {g[2] for g in reading.grades(texts)} == {"hard"}  # without them every level changes
+
+
+def test_the_answer_is_no_feature():
+    assert not {"words_per_sentence", "long_word_share"} & set(reading.FEATURES)
 
 
 def test_boosting_learns_and_generalises():

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, depth: int = 4, rate: float = 0.1, bins: int = 64, least: int = 12) -> dict:
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 250, depth: int = 4, rate: float = 0.1, bins: int = 64, least: int = 12) -> dict:
     """Least-squares boosting.  A tree is lists of feature, threshold and value, children of node i at 2i+1 and 2i+2."""
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
     binned = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], 1)
