@@ -1,7 +1,7 @@
 import pytest
 
 from vellumdf.llm import encoding
-from vellumdf.llm.mojibake import repair
+from vellumdf.llm.mojibake import LATIN_PAIRS, READ_AS, REREAD, SCRIPTS, automaton, repair, sequences
 
 LATIN = "Später hörte der Müller den Schlüssel, während die Tür „offen“ blieb – für £40."
 FRENCH = "Le témoignage du bibliothécaire préférait l’été … où le père rêve après le déjeuner."
@@ -54,3 +54,43 @@ def test_lost_characters_and_table(spark):
     got = {r.doc_id: (r.garbled_spans, r.lost_chars) for r in encoding.restored(df, "doc_id", "text").collect()}
     assert got == {1: (0, 1), 5: (1, 0)}
     assert encoding.restored(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_mixed_correct_text_stays_letter_for_letter():
+    french = "Le café était fermé à midi."
+    for read in ("cp1252", "latin-1"):
+        bad = wrong(RUSSIAN, "cp1251", read)
+        assert repair(f"{french} {bad}")[0] == f"{french} {RUSSIAN}"
+        assert repair(f"{bad} {french}")[0] == f"{RUSSIAN} {french}"
+
+
+@pytest.mark.parametrize("times", [2, 3, 5])
+def test_damage_any_number_of_times(times):
+    bad = good = "Ein Café."
+    for _ in range(times):
+        bad = wrong(bad, "utf-8", "latin-1")
+    assert repair(bad)[0] == good
+
+
+def test_every_pair_is_in_the_automaton():
+    pairs = set().union(*sequences().values())
+    assert {p[0] for p in pairs if p[1] == "utf-8"} == set(READ_AS)
+    assert set(REREAD) <= pairs and {p for p, _ in SCRIPTS} <= pairs
+    # a Latin page whose letters all print as letters of Latin words leaves no sign
+    assert len(set(LATIN_PAIRS) & pairs) > len(LATIN_PAIRS) * 0.8
+    assert len(automaton()) > 60_000
+
+
+ARABIC = "كان الحارس القديم ينتظر السفينة في المساء"
+HEBREW = "השומר הזקן חיכה לספינה בערב"
+THAI = "คนเฝ้าประภาคารรอเรือในตอนเย็น"
+
+
+@pytest.mark.parametrize(("text", "written"), [(ARABIC, "cp1256"), (ARABIC, "iso8859-6"), (HEBREW, "cp1255"), (THAI, "cp874")])
+def test_scripts_without_capitals(text, written):
+    assert repair(wrong(text, written, "latin-1"))[0] == text
+
+
+@pytest.mark.parametrize(("written", "read"), [("koi8-r", "cp1251"), ("cp866", "cp1251"), ("cp1251", "koi8-r")])
+def test_cyrillic_under_another_cyrillic_page(written, read):
+    assert repair(wrong(RUSSIAN, written, read))[0] == RUSSIAN

@@ -3,14 +3,19 @@
 Only matched spans are replaced, so correct text in the same record stays as
 it is.
 
-* UTF-8 read as one of the one-byte pages in READ_AS: an Aho-Corasick automaton
-  holds the garbled form of every lead byte with its first continuation byte.
-  A hit is extended to the longest stretch that decodes as UTF-8 and accepted
-  when the result is text.  Texts damaged twice are repaired again until nothing is left.
-* One-byte pages read as others and two-byte pages (WRITTEN_...) are found beside
-  it by patterns and votes: what is decoded back is accepted when it is an ordinary
-  word shape and the stored form is not.
-* Not covered: Arabic and Thai pages, cp1255, cp1257, UTF-8 read as a two-byte page.
+* One Aho-Corasick automaton holds the garbled sequences of all pairs of
+  encodings, computed from the code pages (``sequences``): of UTF-8 read under the
+  pages of READ_AS every lead byte with its first continuation byte; of one-byte
+  pages read as others every two letters of the script (WRITTEN_SCRIPTS, REREAD)
+  or an accented letter with its neighbour (LATIN_PAIRS); of two-byte pages
+  (WRITTEN_DOUBLE) the kana, the commonest Chinese and all Korean characters.
+* Only stretches that hold a hit of the automaton are decoded back.  A stretch is
+  accepted when what comes out is text of ordinary word shapes and what is stored is
+  not; a word of one or two letters, too short to judge, follows the garbled word
+  beside it.  Stretches that touch another letter are part of its word and are
+  no Cyrillic, Greek, Arabic, Hebrew or Thai.
+* Texts damaged several times are repaired again until nothing is left.
+* Not covered: UTF-8 read as a two-byte page.
 * Characters lost for good (U+FFFD, also in its own garbled forms) are reported
   and left in place.
 
@@ -20,19 +25,26 @@ Null and empty texts have no garbled span and come back unchanged.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
+import string
 import unicodedata
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import ahocorasick
 
 from .lookalikes import CYRILLIC
 
 #: One-byte code pages under which UTF-8 may have been read.
-READ_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "iso8859-15", "mac_roman", "cp437", "cp850", "cp1254", "cp1253", "koi8-r", "cp866")
+READ_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "iso8859-15", "mac_roman", "cp437", "cp850", "cp1254", "cp1253", "koi8-r", "cp866", "iso8859-2", "cp1257", "cp1256")
 #: Code pages under which a text in another one-byte page may have been read, and the pages it may have been written in.
 READ_SIGNS = ("cp1252", "mac_roman", "latin-1", "cp437", "cp850", "cp1250")
 WRITTEN_CYRILLIC = ("cp1251", "koi8-r", "cp866", "mac_cyrillic", "iso8859-5")
 WRITTEN_GREEK = ("cp1253", "iso8859-7")
+WRITTEN_ARABIC = ("cp1256", "iso8859-6")
+WRITTEN_HEBREW = ("cp1255",)
+WRITTEN_THAI = ("cp874",)
 WRITTEN_LATIN = ("cp1252", "mac_roman", "cp850", "cp437", "cp1250")
 WRITTEN_DOUBLE = ("shift_jis", "gbk", "euc_jp", "euc_kr", "big5")
 READ_LATIN = ("cp1252", "cp1251", "mac_roman", "cp437", "cp850", "cp1250", "latin-1")
@@ -45,7 +57,6 @@ PRINT_SIGNS = "“”„‘’‚«»–—…£€°§©® ¿¡•™·"
 
 LOST = "�"
 TWINS = frozenset(CYRILLIC[0])
-ROUNDS = 4
 
 
 def _table(codec: str) -> list[str | None]:
@@ -91,42 +102,136 @@ def _is_text(ch: str) -> bool:
     return ch in "șțȘȚƒˆ˜" or 0x300 <= o < 0x30D or 0x386 <= o < 0x3CF or 0x400 <= o < 0x460 or 0x490 <= o < 0x492 or 0x5D0 <= o < 0x700 or 0x900 <= o < 0xE80 or 0x1E00 <= o < 0x2070 or 0x20A0 <= o < 0x20C0 or 0x2100 <= o < 0x2200 or 0x2500 <= o < 0x2600 or 0x3000 <= o < 0x3100 or 0x4E00 <= o < 0xA000 or 0xAC00 <= o < 0xD7A4 or 0xFB00 <= o < 0xFB07 or 0xFF00 <= o < 0xFFF0 or ch in "​‌‍⁠﻿" or o == 0xFFFD or 0x1F300 <= o < 0x1FA00
 
 
-@functools.cache
-def automaton() -> ahocorasick.Automaton:
-    """Garbled lead + continuation pairs, each with the code pages that give it, and single garbled letters."""
-    pairs: dict[str, list[str]] = {}
+def _utf8_sequences() -> Iterator[tuple[str, str, str]]:
     for codec in READ_AS:
         t = _table(codec)
-        # under the DOS and KOI8 pages only the lead bytes that print as frame characters are no letters of a plain text
-        for lead in range(0xC2, 0xE0 if codec in ("koi8-r", "cp866") else 0xF5):
-            if codec == "koi8-r" and t[lead].isalpha():
-                continue
+        # under the DOS page only the lead bytes that print as frame characters are no letters of a plain text
+        for lead in range(0xC2, 0xE0 if codec == "cp866" else 0xF5):
             for cont in range(0x80, 0xC0):
-                if lead == 0xE0 and cont < 0xA0 or t[lead] is None or t[cont] is None:
+                if lead == 0xE0 and cont < 0xA0 or t[lead] is None or t[cont] is None or codec == "koi8-r" and t[cont].isalpha():
                     continue
                 if lead < 0xE0 and not (_is_text(c := bytes([lead, cont]).decode()) or c == "\xad"):
                     continue
-                key = t[lead] + t[cont]
-                if key.isascii():
+                yield t[lead] + t[cont], codec, "utf-8"
+
+
+def _garbled(read: str, written: str, letters: str) -> dict[str, str]:
+    """How each letter that both pages know prints under the wrong one."""
+    out = {}
+    for c in letters:
+        try:
+            g = _table(read)[c.encode(written)[0]]
+        except UnicodeEncodeError:
+            continue
+        if g is not None and g >= "\x80":
+            out[c] = g
+    return out
+
+
+def _script_sequences() -> Iterator[tuple[str, str, str]]:
+    """Every two letters of a script: both small, or the first a capital, or both capitals."""
+    for (read, written), script in SCRIPTS:
+        g = _garbled(read, written, script.letters)
+        for a in g:
+            for b in g:
+                if script.cased and a.islower() and b.isupper():
+                    continue
+                yield g[a] + g[b], read, written
+
+
+def _reread_sequences() -> Iterator[tuple[str, str, str]]:
+    """Two Cyrillic letters under another Cyrillic page, where that shows: signs and letters no Russian word holds, capitals behind small letters."""
+    for read, written in REREAD:
+        g = _garbled(read, written, RUSSIAN)
+        for a in g:
+            for b in g:
+                if a.islower() and b.isupper():
                     continue
-                pairs.setdefault(key, []).append(codec)
+                key = g[a] + g[b]
+                if UNRUSSIAN.search(key) or key[0].islower() and key[1].isupper():
+                    yield key, read, written
+
+
+def _latin_sequences() -> Iterator[tuple[str, str, str]]:
+    """An accented letter that prints as something no Latin word holds, with the letter before or behind it."""
+    for read, written in LATIN_PAIRS:
+        letters, signs = _garbled(read, written, COMMON_ACCENTED), _garbled(read, written, PRINT_SIGNS)
+        for g in {*letters.values(), *signs.values()}:
+            if _odd_inside(g):
+                for c in string.ascii_letters + "-’'":
+                    yield c + g, read, written
+                    yield g + c, read, written
+            # behind a garbled quotation mark
+            for q in signs.values():
+                if _odd_inside(g) or _odd_inside(q):
+                    yield q + g, read, written
+
+
+def _double_sequences() -> Iterator[tuple[str, str, str]]:
+    kana = "".join(map(chr, range(0x3041, 0x30FB)))
+    hangul = "".join(map(chr, range(0xAC00, 0xD7A4)))
+    for read in READ_DOUBLE:
+        t = _table(read)
+        for written in WRITTEN_DOUBLE:
+            for c in hangul if written == "euc_kr" else kana + "".join(COMMON_HAN):
+                try:
+                    raw = c.encode(written)
+                except UnicodeEncodeError:
+                    continue
+                if len(raw) == 2 and all(t[x] is not None for x in raw):
+                    yield t[raw[0]] + t[raw[1]], read, written
+
+
+def sequences() -> dict[str, set[tuple[str, str]]]:
+    """Every garbled sequence with the (read, written) pairs of encodings that give it."""
+    out: dict[str, set[tuple[str, str]]] = {}
+    for key, read, written in itertools.chain(_utf8_sequences(), _script_sequences(), _reread_sequences(), _latin_sequences(), _double_sequences()):
+        if not key.isascii():
+            out.setdefault(key, set()).add((read, written))
+    return out
+
+
+@functools.cache
+def automaton() -> ahocorasick.Automaton:
+    """All garbled sequences, each with its length, the code pages that read UTF-8 so and the other pairs."""
     a = ahocorasick.Automaton()
-    for key, codecs in pairs.items():
-        a.add_word(key, (len(key), tuple(codecs)))
+    shared: dict[tuple, tuple] = {}  # many sequences have the same pairs
+    for key, pairs in sequences().items():
+        utf8 = tuple(c for c in READ_AS if (c, "utf-8") in pairs)
+        value = (len(key), utf8, frozenset(p for p in pairs if p[1] != "utf-8"))
+        a.add_word(key, shared.setdefault(value, value))
     a.make_automaton()
     return a
 
 
-@functools.cache
-def _rest_pattern(codec: str) -> re.Pattern:
-    return re.compile("[" + re.escape("".join(_bytes_of(codec))) + "]+")
+#: Start, end, pages that read UTF-8 so, other (read, written) pairs.
+Hit = tuple[int, int, tuple[str, ...], frozenset]
+
+
+def matched(text: str) -> list[Hit]:
+    return [(stop - n + 1, stop + 1, utf8, pairs) for stop, (n, utf8, pairs) in automaton().iter(text)]
+
+
+def _pairs_in(runs: list[re.Match], hits: list[Hit]) -> list[set]:
+    """The pairs whose sequences lie within each run."""
+    out: list[set] = []
+    k = 0
+    for m in runs:
+        while k < len(hits) and hits[k][0] < m.start():
+            k += 1
+        own: set = set()
+        i = k
+        while i < len(hits) and hits[i][0] < m.end():
+            if hits[i][1] <= m.end():
+                own |= hits[i][3]
+            i += 1
+        out.append(own)
+    return out
 
 
 @functools.cache
-def _pair_pattern() -> re.Pattern:
-    """Any first and second character of a garbled pair side by side: a cheap test before the automaton runs."""
-    keys = list(automaton())
-    return re.compile("[" + re.escape("".join({k[0] for k in keys})) + "][" + re.escape("".join({k[1] for k in keys})) + "]")
+def _rest_pattern(codec: str) -> re.Pattern:
+    return re.compile("[" + re.escape("".join(_bytes_of(codec))) + "]+")
 
 
 def _letters(s: str) -> bool:
@@ -177,6 +282,10 @@ def _utf8_at(text: str, at: int, codec: str, sure: bool = False) -> tuple[int, s
     inside = before.isascii() and before.isalpha() or after.isascii() and after.isalpha()
     if n == 2 and stored > "Ͱ" and _letters(stored) and not (inside and good in COMMON_ACCENTED) and not (good in "£€¥" and after.isdigit()) and not (sure and not before.isalpha() and not after.isalpha()):
         return None  # letters of one alphabet side by side are no evidence alone
+    if codec in ("cp1256", "koi8-r") and len(good) == 1 and not sure:
+        return None  # an Arabic letter before a comma, a Cyrillic one before the frame of a table
+    if codec in ("cp1257", "iso8859-2", "cp1256") and inside and any(c.isalpha() and c > "Ͱ" for c in good):
+        return None  # a letter of another script within a Latin word
     if len(good) == 1 and n > 2 and stored > "Ͱ" and _letters(stored) and good not in PRINT_SIGNS:
         return None  # three look-alike letters in a row, put in on purpose
     if any(map(_frame, stored)) and not all(c in COMMON_ACCENTED or c in PRINT_SIGNS or c.isalpha() and "Ά" <= c < "݀" or "฀" <= c < "຀" or _is_cjk(c) for c in good):
@@ -198,10 +307,10 @@ AROUND = "«»“”„‘’—–-…№·. \xa0\u202f\u2009\xad"
 RUN = re.compile(r"[^\x00-\x7f\s]+")
 CHUNK = re.compile(r"\S*[^\x00-\x7f\s]\S*")
 WORD = re.compile(r"[^\s.,;:!?()\[\]{}<>\"/|=+*#]*[^\x00-\x7f\s][^\s.,;:!?()\[\]{}<>\"/|=+*#]*")
-CASED_CYRILLIC = re.compile("[а-яё][А-ЯЁ]{2,}")
 #: Characters that a letter of another script turns into under the pages of READ_SIGNS.
 SIGN_CHARS = "\x80-\xffŒœŠšŸŽžƒˆ˜ıˇ˘˙˚˛˝–—‘-„†-•…‰‹›⁄€™Ω∂∆∏∑−√∞∫≈≠≤≥◊\uf8ffﬁﬂĂ-ž─-▟ΓΘΣΦαδεπστφⁿ₧⌐⌠⌡∙∩≡■"
-SIGN_RUN = re.compile(f"[{SIGN_CHARS}]{{3,}}")
+ANY_SIGNS = re.compile(f"[{SIGN_CHARS}]+")
+READ_DOUBLE = ("cp1252", "latin-1", "mac_roman")
 LATIN_PAIRS = tuple((r, w) for r in READ_LATIN for w in WRITTEN_LATIN if r != w and not {r, w} <= {"cp1252", "latin-1", "cp1250"})
 
 
@@ -235,36 +344,74 @@ def _is_foreign(run: str) -> bool:
     return sum(c.isalpha() and c < "Ͱ" or c not in AROUND and not _frame(c) and not c.isalpha() for c in run) * 2 > len(run) and len(set(run)) > 1
 
 
-def _rank(got: str | None, pattern: re.Pattern, frequent: frozenset[str]) -> float:
+class Script(NamedTuple):
+    """A script of one-byte pages: its words, letters, commonest letters, and whether it has capitals."""
+
+    word: re.Pattern
+    letters: str
+    frequent: frozenset[str]
+    cased: bool
+
+
+# The letters of the scripts, and those most of their words are made of.
+RUSSIAN = "абвгдежзийклмнопрстуфхцчшщъыьэюяёАБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯЁ"
+GREEK_LETTERS = "αβγδεζηθικλμνξοπρσςτυφχψωάέήίόύώΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩΆΈΉΊΌΎΏ"
+ARABIC_LETTERS = "ءآأؤإئابةتثجحخدذرزسشصضطظعغفقكلمنهوىي"
+HEBREW_LETTERS = "אבגדהוזחטיךכלםמןנסעףפץצקרשת"
+CYRILLIC_SCRIPT = Script(CYRILLIC_WORD, RUSSIAN, FREQUENT_CYRILLIC, True)
+GREEK_SCRIPT = Script(GREEK_WORD, GREEK_LETTERS, FREQUENT_GREEK, True)
+ARABIC_SCRIPT = Script(re.compile("[ء-غـ-ْ]+$"), ARABIC_LETTERS, frozenset("اليمونرتبةعدسفهك"), False)
+HEBREW_SCRIPT = Script(re.compile("[א-ת]+$"), HEBREW_LETTERS, frozenset("יוהלאתרמבשנ"), False)
+THAI_SCRIPT = Script(re.compile("[ก-ฺเ-๎]+$"), "".join(map(chr, [*range(0xE01, 0xE3B), *range(0xE40, 0xE4F)])), frozenset("านรอกเงมยลวดทตสะปบค่้ีัิ"), False)
+WRITTEN_SCRIPTS = ((WRITTEN_CYRILLIC, CYRILLIC_SCRIPT), (WRITTEN_GREEK, GREEK_SCRIPT), (WRITTEN_ARABIC, ARABIC_SCRIPT), (WRITTEN_HEBREW, HEBREW_SCRIPT), (WRITTEN_THAI, THAI_SCRIPT))
+SCRIPTS = tuple(((r, w), script) for pages, script in WRITTEN_SCRIPTS for r in READ_SIGNS for w in pages)
+
+
+def _rank(got: str | None, script: Script) -> float:
     """How much a decoded run is a word of the script: its letters times the share of frequent ones beyond chance."""
     core = got.strip(AROUND) if got else ""
-    if len(core) < 3 or not pattern.match(core) or not _word_shape(core.replace("ς", "σ")):
+    if len(core) < 3 or not script.word.match(core) or script.cased and not _word_shape(core.replace("ς", "σ")):
         return 0.0
     low = core.lower().translate(UNACCENT)
-    return max(0.0, sum(c in frequent for c in low) / len(low) - 0.4) * len(low)
+    return max(0.0, sum(c in script.frequent for c in low) / len(low) - 0.4) * len(low) * (0.6 if core.isupper() else 1.0)
 
 
 UNACCENT = str.maketrans("άέήίόύώϊϋΐΰё", "αεηιουωιυιυе")
-SCRIPTS = tuple(((r, w), CYRILLIC_WORD, FREQUENT_CYRILLIC) for r in READ_SIGNS for w in WRITTEN_CYRILLIC) + tuple(((r, w), GREEK_WORD, FREQUENT_GREEK) for r in READ_SIGNS for w in WRITTEN_GREEK)
 
 
-def _script_spans(text: str) -> list[tuple[int, int, str]]:
-    """Cyrillic and Greek words of one-byte pages: the pair that explains most runs of the text is applied to all its runs."""
-    runs = [m for m in SIGN_RUN.finditer(text) if _is_foreign(m.group()) and not _is_utf8(m.group())]
-    if not runs:
-        return []
-    votes = [sum(_rank(_decode(m.group(), *pair), pattern, frequent) for m in runs) for pair, pattern, frequent in SCRIPTS]
+def _beside(text: str, runs: list[re.Match], sure: list[bool], maybe: list[bool]) -> list[bool]:
+    """``sure`` runs and those that may be garbled and have no letter between them and one that counts already."""
+    out = list(sure)
+    apart = [any(map(str.isalpha, text[a.end() : b.start()])) for a, b in itertools.pairwise(runs)]
+    for order, step in ((range(1, len(runs)), -1), (range(len(runs) - 2, -1, -1), 1)):
+        for i in order:
+            if maybe[i] and not out[i] and out[i + step] and not apart[min(i, i + step)]:
+                out[i] = True
+    return out
+
+
+def _within_word(text: str, m: re.Match) -> bool:
+    """A letter that is no part of the stretch touches it."""
+    return text[max(0, m.start() - 1) : m.start()].isalpha() or text[m.end() : m.end() + 1].isalpha()
+
+
+def _script_spans(text: str, hits: list[Hit]) -> list[tuple[int, int, str]]:
+    """Words of other scripts in one-byte pages: the pair that explains most runs of the text is tried on all runs with its sequences."""
+    runs = list(ANY_SIGNS.finditer(text))
+    own = _pairs_in(runs, hits)
+    telling = [(m, p) for m, p in zip(runs, own, strict=True) if p and len(m.group()) >= 3 and _is_foreign(m.group()) and not _is_utf8(m.group())]
+    # letters of a page without capitals lie among its signs: a row of signs alone is none of its words
+    votes = [sum(_rank(_decode(m.group(), *pair), script) for m, p in telling if pair in p and (script.cased or any(map(str.isalpha, m.group())))) for pair, script in SCRIPTS]
     best = max(range(len(votes)), key=votes.__getitem__)
     if votes[best] <= 0.75:
         return []
-    pair, pattern, _ = SCRIPTS[best]
-    spans = []
-    for m in re.finditer(f"[{SIGN_CHARS}]+", text):
-        got = _decode(m.group(), *pair)
-        core = got.strip(AROUND) if got else ""
-        if core and pattern.match(core) and (len(core) > 1 or _word_shape(core)):
-            spans.append((m.start(), m.end(), got))
-    return spans
+    pair, script = SCRIPTS[best]
+    decoded = [_decode(m.group(), *pair) for m in runs]
+    cores = [got.strip(AROUND) if got else "" for got in decoded]
+    fits = [bool(core and script.word.match(core) and not _within_word(text, m)) for core, m in zip(cores, runs, strict=True)]
+    sure = [f and pair in p and len(core) > 2 for f, p, core in zip(fits, own, cores, strict=True)]
+    maybe = [f and (len(core) > 1 or script.cased and _word_shape(core)) for f, core in zip(fits, cores, strict=True)]
+    return [(m.start(), m.end(), got) for m, got, ok in zip(runs, decoded, _beside(text, runs, sure, maybe), strict=True) if ok]
 
 
 def _is_cjk(c: str) -> bool:
@@ -275,19 +422,22 @@ def _is_cjk(c: str) -> bool:
 COMMON_HAN = frozenset("的了是在我有不这這个個那们們到和地人来來说說里裡着著把了只又上")
 
 
-def _double_spans(text: str) -> list[tuple[int, int, str]]:
+def _double_spans(text: str, hits: list[Hit]) -> list[tuple[int, int, str]]:
     """Chinese, Japanese and Korean text of two-byte pages."""
     spans = []
-    for m in CHUNK.finditer(text):
+    chunks = list(CHUNK.finditer(text))
+    for m, own in zip(chunks, _pairs_in(chunks, hits), strict=True):
         chunk = m.group()
-        if sum(c >= "\x80" for c in chunk) < 6 or any(_is_cjk(c) for c in chunk) or any(map(_is_utf8, RUN.findall(chunk))):
+        if not own or sum(c >= "\x80" for c in chunk) < 6 or any(_is_cjk(c) for c in chunk) or any(map(_is_utf8, RUN.findall(chunk))):
             continue
         best: tuple[float, str] | None = None
-        for read in ("cp1252", "latin-1", "mac_roman"):
+        for read in READ_DOUBLE:
             raw = _encode(chunk, read)
             if raw is None:
                 continue
             for written in WRITTEN_DOUBLE:
+                if (read, written) not in own:
+                    continue
                 got = raw.decode(written, "replace")
                 n = len(got)
                 telling = sum("぀" <= c < "㄀" or c in COMMON_HAN or "가" <= c < "힤" for c in got)
@@ -323,10 +473,6 @@ def _latin_word(w: str, read: str, written: str) -> str | None:
     return got if parts and all(_word_shape(x.replace("ß", "s")) for x in parts) else None
 
 
-#: A Latin letter next to a character that Latin words do not hold.
-MIXED = re.compile("[A-Za-z](?=[^\x00-\x7f])|[^\x00-\x7f](?=[A-Za-z])")
-
-
 #: Quotation marks of the Macintosh page read as Windows letters: they touch punctuation instead of a word.
 STRAY_QUOTE = re.compile(r"(?<=[.!?,])[ÒÓÔÕ](?=[\s,.;:]|$)|(?<![^\W\d_])[ãÒÔ](?=[A-ZÄÖÜ][a-zäöüß])")
 
@@ -335,13 +481,18 @@ def _stray_spans(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), m.group().encode("cp1252").decode("mac_roman")) for m in STRAY_QUOTE.finditer(text)]
 
 
-def _latin_spans(text: str) -> list[tuple[int, int, str]]:
-    odd = [m for m in WORD.finditer(text) if any(c >= "\x80" and _odd_inside(c) for c in m.group()) and any(c.isascii() and c.isalpha() for c in m.group())]
+def _latin_spans(text: str, hits: list[Hit]) -> list[tuple[int, int, str]]:
+    words = list(WORD.finditer(text))
+    odd, own = [], []
+    for m, p in zip(words, _pairs_in(words, hits), strict=True):
+        if p and any(c >= "\x80" and _odd_inside(c) for c in m.group()) and any(c.isascii() and c.isalpha() for c in m.group()):
+            odd.append(m)
+            own.append(p)
     if not odd:
         return []
     letters = sum(c < "\x80" for c in text if c.isalpha()) * 2
     pairs = [p for p in LATIN_PAIRS if not (p[0] == "cp1251" and sum("Ѐ" <= c < "԰" for c in text) > letters / 4 or p[0] == "cp437" and sum("Ͱ" <= c < "Ѐ" for c in text) > letters / 4)]
-    fixed = {p: [_latin_word(m.group(), *p) for m in odd] for p in pairs}
+    fixed = {p: [_latin_word(m.group(), *p) if p in has else None for m, has in zip(odd, own, strict=True)] for p in pairs}
     order = sorted(fixed, key=lambda p: -sum(g is not None for g in fixed[p]))
     spans = []
     for k, m in enumerate(odd):
@@ -351,48 +502,50 @@ def _latin_spans(text: str) -> list[tuple[int, int, str]]:
     return spans
 
 
-def _cased_spans(text: str) -> list[tuple[int, int, str]]:
-    """Cyrillic read under another Cyrillic page: small letters followed by capitals."""
-    spans = []
-    for m in re.finditer("[А-яЁё]{4,}", text):
-        w = m.group()
-        if not CASED_CYRILLIC.search(w):
-            continue
-        for read, written in (("cp1251", "koi8-r"), ("koi8-r", "cp1251"), ("cp866", "cp1251"), ("cp1251", "mac_cyrillic"), ("mac_cyrillic", "cp1251")):
-            got = _decode(w, read, written)
-            if got and CYRILLIC_WORD.match(got) and _word_shape(got):
-                spans.append((m.start(), m.end(), got))
-                break
-    return spans
-
-
 #: Characters of the Cyrillic code pages that Russian words do not hold, look-alikes left out.
 UNRUSSIAN = re.compile("[ЂЃ‚ѓ‡€‰ЉЊЌЋЏђљњќћџЎўҐґ¤¦§©Є¬®Ї°±µ¶№єї]")
-HIGH_1251 = re.compile("[" + re.escape("".join(_bytes_of("cp1251"))) + "]{2,}")
-REREAD = tuple((r, w) for r in ("cp1251", "koi8-r", "mac_cyrillic") for w in ("cp866", "koi8-r", "cp1251", "mac_cyrillic") if r != w)
+HIGH_1251 = re.compile("[" + re.escape("".join(_bytes_of("cp1251"))) + "]+")
+REREAD = (
+    ("cp1251", "koi8-r"), ("koi8-r", "cp1251"), ("cp1251", "cp866"), ("cp866", "cp1251"), ("cp1251", "mac_cyrillic"), ("mac_cyrillic", "cp1251"),
+    ("koi8-r", "cp866"), ("koi8-r", "mac_cyrillic"), ("mac_cyrillic", "koi8-r"), ("mac_cyrillic", "cp866"),
+)
+
 
+def _plain_word(w: str) -> bool:
+    return w.isalpha() and _word_shape(w)
 
-def _reread_spans(text: str) -> list[tuple[int, int, str]]:
-    """Cyrillic of one code page read under another: words with signs and letters that Russian does not have."""
-    runs = [m for m in HIGH_1251.finditer(text) if len(m.group()) > 2 and UNRUSSIAN.search(m.group())]
-    votes = {p: sum(_rank(_decode(m.group(), *p), CYRILLIC_WORD, FREQUENT_CYRILLIC) for m in runs) for p in REREAD}
-    best = max(votes, key=votes.get) if runs else None
-    if best is None or votes[best] <= 2.0:
+
+def _is_utf8_of(run: str, read: str) -> bool:
+    raw = _encode(run, read)
+    try:
+        return raw is not None and len(raw) > 1 and all(map(_is_text, raw.decode("utf-8")))
+    except UnicodeDecodeError:
+        return False
+
+
+def _reread_spans(text: str, hits: list[Hit]) -> list[tuple[int, int, str]]:
+    """Cyrillic of one code page read under another: the pair that explains most words with its sequences."""
+    runs = list(HIGH_1251.finditer(text))
+    own = _pairs_in(runs, hits)
+    good = [not _within_word(text, m) and not _is_utf8_of(m.group(), "cp1251") for m in runs]
+    telling = [(m, p) for m, p, g in zip(runs, own, good, strict=True) if g and p and len(m.group()) > 2 and any(map(str.isalpha, m.group())) and not _plain_word(m.group())]
+    votes = {pair: sum(_rank(_decode(m.group(), *pair), CYRILLIC_SCRIPT) for m, p in telling if pair in p) for pair in REREAD}
+    best = max(votes, key=votes.get)
+    if votes[best] <= 0.75:
         return []
-    spans = []
-    for m in HIGH_1251.finditer(text):
-        got = _decode(m.group(), *best)
-        core = got.strip(AROUND) if got else ""
-        if core and CYRILLIC_WORD.match(core) and _word_shape(core) and (UNRUSSIAN.search(m.group()) or "\xa0" in m.group() or "\xad" in m.group()):
-            spans.append((m.start(), m.end(), got))
-    return spans
+    decoded = [_decode(m.group(), *best) for m in runs]
+    cores = [got.strip(AROUND) if got else "" for got in decoded]
+    fits = [bool(g and len(set(core)) > 1 and CYRILLIC_WORD.match(core) and _word_shape(core)) for g, core in zip(good, cores, strict=True)]
+    sure = [f and best in p and not _plain_word(m.group()) for f, p, m in zip(fits, own, runs, strict=True)]
+    # a word that prints as one of plain letters follows the garbled words beside it
+    usual = lambda w: sum(c in FREQUENT_CYRILLIC for c in w.lower()) / max(1, len(w))
+    maybe = [f and (not m.group().islower() or usual(core) > usual(m.group())) for f, core, m in zip(fits, cores, runs, strict=True)]
+    return [(m.start(), m.end(), got) for m, got, ok in zip(runs, decoded, _beside(text, runs, sure, maybe), strict=True) if ok]
 
 
-def _spans_utf8(text: str) -> list[tuple[int, int, str]]:
+def _spans_utf8(text: str, found_hits: list[Hit]) -> list[tuple[int, int, str]]:
     """The code page that explains most of the text's hits goes first; a hit it cannot explain falls to the next."""
-    if not _pair_pattern().search(text):
-        return []
-    hits = [(stop - n + 1, codecs) for stop, (n, codecs) in automaton().iter(text)]
+    hits = [(at, codecs) for at, _, codecs, _ in found_hits if codecs]
     if not hits:
         return []
     votes = dict.fromkeys(READ_AS, 0)
@@ -432,25 +585,36 @@ def repair(text: str | None) -> tuple[str | None, int, int]:
     if not text or text.isascii():
         return text, 0, 0
     found = 0
-    steps = []
-    if SIGN_RUN.search(text):
-        steps += (_script_spans, _double_spans)
-    if len(UNRUSSIAN.findall(text)) > 1:
-        steps.append(_reread_spans)
-    steps += (_spans_utf8,) * ROUNDS
-    if MIXED.search(text):
-        steps.append(_latin_spans)
+    hits: list[Hit] | None = None
+    seen = {text}
+
+    def step(finder: Callable, needed: Callable[[Hit], bool]) -> bool:
+        nonlocal text, found, hits
+        if hits is None:
+            hits = matched(text)
+        if not any(map(needed, hits)):
+            return False
+        spans = finder(text, hits)
+        if not spans:
+            return False
+        new = _apply(text, spans)
+        if new in seen:
+            return False
+        found += len(spans)
+        text, hits = new, None
+        seen.add(new)
+        return True
+
+    others = lambda h: bool(h[3])
+    while step(_script_spans, others):
+        pass
+    step(_double_spans, others)
+    while step(_reread_spans, others):
+        pass
+    while step(_spans_utf8, lambda h: bool(h[2])):
+        pass
+    step(_latin_spans, others)
     if STRAY_QUOTE.search(text):
-        steps.append(_stray_spans)
-    if CASED_CYRILLIC.search(text):
-        steps.append(_cased_spans)
-    done = False
-    for step in steps:
-        if done and step is _spans_utf8:
-            continue
-        spans = step(text)
-        done = step is _spans_utf8 and not spans
-        if spans:
-            found += len(spans)
-            text = _apply(text, spans)
+        spans = _stray_spans(text)
+        found, text = found + len(spans), _apply(text, spans)
     return text, found, text.count(LOST)
