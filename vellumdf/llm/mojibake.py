@@ -33,6 +33,7 @@ from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import ahocorasick
+import numpy as np
 
 from .lookalikes import CYRILLIC
 
@@ -56,6 +57,8 @@ COMMON_ACCENTED = "äöüßéèêëàâçîïôûùœñáíóúãõÄÖÜÉÈÀ
 PRINT_SIGNS = "“”„‘’‚«»–—…£€°§©® ¿¡•™·"
 
 LOST = "�"
+#: Characters of the longest sequence.
+LONGEST = 2
 TWINS = frozenset(CYRILLIC[0])
 
 
@@ -163,7 +166,7 @@ def _latin_sequences() -> Iterator[tuple[str, str, str]]:
                     yield g + c, read, written
             # behind a garbled quotation mark
             for q in signs.values():
-                if _odd_inside(g) or _odd_inside(q):
+                if not q.isalpha() and (_odd_inside(g) or _odd_inside(q)):
                     yield q + g, read, written
 
 
@@ -208,8 +211,27 @@ def automaton() -> ahocorasick.Automaton:
 Hit = tuple[int, int, tuple[str, ...], frozenset]
 
 
+@functools.cache
+def _heads() -> np.ndarray:
+    """Which two neighbouring characters (hashed to 22 bits) begin a sequence: a cheap test before the automaton runs."""
+    keys = np.array([(ord(k[0]), ord(k[1])) for k in automaton()], np.uint32)
+    out = np.zeros(1 << 22, bool)
+    out[(keys[:, 0] * np.uint32(40503) + keys[:, 1]) & 0x3FFFFF] = True
+    return out
+
+
 def matched(text: str) -> list[Hit]:
-    return [(stop - n + 1, stop + 1, utf8, pairs) for stop, (n, utf8, pairs) in automaton().iter(text)]
+    """Hits of the automaton, which runs only where two characters begin a sequence."""
+    a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = np.flatnonzero(_heads()[(a[:-1] * np.uint32(40503) + a[1:]) & 0x3FFFFF])
+    if not len(at):
+        return []
+    edge = np.flatnonzero(np.diff(at) > 16) + 1
+    hits: list[Hit] = []
+    find = automaton()
+    for i, j in zip(at[np.concatenate(([0], edge))].tolist(), at[np.concatenate((edge - 1, [len(at) - 1]))].tolist(), strict=True):
+        hits += [(stop - n + 1, stop + 1, utf8, pairs) for stop, (n, utf8, pairs) in find.iter(text, i, min(j + LONGEST, len(text)))]
+    return hits
 
 
 def _pairs_in(runs: list[re.Match], hits: list[Hit]) -> list[set]:
@@ -535,7 +557,7 @@ def _reread_spans(text: str, hits: list[Hit]) -> list[tuple[int, int, str]]:
         return []
     decoded = [_decode(m.group(), *best) for m in runs]
     cores = [got.strip(AROUND) if got else "" for got in decoded]
-    fits = [bool(g and len(set(core)) > 1 and CYRILLIC_WORD.match(core) and _word_shape(core)) for g, core in zip(good, cores, strict=True)]
+    fits = [bool(g and (len(core) == 1 or len(set(core)) > 1) and CYRILLIC_WORD.match(core) and _word_shape(core)) for g, core in zip(good, cores, strict=True)]
     sure = [f and best in p and not _plain_word(m.group()) for f, p, m in zip(fits, own, runs, strict=True)]
     # a word that prints as one of plain letters follows the garbled words beside it
     usual = lambda w: sum(c in FREQUENT_CYRILLIC for c in w.lower()) / max(1, len(w))
