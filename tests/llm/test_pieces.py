@@ -50,12 +50,26 @@ def test_whole_blocks_up_to_the_limit(spark):
     assert [r.cut_kind for r in got][0] == "between" and len(got) == 2
 
 
-def test_spans_of_long_chapters(spark, monkeypatch):
-    monkeypatch.setattr(pieces, "SPAN", 3000)
-    blocks = ["".join(sentence(k) for k in range(i, i + 3)) for i in range(90)]
+def test_long_chapters_are_cut_as_in_one_pass(spark, monkeypatch):
+    monkeypatch.setattr(pieces, "WINDOW", 6)
+    blocks = ["".join(sentence(k * k % 97) for k in range(i, i + 1 + i * 7 % 20)) for i in range(90)]
+    text = "".join(blocks)
     got = chapter(spark, blocks, limit=1000, overlap=300)
-    check(got, "".join(blocks), 1000, 300)
-    assert len({r.span for r in got}) > 3
+    check(got, text, 1000, 300)
+    assert len({r.window for r in got}) > 5 and {r.cut_kind for r in got[:-1]} <= set(pieces.KINDS) and got[-1].cut_kind == ""
+    # the same by hand over the whole text at once
+    starts = [sum(map(len, blocks[:i])) for i in range(len(blocks))]
+    edges = pieces.boundaries([(a, t, "paragraph") for a, t in zip(starts, blocks)], 1000, 300)
+    anchors = [pieces.anchor(text, 0, edges, k * 6000, 3000)[0] for k in range(1, len(text) // 6000 + 1) if k * 6000 + 3000 <= len(text)]
+    stops = [0, *anchors, len(text)]
+    want = [x[1] for a, b in zip(stops, stops[1:]) for x in pieces.cut_part(text, 0, edges, a, b, 1000, 300)]
+    assert [r.piece_end for r in got] == want
+
+
+def test_rows_without_a_number_are_blocks_of_their_own(spark):
+    rows = [(i, "b", None, 1, sentence(i) * 20, None, T0) for i in range(5)] + [(9, "b", 1, 1, "end", None, T0)]
+    got = pieces.chapter_pieces(frame(spark, rows)).agg({"piece_end": "max"}).first()[0]
+    assert got == sum(len(sentence(i) * 20) for i in range(5)) + 3
 
 
 def test_redelivery_nulls_and_small_chapters(spark):
