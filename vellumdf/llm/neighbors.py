@@ -1,24 +1,25 @@
 """Problem 4: the most similar vectors for every vector.
 
-A hierarchical k-means tree of two levels is fitted on a bounded sample; every
-vector is put into the leaf with the nearest centroid of all, so that the plane
-half way to another centroid is a true bound.  Each leaf is
-searched for its own vectors first, which gives every query the distance its
-k-th neighbour must beat.  The query then visits further leaves in the order of a
-priority queue over centroid distances, leaving out those that a bound rules
-out, up to the number of visits at which a calibration sample, compared with all
-vectors by brute force, reaches the wanted recall: all leaves if it takes them.
-
-Equal vectors are one vector of the index with the list of their rows.  A leaf
-of more than SHARD vectors is searched in shards.  Rows whose vector is null,
-holds null or NaN or has another length, and rows without a number, take no part; a
-row that is repeated counts once.  Ties go to the smaller
-row number.
+A hierarchical k-means tree is fitted on a sample of bounded size, chosen by a
+hash of the row number; every vector is put into the leaf with the nearest
+centroid of all, so that the plane half way to another centroid is a true bound.
+Neighbouring leaves form parts of bounded size.  Each part is searched for its own
+vectors first, which gives every query the distance its k-th neighbour must beat.
+The query then visits further leaves in the order of a priority queue over
+centroid distances, leaving out those that a bound rules out, up to the number of
+visits at which a calibration sample - rows the tree was not fitted on, compared
+with all vectors by brute force - reaches the wanted recall: all leaves if it takes
+them.  A query is sent once to each part it visits, whatever the number of leaves.
+
+Equal vectors are one vector of the index with its smallest row numbers, combined
+before and after the shuffle.  A leaf of more than SHARD vectors is searched in
+shards, a part that more than HOT queries visit in copies.  Rows whose vector is
+null, holds null or NaN or has another length, and rows without a number, take no
+part; a row that is repeated counts once.  Ties go to the smaller row number.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,28 +31,50 @@ from pyspark.sql.window import Window
 from ..tables import cut
 
 K, DIM = 5, 64
-#: Vectors a leaf should hold, most leaves (also the bound of what is broadcast: 4 bytes x DIM each), sample vectors a leaf.
-LEAF, MAX_LEAVES, PER_LEAF = 256, 32_768, 16
-#: Vectors searched at once, queries of the calibration, wanted recall, fewest leaf visits, visits the calibration begins with.
+#: Vectors a leaf should hold, most leaves (also the bound of what is broadcast: 8 bytes x DIM each), sample vectors a leaf, children of a node.
+LEAF, MAX_LEAVES, PER_LEAF, BRANCH = 256, 32_768, 16, 32
+#: Vectors of a part and of a shard, queries of the calibration, wanted recall, fewest leaf visits, visits the calibration begins with.
 SHARD, CALIBRATION, RECALL, MIN_VISITS, FIRST_VISITS = 4096, 256, 0.99, 4, 64
+#: Up to here all rows are the sample and all leaves are visited; queries of one part that one task should answer.
+SMALL, HOT = 1024, 200_000
 
 
 class Tree:
-    """Centroids of both levels; leaves of one parent lie together."""
+    """Centroids of all nodes; node 0 is the root, the children of a node lie together, and so do the leaves below it."""
 
     def __init__(self, sample: np.ndarray, leaves: int, seed: int = 0):
         rng = np.random.default_rng(seed)
-        top = max(1, round(math.sqrt(leaves)))
-        self.top, member = kmeans(sample, top, rng)
-        centres, parent = [], []
-        for t in range(len(self.top)):
-            own = sample[member == t]
-            c, _ = kmeans(own, max(1, round(leaves * len(own) / max(1, len(sample)))), rng) if len(own) else (self.top[t : t + 1], None)
-            centres.append(c)
-            parent.append(len(c))
-        self.leaf = np.vstack(centres)
-        self.begin = np.concatenate(([0], np.cumsum(parent)))
-        self.reach = np.full(len(self.leaf), np.inf)
+        centre: list[np.ndarray] = [sample.mean(0)]
+        child: list[tuple[int, int]] = [(0, 0)]
+        leaf_of: list[int] = [-1]
+        below = [(0, np.arange(len(sample)), leaves)]
+        found = 0
+        while below:
+            node, rows, want = below.pop()
+            if want < 2 or len(rows) < 2:
+                leaf_of[node] = found
+                found += 1
+                continue
+            c, member = kmeans(sample[rows], min(BRANCH, want), rng)
+            full = np.unique(member)
+            if len(full) < 2:  # copies of one vector
+                leaf_of[node] = found
+                found += 1
+                continue
+            child[node] = (len(centre), len(centre) + len(full))
+            for t in full:
+                own = rows[member == t]
+                below.append((len(centre), own, round(want * len(own) / len(rows))))
+                centre.append(c[t])
+                child.append((0, 0))
+                leaf_of.append(-1)
+        self.centre = np.vstack(centre)
+        self.begin, self.end = np.array(child, np.int64).T
+        self.leaf_of = np.array(leaf_of, np.int64)
+        self.leaf = np.zeros((found, sample.shape[1]))
+        at = np.flatnonzero(self.leaf_of >= 0)
+        self.leaf[self.leaf_of[at]] = self.centre[at]
+        self.reach = np.full(found, np.inf)
 
     def nearest_leaf(self, q: np.ndarray) -> np.ndarray:
         """The leaf with the nearest centroid of all."""
@@ -62,45 +85,46 @@ class Tree:
         """([queries, visits] leaves in best-bin-first order, their centroid distances); -1 where the tree has fewer leaves.
 
         One priority queue a query, all queries side by side: the nearest node is
-        taken off; an inner node puts its leaves into the queue, a leaf is a visit.
+        taken off; an inner node puts its children into the queue, a leaf is a visit.
+        The order does not depend on ``visits``.
         """
-        n, tops = len(q), len(self.top)
-        wide = int(np.diff(self.begin).max())
-        opens = min(tops, 2 + visits)
-        dist = np.full((n, tops + opens * wide), np.inf)
-        node = np.full(dist.shape, -1, np.int64)
-        dist[:, :tops] = distances(q, self.top)
-        node[:, :tops] = -1 - np.arange(tops)  # inner nodes count down from -1
+        n = len(q)
+        wide = int((self.end - self.begin).max()) or 1
+        dist, node = np.full((n, 1 + 8 * wide), np.inf), np.full((n, 1 + 8 * wide), -1, np.int64)
+        dist[:, 0] = 0.0
+        node[:, 0] = 0
         opened = np.zeros(n, np.int64)
         out = np.full((n, visits), -1, np.int64)
         how_far = np.full((n, visits), np.inf)
         got = np.zeros(n, np.int64)
         rows = np.arange(n)
         while True:
-            best = dist[rows, :].argmin(1)
-            d = dist[rows, best]
-            v = node[rows, best]
+            best = dist[rows].argmin(1)
+            d, v = dist[rows, best], node[rows, best]
             live = np.isfinite(d) & (got[rows] < visits)
             rows, best, d, v = rows[live], best[live], d[live], v[live]
             if not len(rows):
                 return out, how_far
             dist[rows, best] = np.inf
-            leaf = v >= 0
-            r = rows[leaf]
-            out[r, got[r]] = v[leaf]
-            how_far[r, got[r]] = d[leaf]
+            is_leaf = self.leaf_of[v] >= 0
+            r = rows[is_leaf]
+            out[r, got[r]] = self.leaf_of[v[is_leaf]]
+            how_far[r, got[r]] = d[is_leaf]
             got[r] += 1
-            inner = rows[~leaf]
-            which = -1 - v[~leaf]
-            ok = opened[inner] < opens
-            inner, which = inner[ok], which[ok]
-            for t in np.unique(which):
-                who = inner[which == t]
-                a, b = self.begin[t], self.begin[t + 1]
-                at = tops + opened[who, None] * wide + np.arange(b - a)
-                dist[who[:, None], at] = distances(q[who], self.leaf[a:b])
-                node[who[:, None], at] = np.arange(a, b)
-            opened[inner] += 1
+            r, v = rows[~is_leaf], v[~is_leaf]
+            if not len(r):
+                continue
+            while 1 + (opened[r].max() + 1) * wide > dist.shape[1]:
+                dist = np.hstack((dist, np.full((n, 8 * wide), np.inf)))
+                node = np.hstack((node, np.full((n, 8 * wide), -1, np.int64)))
+            kids = self.begin[v][:, None] + np.arange(wide)
+            real = kids < self.end[v][:, None]
+            kids = np.where(real, kids, 0)
+            far = np.sqrt(((q[r][:, None, :] - self.centre[kids]) ** 2).sum(2))
+            at = 1 + opened[r, None] * wide + np.arange(wide)
+            dist[r[:, None], at] = np.where(real, far, np.inf)
+            node[r[:, None], at] = kids
+            opened[r] += 1
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -147,84 +171,118 @@ def _top(q: np.ndarray, qid: np.ndarray, m: np.ndarray, mid: np.ndarray, k: int)
     return np.take_along_axis(exact, order, 1), np.take_along_axis(ids, order, 1)
 
 
-PAIRS = "id long, near array<struct<d: double, n: long>>"
+NEAR = "near array<struct<d: double, n: long>>"
+PAIRS = f"id long, {NEAR}"
+PLACED = "id long, v array<float>, ids array<long>, a long, b long, leaf long, far double"
+HOME = f"id long, v array<float>, ids array<long>, a long, b long, leaf long, part long, {NEAR}"
+VISITS = "id long, v array<float>, bound double, part long, leaves array<long>"
+
+
+def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(values))
 
 
-def _pair_batch(qid: np.ndarray, d: np.ndarray, ids: np.ndarray, bound: np.ndarray | None = None) -> pa.RecordBatch:
+def _near(d: np.ndarray, ids: np.ndarray, bound: np.ndarray | None = None) -> pa.ListArray:
     ok = np.isfinite(d) if bound is None else np.isfinite(d) & (d <= bound[:, None])
-    offsets = np.concatenate(([0], np.cumsum(ok.sum(1)))).astype(np.int32)
     flat = pa.StructArray.from_arrays([pa.array(d[ok]), pa.array(ids[ok])], names=["d", "n"])
-    keep = pa.array(qid)
-    return pa.RecordBatch.from_arrays([keep, pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["id", "near"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(ok.sum(1)))).astype(np.int32)), flat)
+
+
+def _sampled(rows: DataFrame, low: float, high: float, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of the rows whose hash lies in a share of all hashes: no order, no single task."""
+    place = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30))
+    got = rows.where((place >= int(low * (1 << 30))) & (place < int(high * (1 << 30)))).select("id", "v").toArrow()
+    return got.column("id").to_numpy(), _matrix(got.column("v").combine_chunks(), dim) if got.num_rows else np.zeros((0, dim))
 
 
 def nearest(df: DataFrame, key: str, vector: str, k: int = K, dim: int = DIM, recall: float = RECALL) -> DataFrame:
     """id, neighbor, distance, rank (1 to k) of every usable row, at the calibrated recall."""
     spark = df.sparkSession
     ctx = spark.sparkContext
-    rows = usable(df, key, vector, dim).withColumn("g", F.struct(F.xxhash64("v").alias("a"), F.xxhash64("v", F.lit(1)).alias("b")))
-    # equal vectors: the smallest row number stands for them; of its rows the k + 1 smallest can ever be neighbours
-    place = Window.partitionBy("g").orderBy("id")
-    once = rows.withColumn("before", F.lag("id").over(place)).where(~F.col("before").eqNullSafe(F.col("id"))).drop("before")
-    rows = cut(once.withColumn("place", F.row_number().over(place)))
-    reps = rows.where("place = 1").select("id", "v", "g")
-    n = reps.count()
+    rows = usable(df, key, vector, dim).withColumn("a", F.xxhash64("v")).withColumn("b", F.xxhash64("v", F.lit(1)))
+    n = rows.count()
     if n < 2:
-        return _expand(rows, spark.createDataFrame([], PAIRS), k)
+        return spark.createDataFrame([], "id long, neighbor long, distance double, rank int")
     leaves = int(min(MAX_LEAVES, max(1, n // LEAF)))
-    sample = reps.orderBy(F.xxhash64("id")).limit(max(CALIBRATION, PER_LEAF * leaves)).select("id", "v").toArrow()
-    x = _matrix(sample.column("v").combine_chunks(), dim)
-    ids = sample.column("id").to_numpy()
-    tree = Tree(x, leaves)
+    small = n <= SMALL
+    fit = 1.0 if small else min(0.5, max(CALIBRATION, PER_LEAF * leaves) / n)
+    _, x = _sampled(rows, 0.0, fit, dim)
+    tree = Tree(x if len(x) else np.zeros((1, dim)), leaves)
     shared = ctx.broadcast(tree)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                q = _matrix(part.column("v"), dim)
-                leaf = shared.value.nearest_leaf(q)
-                far = np.sqrt(((q - shared.value.leaf[leaf]) ** 2).sum(1))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("v"), pa.array(leaf), pa.array(far)], names=["id", "v", "leaf", "far"])
-
-    placed = cut(reps.select("id", "v").mapInArrow(assign, "id long, v array<float>, leaf long, far double"))
+        """The distinct vectors of each batch with their k + 1 smallest row numbers, in their leaves: more of them can never be neighbours."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, a, b = (batch.column(c).to_numpy() for c in ("id", "a", "b"))
+            o = np.lexsort((ids, b, a))
+            other = np.concatenate(([True], (a[o][1:] != a[o][:-1]) | (b[o][1:] != b[o][:-1])))
+            o = o[other | np.concatenate(([True], ids[o][1:] != ids[o][:-1]))]
+            other = np.concatenate(([True], (a[o][1:] != a[o][:-1]) | (b[o][1:] != b[o][:-1])))
+            first = np.flatnonzero(other)
+            size = np.diff(np.concatenate((first, [len(o)])))
+            keep = np.arange(len(o)) - np.repeat(first, size) <= k
+            rep = o[first]
+            v = batch.column("v").take(pa.array(rep))
+            q = _matrix(v, dim)
+            leaf = shared.value.nearest_leaf(q)
+            far = np.sqrt(((q - shared.value.leaf[leaf]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[rep]), v, _lists(ids[o][keep], np.minimum(size, k + 1)), pa.array(a[rep]), pa.array(b[rep]), pa.array(leaf), pa.array(far)], names=["id", "v", "ids", "a", "b", "leaf", "far"])
+
+    placed = cut(rows.mapInArrow(assign, PLACED))
     # one row a leaf: at most MAX_LEAVES rows come to the driver
     shape = {r.leaf: (r.n, r.far) for r in placed.groupBy("leaf").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}
     tree.reach = np.array([shape.get(i, (0, -np.inf))[1] for i in range(len(tree.leaf))])
-    shards = np.array([max(1, -(-shape.get(i, (0, 0))[0] // SHARD)) for i in range(len(tree.leaf))], np.int64)
-    visits = _calibrate(placed, x[:CALIBRATION], ids[:CALIBRATION], tree, k, dim, recall)
-    bent = ctx.broadcast((tree, shards))
-
-    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            leaf = b.column("leaf").to_numpy()
-            s = (b.column("id").to_numpy() * 2654435761 % 4294967296) % bent.value[1][leaf]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "v", "leaf")), pa.array(s)], names=["id", "v", "leaf", "shard"])
-
-    members = placed.mapInArrow(shard, "id long, v array<float>, leaf long, shard long")
+    part_of, shards = _parts([shape.get(i, (0, 0))[0] for i in range(len(tree.leaf))])
+    visits = len(tree.leaf)
+    if not small and visits > MIN_VISITS:
+        qid, q = _sampled(rows, fit, min(1.0, fit + CALIBRATION / n), dim)
+        visits = _calibrate(placed, q, qid, tree, k, dim, recall)
+    bent = ctx.broadcast((tree, part_of, shards))
+
+    def into_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, part_of, shards = bent.value
+        for batch in batches:
+            leaf = batch.column("leaf").to_numpy()
+            part = part_of[leaf] + np.where(shards[leaf] > 1, np.abs(batch.column("a").to_numpy() >> 8) % shards[leaf], 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(part)], names=[*batch.schema.names[:6], "part"])
+
+    members = placed.mapInArrow(into_parts, "id long, v array<float>, ids array<long>, a long, b long, leaf long, part long")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, mid, m in _groups(batches, dim):
+        """The distinct vectors of each part with the nearest of the same part."""
+        for _, _, group in _groups(batches, ("part",)):
+            t = pa.Table.from_batches(group)
+            a, b, ids = t.column("a").to_numpy(), t.column("b").to_numpy(), t.column("id").to_numpy()
+            first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+            size = np.diff(np.concatenate((first, [len(a)])))
+            lists = t.column("ids").take(pa.array(first)).to_pylist()
+            for g in np.flatnonzero(size > 1).tolist():
+                some = t.column("ids").slice(int(first[g]), int(size[g])).combine_chunks().flatten().to_numpy()
+                lists[g] = np.unique(some)[: k + 1].tolist()
+            once = t.take(pa.array(first)).combine_chunks()
+            mid, v = ids[first], once.column("v").combine_chunks()
+            m = _matrix(v, dim)
+            d, near = np.full((len(mid), k), np.inf), np.full((len(mid), k), -1, np.int64)
             for at in range(0, len(mid), 1024):
-                d, near = _top(m[at : at + 1024], mid[at : at + 1024], m, mid, k)
-                yield _pair_batch(mid[at : at + 1024], d, near)
-
-    def ordered(d: DataFrame, *more: str) -> DataFrame:
-        return d.repartition("leaf", "shard").sortWithinPartitions("leaf", "shard", *more)
+                x, y = _top(m[at : at + 1024], mid[at : at + 1024], m, mid, k)
+                d[at : at + 1024, : x.shape[1]], near[at : at + 1024, : x.shape[1]] = x, y
+            cols = [pa.array(mid), v, pa.array(lists, pa.list_(pa.int64())), *(once.column(c).combine_chunks() for c in ("a", "b", "leaf", "part")), _near(d, near)]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "v", "ids", "a", "b", "leaf", "part", "near"])
 
-    home = cut(ordered(members).mapInArrow(own, PAIRS))
-    kth = F.when(F.size("near") >= k, F.element_at("near", k)["d"]).otherwise(F.lit(float("inf")))
-    queries = members.join(home.select("id", kth.alias("bound")), "id")
+    home = cut(members.repartition("part").sortWithinPartitions("part", "leaf", "a", "b", "id").mapInArrow(own, HOME))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, shards = bent.value
-        step = max(1, 1024 * FIRST_VISITS // max(visits, FIRST_VISITS))
-        for b in batches:
-            for at in range(0, b.num_rows, step):
-                part = b.slice(at, step)
-                q = _matrix(part.column("v"), dim)
-                bound = part.column("bound").to_numpy()
-                leaf, mine = part.column("leaf").to_numpy(), part.column("shard").to_numpy()
+        """One row a query and part it still has to visit, with the leaves it looks at there."""
+        tree, part_of, shards = bent.value
+        step = max(1, min(1024, 1024 * FIRST_VISITS // max(visits, FIRST_VISITS)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                some = batch.slice(at, step)
+                q = _matrix(some.column("v"), dim)
+                bound = some.column("bound").to_numpy()
+                leaf, mine = some.column("leaf").to_numpy(), some.column("part").to_numpy()
                 order, far = tree.order(q, visits)
                 own_far = np.sqrt(((q - tree.leaf[leaf]) ** 2).sum(1))
                 apart = np.sqrt(((tree.leaf[leaf][:, None] - tree.leaf[np.maximum(order, 0)]) ** 2).sum(2))
@@ -232,75 +290,100 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = K, dim: int = DIM, re
                     # no vector of the leaf is nearer than its reach leaves, nor across the plane half way to its centroid
                     ball = far - tree.reach[np.maximum(order, 0)]
                     plane = np.where(apart > 0, (far**2 - own_far[:, None] ** 2) / (2 * apart), 0.0)
-                go = (order >= 0) & (np.maximum(ball, plane) <= bound[:, None]) & (order != leaf[:, None])
+                go = (order >= 0) & (np.maximum(ball, plane) <= bound[:, None] * (1 + 1e-9)) & (order != leaf[:, None])
                 r, c = np.nonzero(go)
-                to = order[r, c]
                 # the other shards of the own leaf are visits too
                 more = np.flatnonzero(shards[leaf] > 1)
-                r, to, skip = np.concatenate((r, more)), np.concatenate((to, leaf[more])), np.concatenate((np.full(len(to), -1), mine[more]))
+                r, to = np.concatenate((r, more)), np.concatenate((order[r, c], leaf[more]))
                 times = shards[to]
-                s = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                r, to, skip = np.repeat(r, times), np.repeat(to, times), np.repeat(skip, times)
-                keep = s != skip
-                r, to, s = r[keep], to[keep], s[keep]
-                if len(r):
-                    yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(r)), part.column("v").take(pa.array(r)), pa.array(to), pa.array(s), pa.array(bound[r])], names=["id", "v", "leaf", "shard", "bound"])
+                shard = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                r, to = np.repeat(r, times), np.repeat(to, times)
+                part = part_of[to] + shard
+                away = part != mine[r]  # the own part has been searched
+                r, to, part = r[away], to[away], part[away]
+                if not len(r):
+                    continue
+                o = np.lexsort((to, part, r))
+                r, to, part = r[o], to[o], part[o]
+                first = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (part[1:] != part[:-1]))))
+                take = pa.array(r[first])
+                yield pa.RecordBatch.from_arrays(
+                    [some.column("id").take(take), some.column("v").take(take), pa.array(bound[r[first]]), pa.array(part[first]), _lists(to, np.diff(np.concatenate((first, [len(r)]))))], names=["id", "v", "bound", "part", "leaves"]
+                )
 
-    visiting = queries.select("id", "v", "leaf", "shard", "bound").mapInArrow(visit, "id long, v array<float>, leaf long, shard long, bound double")
-    both = visiting.unionByName(members.withColumn("bound", F.lit(None).cast("double")))
+    kth = F.when(F.size("near") >= k, F.element_at("near", k)["d"]).otherwise(F.lit(float("inf")))
+    visiting = cut(home.select("id", "v", kth.alias("bound"), "leaf", "part").mapInArrow(visit, VISITS))
+    # parts with very many visitors stand in as many copies; they are few: each has HOT visits of all
+    copies = F.broadcast(visiting.groupBy("part").count().where(F.col("count") > HOT).select("part", F.ceil(F.col("count") / HOT).alias("copies")))
+    n_copies = F.coalesce("copies", F.lit(1))
+    asks = visiting.join(copies, "part", "left").select("part", F.pmod(F.xxhash64("id"), n_copies).alias("copy"), F.lit(1).alias("role"), F.lit(-1).cast("long").alias("leaf"), "id", "v", "bound", "leaves")
+    none = F.array().cast("array<long>")
+    here = home.join(copies, "part", "left").select("part", F.explode(F.sequence(F.lit(0).cast("long"), n_copies - 1)).alias("copy"), F.lit(0).alias("role"), "leaf", "id", "v", F.lit(0.0).alias("bound"), none.alias("leaves"))
 
     def away(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, mid, m, parts in _groups(batches, dim, queries=True):
-            for qid, q, bound in parts:
-                if len(mid):
-                    d, near = _top(q, qid, m, mid, k)
-                    yield _pair_batch(qid, d, near, bound)
-
-    # members come before queries: a null bound sorts first
-    found = ordered(both, "bound").mapInArrow(away, PAIRS)
-    best = home.unionByName(found.where(F.size("near") > 0)).groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
-    return _expand(rows, best, k)
-
-
-def _groups(batches: Iterator[pa.RecordBatch], dim: int, queries: bool = False) -> Iterator[tuple]:
-    """Rows sorted by leaf and shard as (leaf, shard, ids, vectors) of the members; with ``queries`` also an iterator over blocks of queries, which come behind the members and are not kept."""
-    source = _runs(batches)
-    run = next(source, None)
-    while run is not None:
-        key = run[0]
-        mids, ms = [], []
-        while run is not None and run[0] == key and not (queries and run[2]):
-            mids.append(run[1].column("id").to_numpy())
-            ms.append(_matrix(run[1].column("v"), dim))
-            run = next(source, None)
-        mid = np.concatenate(mids) if mids else np.zeros(0, np.int64)
-        m = np.vstack(ms) if ms else np.zeros((0, dim))
-        if not queries:
-            yield *key, mid, m
+        """The nearest vectors of the visited leaves; members come before queries, which are not kept."""
+        mid, leaf, m, whose = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, dim)), None
+        for key, role, group in _groups(batches, ("part", "copy"), "role", 4096):
+            if not role:
+                t = pa.Table.from_batches(group)
+                mid, leaf, m, whose = t.column("id").to_numpy(), t.column("leaf").to_numpy(), _matrix(t.column("v").combine_chunks(), dim), key
+                continue
+            if key != whose:
+                continue  # a part without a vector
+            for batch in group:
+                lists = batch.column("leaves")
+                row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+                to = lists.flatten().to_numpy(zero_copy_only=False)
+                q, qid, bound = _matrix(batch.column("v"), dim), batch.column("id").to_numpy(), batch.column("bound").to_numpy()
+                for x in np.unique(to).tolist():
+                    a, b = np.searchsorted(leaf, [x, x + 1])
+                    if a < b:
+                        who = row[to == x]
+                        d, near = _top(q[who], qid[who], m[a:b], mid[a:b], k)
+                        yield pa.RecordBatch.from_arrays([pa.array(qid[who]), _near(d, near, bound[who])], names=["id", "near"])
+
+    found = asks.unionByName(here).repartition("part", "copy").sortWithinPartitions("part", "copy", "role", "leaf").mapInArrow(away, PAIRS)
+    best = home.select("id", "near").unionByName(found.where(F.size("near") > 0)).groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    return _expand(rows.select("id", "a", "b").distinct(), home.select(F.col("id").alias("rep"), "ids", "a", "b"), best, k)
+
+
+def _parts(counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(first part, number of shards) of each leaf: neighbouring leaves share a part of at most SHARD vectors, a larger leaf has parts of its own."""
+    part_of, shards = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64)
+    part, held = 0, 0
+    for i, n in enumerate(counts):
+        if n > SHARD:
+            part += held > 0
+            part_of[i], shards[i] = part, -(-n // SHARD)
+            part, held = part + int(shards[i]), 0
             continue
-        parts = []
-        while run is not None and run[0] == key:
-            for at in range(0, run[1].num_rows, 1024):
-                p = run[1].slice(at, 1024)
-                parts.append((p.column("id").to_numpy(), _matrix(p.column("v"), dim), p.column("bound").to_numpy()))
-            run = next(source, None)
-            if len(parts) >= 8:
-                yield *key, mid, m, parts
-                parts = []
-        if parts:
-            yield *key, mid, m, parts
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], pa.RecordBatch, bool]]:
-    """Stretches of one (leaf, shard) and role."""
-    for b in batches:
-        if not b.num_rows:
+        if held + n > SHARD:
+            part, held = part + 1, 0
+        part_of[i] = part
+        held += n
+    return part_of, shards
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], role: str | None = None, most: int | None = None) -> Iterator[tuple[tuple, int, list[pa.RecordBatch]]]:
+    """Sorted rows as (key, role, batches) of one key and role; rows of role 1 come in lists of at most ``most`` rows."""
+    held: list[pa.RecordBatch] = []
+    now: tuple = ()
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        leaf, shard = b.column("leaf").to_numpy(), b.column("shard").to_numpy()
-        role = b.column("bound").is_valid().to_numpy(zero_copy_only=False) if "bound" in b.schema.names else np.zeros(b.num_rows, bool)
-        edge = np.flatnonzero((np.diff(leaf) != 0) | (np.diff(shard) != 0) | (np.diff(role.astype(int)) != 0)) + 1
-        for a, e in zip(np.concatenate(([0], edge)).tolist(), np.concatenate((edge, [b.num_rows])).tolist(), strict=True):
-            yield (int(leaf[a]), int(shard[a])), b.slice(a, e - a), bool(role[a])
+        cols = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in (*keys, *([role] if role else []))])
+        edge = np.flatnonzero((np.diff(cols, axis=1) != 0).any(0)) + 1
+        for a, e in zip([0, *edge.tolist()], [*edge.tolist(), batch.num_rows], strict=True):
+            key = tuple(cols[:, a].tolist())
+            if held and (key != now or most and role and now[-1] and size >= most):
+                yield (now[:-1], now[-1], held) if role else (now, 0, held)
+                held, size = [], 0
+            now = key
+            held.append(batch.slice(a, e - a))
+            size += e - a
+    if held:
+        yield (now[:-1], now[-1], held) if role else (now, 0, held)
 
 
 def _calibrate(placed: DataFrame, q: np.ndarray, qid: np.ndarray, tree: Tree, k: int, dim: int, recall: float) -> int:
@@ -311,7 +394,7 @@ def _calibrate(placed: DataFrame, q: np.ndarray, qid: np.ndarray, tree: Tree, k:
         q, qid = shared.value
         best_d, best_i, best_l = np.full((len(q), k), np.inf), np.full((len(q), k), -1, np.int64), np.full((len(q), k), -1, np.int64)
         for b in batches:
-            if not b.num_rows:
+            if not b.num_rows or not len(q):
                 continue
             mid, leaf = b.column("id").to_numpy(), b.column("leaf").to_numpy()
             d, near = _top(q, qid, _matrix(b.column("v"), dim), mid, k)
@@ -339,14 +422,12 @@ def _calibrate(placed: DataFrame, q: np.ndarray, qid: np.ndarray, tree: Tree, k:
         visits = min(2 * visits, len(tree.leaf))
 
 
-def _expand(rows: DataFrame, best: DataFrame, k: int) -> DataFrame:
-    """From representatives to rows: the other rows of the same vector at distance 0, then the rows of the neighbours."""
-    few = rows.where(F.col("place") <= k + 1)
-    groups = few.groupBy("g").agg(F.min("id").alias("rep"), F.sort_array(F.collect_list("id")).alias("ids"))
+def _expand(rows: DataFrame, groups: DataFrame, best: DataFrame, k: int) -> DataFrame:
+    """From vectors to rows: the other rows of the same vector at distance 0, then the rows of the neighbours."""
     cand = best.select("id", F.explode("near").alias("x")).select(F.col("id").alias("rep"), F.col("x.d").alias("d"), F.col("x.n").alias("n"))
     far = cand.join(groups.select(F.col("rep").alias("n"), "ids"), "n").select("rep", F.transform("ids", lambda i: F.struct(F.col("d").alias("d"), i.alias("n"))).alias("near"))
     same = groups.where(F.size("ids") > 1).select("rep", F.transform("ids", lambda i: F.struct(F.lit(0.0).alias("d"), i.alias("n"))).alias("near"))
     merged = far.unionByName(same).groupBy("rep").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))
-    owner = rows.select("id", "g").join(groups.select("g", "rep"), "g").select("id", "rep")
-    mine = owner.join(merged, "rep").select("id", F.slice(F.filter("near", lambda x: x["n"] != F.col("id")), 1, k).alias("near"))
+    # a vector that very many rows have is one row here: the join splits its rows where they are skewed
+    mine = rows.join(groups.select("rep", "a", "b").join(merged, "rep"), ["a", "b"]).select("id", F.slice(F.filter("near", lambda x: x["n"] != F.col("id")), 1, k).alias("near"))
     return mine.select("id", F.posexplode("near").alias("p", "x")).select("id", F.col("x.n").alias("neighbor"), F.col("x.d").alias("distance"), (F.col("p") + 1).alias("rank"))
