@@ -1,6 +1,6 @@
 from itertools import combinations
 
-from vellumdf.llm import consistent
+from vellumdf.llm import consistent, lookalikes
 from vellumdf.llm.lookalikes import reading_forms, skeleton, skeletons
 
 SCHEMA = "section_id long, book_id string, chapter_title string, content string, look string, stored string"
@@ -11,6 +11,15 @@ def test_same_look_same_form():
     assert len({skeleton(s) for s in same}) == 1
 
 
+def test_letters_of_other_scripts():
+    for odd, plain in (("օ", "o"), ("Ꭺ", "A"), ("ꓮ", "A"), ("ᴏ", "o"), ("ꓲ", "I"), ("Ⲏ", "H"), ("𝐁", "B")):
+        assert skeleton(f"x{odd}x") == f"x{plain}x"
+    table = lookalikes.foreign_letters()
+    assert len(table) > 120
+    # words of Cyrillic and Greek keep their own table, digits and case stay
+    assert not any("Ͱ" <= c < "԰" for c in table) and skeleton("0O1lI") == "0O1lI"
+
+
 def test_real_differences_stay():
     base = "Don’t – stop, Café"
     for other in ("don’t – stop, Café", "Don't – stop, Café", "Don’t - stop, Café", "Don’t – stop, Cafe", "Don’t — stop, Café", "Don’t – stop Café", "Don’t – “stop”, Café"):
@@ -35,6 +44,19 @@ def test_pairs_match_brute_force(spark):
             if a[k] is not None and b[k] is not None and a[k] != b[k] and skeleton(a[k]) == skeleton(b[k]) and (field == "content" or a[1] is not None and a[1] == b[1]):
                 want.add((min(a[0], b[0]), max(a[0], b[0]), field))
     assert got == want
+    links = {}
+    for a, b, field in want:
+        for x in (a, b):
+            links[x, field] = links.get((x, field), 0) + 1
+    classes = consistent.look_alike_classes(spark.createDataFrame(list(dict.fromkeys(rows)), SCHEMA)).collect()
+    assert {(r.section_id, r.field_name): r.links for r in classes} == links
+
+
+def test_a_look_of_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(consistent, "CHUNK", 3)
+    rows = [(i, "a", None, "same text" if i % 3 else "ｓame text", "x", "y") for i in range(40)]
+    got = {(r.section_id_a, r.section_id_b) for r in consistent.look_alikes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(a, b) for a, b in combinations(range(40), 2) if (a % 3 == 0) != (b % 3 == 0)}
 
 
 def test_empty_table_and_forms(spark):

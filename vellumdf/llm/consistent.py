@@ -49,19 +49,44 @@ def skeleton_keys(sections: DataFrame) -> DataFrame:
     return map_texts(sections.select("section_id", "book_id", "chapter_title", "content"), ["content", "chapter_title"], run, "field_name string, look binary, stored binary, section_id long")
 
 
+#: Rows of one stored value that are expanded together.
+CHUNK = 1000
+
+
+def _mixed(keys: DataFrame) -> DataFrame:
+    """The keys of looks that are stored in more than one way."""
+    group = ["field_name", "look"]
+    mixed = keys.groupBy(*group).agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).where("lo <> hi").select(*group)
+    return keys.join(mixed, group, "left_semi")
+
+
+def look_alike_classes(sections: DataFrame) -> DataFrame:
+    """section_id, field_name, look, variants, links: the class of every value stored in more than one way, in how many ways, and with how many rows it pairs.
+
+    One row a value: no pairs are formed, counts are combined before the shuffle.
+    """
+    keys = _mixed(cut(skeleton_keys(sections)))
+    group = ["field_name", "look"]
+    stored = keys.groupBy(*group, "stored").agg(F.count("*").alias("same"))
+    whole = stored.groupBy(*group).agg(F.count("*").alias("variants"), F.sum("same").alias("all"))
+    links = stored.join(whole, group).select(*group, "stored", "variants", (F.col("all") - F.col("same")).alias("links"))
+    return keys.join(links, [*group, "stored"]).select("section_id", "field_name", F.lower(F.hex("look")).alias("look"), "variants", "links")
+
+
 def look_alikes(sections: DataFrame) -> DataFrame:
     """section_id_a, section_id_b, field_name.
 
-    Texts are reduced to two hashes in the scan, so only keys are shuffled.
-    Values are paired variant by variant and expanded to rows afterwards: many
-    copies of one stored value never meet each other.
+    Texts are reduced to two hashes in the scan, so only keys are shuffled.  The
+    rows of one stored value are listed in chunks of about CHUNK; chunks of
+    different values of a look meet, are spread over all tasks and expanded
+    there, so a look that very many rows share is no task of its own.
     """
-    keys = cut(skeleton_keys(sections))  # the texts are read once; from here on only hashes
+    keys = _mixed(cut(skeleton_keys(sections)))  # the texts are read once; from here on only hashes
     group = ["field_name", "look"]
-    mixed = keys.groupBy(*group).agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).where("lo <> hi").select(*group)
-    keys = keys.join(mixed, group, "left_semi")
-    variants = keys.select(*group, "stored").distinct()
-    pairs = variants.withColumnRenamed("stored", "sa").join(variants.withColumnRenamed("stored", "sb"), group).where("sa < sb")
-    side = lambda s, i: keys.select(*group, F.col("stored").alias(s), F.col("section_id").alias(i))
-    full = pairs.join(side("sa", "ia"), [*group, "sa"]).join(side("sb", "ib"), [*group, "sb"])
+    many = keys.groupBy(*group, "stored").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    chunk = F.pmod(F.xxhash64("section_id"), F.col("chunks")).alias("chunk")
+    lists = keys.join(many, [*group, "stored"]).select(*group, "stored", chunk, "section_id").groupBy(*group, "stored", "chunk").agg(F.collect_set("section_id").alias("ids"))
+    one, two = (lists.select(*group, F.col("stored").alias(s), F.col("ids").alias(i)) for s, i in (("sa", "ia"), ("sb", "ib")))
+    pairs = one.join(two, group).where("sa < sb").select("field_name", "ia", "ib").repartition(F.xxhash64("ia", "ib"))
+    full = pairs.select("field_name", F.explode("ia").alias("ia"), "ib").select("field_name", "ia", F.explode("ib").alias("ib"))
     return full.where("ia <> ib").select(F.least("ia", "ib").alias("section_id_a"), F.greatest("ia", "ib").alias("section_id_b"), "field_name")

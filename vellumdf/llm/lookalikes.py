@@ -9,6 +9,11 @@ Two forms are built from the same parts:
     a reader cannot tell them apart; case, accents, quotation-mark shape and
     dash length stay distinct.
 
+    The table is that of Unicode's confusables, read from the ICU library that is
+    part of every Spark distribution, where it maps a letter of another script to
+    one Latin letter; Cyrillic and Greek, in which whole texts are written, have a
+    shorter table of their own that keeps their words apart.
+
 ``reading_forms``
     the same repairs without the cross-script step and composed again, with
     line breaks kept, for counting words and letters.
@@ -19,9 +24,13 @@ Null stays null, the empty string stays empty.
 from __future__ import annotations
 
 import functools
+import glob
+import os
 import re
+import struct
 import sys
 import unicodedata
+import zipfile
 
 import numpy as np
 
@@ -62,6 +71,53 @@ def _expand(ch: str) -> str:
     return "".join(_expand(chr(int(x, 16))) for x in d.split())
 
 
+#: Scripts (first words of character names) of which Unicode's table is taken: those whose letters are shaped like Latin ones and in which none of the corpus is written.
+CONFUSABLE_SCRIPTS = ("ARMENIAN", "CHEROKEE", "COPTIC", "LISU", "DESERET", "OSAGE", "ELBASAN", "WARANG", "LYCIAN", "CARIAN", "OLD", "TIFINAGH", "CANADIAN", "MIAO")
+ICU = "com/ibm/icu/impl/data/icudata/confusables.cfu"
+
+
+def _icu_jar() -> str:
+    import pyspark
+
+    for home in filter(None, (os.environ.get("SPARK_HOME"), os.path.dirname(pyspark.__file__))):
+        if found := sorted(glob.glob(os.path.join(home, "jars", "icu4j-[0-9]*.jar"))):
+            return found[-1]
+    raise FileNotFoundError("no icu4j jar in the Spark distribution: the look-alike table cannot be read")
+
+
+@functools.cache
+def confusables() -> dict[str, str]:
+    """Unicode's prototype of every character that has one, from ICU's binary table: sorted keys (code point, length), values (a character or a place in the strings), strings."""
+    with zipfile.ZipFile(_icu_jar()) as z:
+        raw = z.read(ICU)
+    raw = raw[struct.unpack(">H", raw[:2])[0] :]
+    _, _, _, at_keys, n_keys, at_values, n_values, at_strings, n_strings = struct.unpack(">9I", raw[:36])
+    strings = raw[at_strings : at_strings + 2 * n_strings]
+    out = {}
+    for key, value in zip(struct.unpack_from(f">{n_keys}I", raw, at_keys), struct.unpack_from(f">{n_values}H", raw, at_values), strict=True):
+        n = (key >> 24) + 1
+        out[chr(key & 0x1FFFFF)] = chr(value) if n == 1 else strings[2 * value : 2 * (value + n)].decode("utf-16-be")
+    return out
+
+
+@functools.cache
+def foreign_letters() -> dict[str, str]:
+    """Letters of CONFUSABLE_SCRIPTS and small capitals that look like one Latin letter; of two letters of a script with the same prototype the first, so that words of one script stay apart."""
+    out: dict[str, str] = {}
+    taken: set[tuple[str, str]] = set()
+    for ch, to in confusables().items():
+        script = unicodedata.name(ch, "").partition(" ")[0]
+        small_capital = script == "LATIN" and "SMALL CAPITAL" in unicodedata.name(ch)
+        if len(to) != 1 or not to.isascii() or not to.isalpha() or unicodedata.category(ch)[0] != "L" or not (script in CONFUSABLE_SCRIPTS or small_capital):
+            continue
+        if to == "l" and not ch.islower():  # the table has one prototype for I and l
+            to = "I"
+        if (script, to) not in taken:
+            taken.add((script, to))
+            out[ch] = to
+    return out
+
+
 @functools.cache
 def tables() -> tuple[dict, dict]:
     """(skeleton, reading) translation tables: code point to string."""
@@ -77,6 +133,7 @@ def tables() -> tuple[dict, dict]:
                 read[cp] = e
         elif d and len(d.split()) == 1 and unicodedata.category(ch)[0] in "LPS":  # singletons such as the Kelvin sign
             read[cp] = unicodedata.normalize("NFC", ch)
+    skel |= {ord(ch): to for ch, to in foreign_letters().items()}
     for twins, proto in (CYRILLIC, GREEK, GREEK_CYRILLIC, OTHER):
         for a, b in zip(twins, proto, strict=True):
             skel[ord(a)] = b

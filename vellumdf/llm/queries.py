@@ -21,6 +21,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return consistent.look_alikes(table(spark, d, "book_sections"))
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    return consistent.look_alike_classes(table(spark, d, "book_sections"))
+
+
 def p2_levels(spark: SparkSession, d: str) -> DataFrame:
     return reading.reading_levels(table(spark, d, "book_sections"))
 
@@ -107,7 +111,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_consistent, p1_found, p2_levels, p2_found, p2_books, p3_statistics, p3_found, p4_neighbors, p4_found, p5_sentences, p5_found, p6_pieces, p6_found, p7_leaks, p7_found, p7_clean, p8_mixture, p8_report, p8_found, p9_restored, p9_found)
+    for f in (p1_consistent, p1_found, p1_classes, p2_levels, p2_found, p2_books, p3_statistics, p3_found, p4_neighbors, p4_found, p5_sentences, p5_found, p6_pieces, p6_found, p7_leaks, p7_found, p7_clean, p8_mixture, p8_report, p8_found, p9_restored, p9_found)
 }
 
 ORACLE: dict[str, str] = {
