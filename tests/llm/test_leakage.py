@@ -70,3 +70,19 @@ def test_clean_and_empty(spark):
     assert [r.doc_id for r in leakage.without_leaks(df, it).collect()] == [2]
     assert leakage.leaked(df, it.limit(0)).count() == 0
     assert leakage.leaked(df.limit(0), it).count() == 0
+
+
+def test_many_items_in_blocks(spark, monkeypatch):
+    rng = random.Random(2)
+    text = lambda n: " ".join(rng.choice("abcdefgh") for _ in range(n))
+    items = [(i, text(12)) for i in range(30)]
+    docs = [(d, text(200) + " " + items[d % 30][1]) for d in range(40)]
+    whole = {(r.doc_id, r.item_id, r.matched_words) for r in run(spark, docs, items, 6).collect()}
+    monkeypatch.setattr(leakage, "BLOCK_BYTES", 100)
+    assert {(r.doc_id, r.item_id, r.matched_words) for r in run(spark, docs, items, 6).collect()} == whole and whole
+
+
+def test_styled_letters_and_pictographs(spark):
+    plain = "one two three four five six seven eight nine ten"
+    bold = "".join(chr(0x1D41A + ord(c) - 97) if c.isalpha() else c for c in plain)
+    assert run(spark, [(1, bold), (2, plain.replace(" ", "😀"))], [(1, plain)]).count() == 2

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .batches import map_texts
 from .lookalikes import tables
 
-#: Rows of evaluation items that may be sent to all executors.
-MAX_ITEMS = 200_000
+#: Bytes of evaluation items that go to all executors at once; more are searched in blocks of about that size.
+BLOCK_BYTES = 32 << 20
 #: Hits that are looked at together.
 HITS = 2_000_000
 DROP = 0xFFFFFFFF
@@ -209,13 +209,19 @@ def matches(items: Items, texts: list[str | None]) -> list[tuple[int, int, int,
 def leaked(documents: DataFrame, items: DataFrame, least: int = 10) -> DataFrame:
     """doc_id, item_id, matched_words, doc_word, item_word: the longest match of each item in each document.
 
-    The items go to every executor; their number is checked against MAX_ITEMS.
-    The corpus is scanned once and not shuffled.
+    The corpus is scanned once and not shuffled.  The items go to every executor;
+    where they are larger than BLOCK_BYTES, in blocks of about that size with a
+    scan each.
     """
-    rows = items.select("item_id", "text").limit(MAX_ITEMS + 1).collect()
-    if len(rows) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} evaluation items: search them in parts")
-    rows.sort(key=lambda r: r.item_id)
+    rows = items.select("item_id", "text")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = -(-size // BLOCK_BYTES) or 1
+    found = [_leaked(documents, rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k), least) for k in range(blocks)]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _leaked(documents: DataFrame, items: DataFrame, least: int) -> DataFrame:
+    rows = sorted(items.collect(), key=lambda r: (r.item_id is not None, r.item_id))
     shared = documents.sparkSession.sparkContext.broadcast(Items([r.item_id for r in rows], [r.text for r in rows], least))
     names = ("doc_id", "item_id", "matched_words", "doc_word", "item_word")
 

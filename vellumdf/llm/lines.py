@@ -217,7 +217,7 @@ class Lines:
         if len(ws):
             at = np.flatnonzero(wordy)
             wid = np.cumsum(new)[at] - 1
-            h = np.add.reduceat(small[np.minimum(a[at], 0x10000)].astype(np.uint64) * _weights()[(at - ws[wid]) & 63], np.cumsum(wordy)[ws] - 1)
+            h = np.add.reduceat(np.where(a[at] < 0x10000, small[np.minimum(a[at], 0x10000)], a[at]).astype(np.uint64) * _weights()[(at - ws[wid]) & 63], np.cumsum(wordy)[ws] - 1)
         else:
             h = np.zeros(0, np.uint64)
         wl = line_of[ws]

@@ -29,7 +29,7 @@ from .batches import arrow_schema, record_batch
 # Fixed value: a run of letters, digits or underscores, or any other single non-blank character.
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x85\x1c-\x1f]"
 #: Documents of one bucket, fractions that meet in one node of the tree, rows of mix targets.
-BUCKET, FAN, MAX_TARGETS = 20_000, 200, 10_000
+BUCKET, FAN, MAX_TARGETS = 5_000, 200, 10_000
 KEYS = ["mix_id", "source"]
 SCHEMA = "mix_id int, source string, bucket long, doc_id long, tokens long, base int, frac double"
 
@@ -106,13 +106,16 @@ def copies(sized: DataFrame, planned: DataFrame, seed: int = 0) -> DataFrame:
 
     ``planned`` has one row a target and goes to every executor; the number of targets is checked.
     """
+    if "row" not in sized.columns:
+        sized = cut(sized.withColumn("row", F.monotonically_increasing_id()))
     sizes = [r.source_docs for r in planned.select("source_docs").limit(MAX_TARGETS + 1).collect()]
     if len(sizes) > MAX_TARGETS:
         raise ValueError(f"more than {MAX_TARGETS} mix targets")
     want = planned.select("mix_id", F.col("source").alias("wanted"), "rate", "source_docs")
     df = sized.join(F.broadcast(want), F.col("source") == F.col("wanted"))
     df = df.withColumn("base", F.floor("rate").cast("int")).withColumn("frac", F.col("rate") - F.floor("rate"))
-    df = df.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("source_docs") / BUCKET)))
+    # the row number parts the rows of one doc_id; ``sized`` is written, so it stays the same
+    df = df.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "row"), F.ceil(F.col("source_docs") / BUCKET)))
     done = []
     level, width = 0, max([1, *(-(-n // BUCKET) for n in sizes)])
     rounded = cut(_round(df, seed, level))
@@ -130,8 +133,8 @@ def copies(sized: DataFrame, planned: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def sized_documents(documents: DataFrame) -> DataFrame:
-    """doc_id, source, tokens, written once: everything else needs no text."""
-    return cut(documents.select("doc_id", "source", tokens(F.col("text")).alias("tokens")))
+    """doc_id, source, tokens, row (a number of its own), written once: everything else needs no text."""
+    return cut(documents.select("doc_id", "source", tokens(F.col("text")).alias("tokens"), F.monotonically_increasing_id().alias("row")))
 
 
 def report(sized: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:

@@ -18,7 +18,8 @@ from .lines import KINDS, _folds, _weights, kind_chars, not_prose
 COMMON = (
     "the of and to in that it was his her he she they with for on as but a der die das und den er sie es war mit dem bei ein nicht zu "
     "le la les de des et que il elle un une dans pour sur el los las y en por con una se del este era и в не на что он она это как был с "
-    "o a os do da que não uma og að var i się nie to jest και το η ο στη με τα της των"
+    "o a os do da que não uma og að var i się nie to jest και το η ο στη με τα της των "
+    "है में की के और का से को ने पर यह वह في من على إلى أن ما هو هي كان عن 그 이 는 은 를 을 에 의 가 그는 그녀는"
 ).split()
 
 
