@@ -43,7 +43,7 @@ def test_the_trees_decide(monkeypatch):
     got = reading.grades(texts)
     assert all(g is not None and g[2] == reading.level_of(g[0]) for g in got)
     assert len({g[2] for g in got}) > 1
-    monkeypatch.setattr(reading, "_model", lambda: {"slope": 1.0, "offset": 0.0, "model": {"base": 99.0, "trees": []}})
+    monkeypatch.setattr(reading, "_model", lambda: {"slope": 1.0, "offset": 0.0, "stacked": boosting.stacked({"base": 99.0, "trees": []})})
     assert {g[2] for g in reading.grades(texts)} == {"hard"}  # without them every level changes
 
 

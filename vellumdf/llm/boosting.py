@@ -61,8 +61,30 @@ def _apply(tree: dict, x: np.ndarray) -> np.ndarray:
         node = np.where(go, 2 * node + 1 + right, node)
 
 
+def stacked(model: dict) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """(base, features, thresholds, values) of all trees, one behind the other."""
+    feature, threshold, value = (np.array([t[k] for t in model["trees"]]) for k in ("feature", "threshold", "value"))
+    return model["base"], feature.astype(np.int64), threshold, value
+
+
+def predict_stacked(trees: tuple[float, np.ndarray, np.ndarray, np.ndarray], x: np.ndarray) -> np.ndarray:
+    """All trees side by side, level by level."""
+    base, feature, threshold, value = trees
+    if not feature.size:
+        return np.full(len(x), base)
+    size = feature.shape[1]
+    root = np.arange(len(feature)) * size
+    node = np.broadcast_to(root, (len(x), len(root))).copy()
+    feature, threshold = feature.ravel(), threshold.ravel()
+    rows = np.arange(len(x))[:, None]
+    while True:
+        f = feature[node]
+        go = f >= 0
+        if not go.any():
+            return base + value.ravel()[node].sum(1)
+        right = x[rows, np.maximum(f, 0)] > threshold[node]
+        node = np.where(go, 2 * (node - root) + 1 + right + root, node)
+
+
 def predict(model: dict, x: np.ndarray) -> np.ndarray:
-    out = np.full(len(x), model["base"])
-    for t in model["trees"]:
-        out += _apply(t, x)
-    return out
+    return predict_stacked(stacked(model), x)

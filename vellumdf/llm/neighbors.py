@@ -33,8 +33,8 @@ from ..tables import cut
 K, DIM = 5, 64
 #: Vectors a leaf should hold, most leaves (also the bound of what is broadcast: 8 bytes x DIM each), sample vectors a leaf, children of a node.
 LEAF, MAX_LEAVES, PER_LEAF, BRANCH = 256, 32_768, 16, 32
-#: Vectors of a part and of a shard, queries of the calibration, wanted recall, fewest leaf visits, visits the calibration begins with.
-SHARD, CALIBRATION, RECALL, MIN_VISITS, FIRST_VISITS = 4096, 256, 0.99, 4, 64
+#: Vectors of a part, of a shard, queries of the calibration, wanted recall, fewest leaf visits, visits the calibration begins with.
+PART, SHARD, CALIBRATION, RECALL, MIN_VISITS, FIRST_VISITS = 1024, 4096, 256, 0.99, 4, 64
 #: Up to here all rows are the sample and all leaves are visited; queries of one part that one task should answer.
 SMALL, HOT = 1024, 200_000
 
@@ -348,7 +348,7 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = K, dim: int = DIM, re
 
 
 def _parts(counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """(first part, number of shards) of each leaf: neighbouring leaves share a part of at most SHARD vectors, a larger leaf has parts of its own."""
+    """(first part, number of shards) of each leaf: neighbouring leaves share a part of at most PART vectors, a larger leaf has parts of its own."""
     part_of, shards = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64)
     part, held = 0, 0
     for i, n in enumerate(counts):
@@ -357,7 +357,7 @@ def _parts(counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
             part_of[i], shards[i] = part, -(-n // SHARD)
             part, held = part + int(shards[i]), 0
             continue
-        if held + n > SHARD:
+        if held + n > PART:
             part, held = part + 1, 0
         part_of[i] = part
         held += n

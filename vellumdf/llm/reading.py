@@ -123,11 +123,12 @@ def measure(stored: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     order = np.lexsort((per_sent, sent_text))
     first = np.concatenate(([0], np.cumsum(n_sent)[:-1])) if n else n_sent
     has = n_sent > 0
+    ranked = per_sent[order]
     for q in QUANTILES:
         place = (n_sent - 1).clip(min=0) * q
         low, part = place.astype(int), place - place.astype(int)
         v = np.zeros(n)
-        at = lambda k: per_sent[order][(first + k.clip(max=one(n_sent - 1, 0)))[has]]
+        at = lambda k: ranked[(first + k.clip(max=one(n_sent - 1, 0)))[has]]
         v[has] = at(low) * (1 - part[has]) + at(low + 1) * part[has]
         cols[f"sentence_length_p{round(100 * q)}"] = v
     per = lambda v: np.bincount(w.text, weights=v, minlength=n)
@@ -188,14 +189,16 @@ def train(texts: list[str], sources: list[str], folds: int = 5) -> dict:
 
 @functools.cache
 def _model() -> dict:
-    return json.loads(MODEL.read_text())
+    m = json.loads(MODEL.read_text())
+    return m | {"stacked": boosting.stacked(m["model"])}
 
 
 def grades(stored: list[str | None]) -> list[tuple[float, float, str] | None]:
     """(predicted grade, counted grade, level) of each graded text."""
     m = _model()
     f, counted, ok = measure(stored)
-    predicted = m["slope"] * boosting.predict(m["model"], f) + m["offset"]
+    predicted = np.zeros(len(f))
+    predicted[ok] = m["slope"] * boosting.predict_stacked(m["stacked"], f[ok]) + m["offset"]
     return [(float(p), float(c), level_of(p)) if o else None for p, c, o in zip(predicted, counted, ok, strict=True)]
 
 
