@@ -7,8 +7,12 @@ without stops - are *inside* with certainty, so the chain runs over these
 candidates only, which is the same best path.  A candidate is described by the
 kind of stop, the word before it, closing marks, attribution of speech and what
 follows; weights and transitions were learned by an averaged structured
-perceptron (``train``) and lie in ``models/sentences.json``.  For scripts without
-stops the model was trained on text whose punctuation was stripped.
+perceptron (``train``) and lie in ``models/sentences.json``.
+
+Text of a script without blanks between words (Chinese, Japanese, Thai, ...) that has
+no punctuation at all and is longer than the sentences of the training texts goes to a
+second chain over all its characters (``bare``), trained on text whose punctuation
+was stripped.
 
 Offsets are 0-based code points, end exclusive, without blanks around; every
 visible character lies in exactly one sentence.  Null, empty and blank texts
@@ -24,10 +28,13 @@ from pathlib import Path
 
 import numpy as np
 
+from . import bare
 from .chains import viterbi
 from .lookalikes import skeleton
 
 MODEL = Path(__file__).parent / "models" / "sentences.json"
+#: Texts with a sentence of this length are not taken into the training of text without punctuation.
+LONGEST_SENTENCE = 200
 
 # Abbreviations that stand before a name, number or explanation and end no sentence.
 LEADING = frozenset(
@@ -47,6 +54,8 @@ SAY = (
     "сказал|сказала|спросил|спросила|крикнул|крикнула|ответил|ответила|шепнул|шепнула|прошептал|прошептала|написал|написала|είπε|ρώτησε|φώναξε|απάντησε|ψιθύρισε"
 )
 ATTRIBUTION = re.compile(rf"\s*(?:[^\W\d_][\w’'-]*\.?\s+){{1,2}}(?:{SAY})\s*[.,:;]", re.I)
+#: As many words as an attribution has, of any length; where no blanks part words, the characters it takes at most.
+FEW_WORDS = re.compile(r"(?:[^\W\d_][\w’'.-]*\s*){1,4}[.,:;]?|.{0,60}", re.S)
 SPOKEN_CJK = re.compile("(?:と|って)|[^。！？…，、\\s]{0,8}(?:说|說|问|問|喊|叫|答|道|言っ|聞い|尋ね|叫ん|答え)|(?:이?라고|하고|고) ")
 
 STOPS = ".!?…。！？．｡।॥؟\u037e"
@@ -67,12 +76,24 @@ GREEK = re.compile("[\u0386-\u03ce]")
 
 def _token(text: str, end: int) -> tuple[str, int]:
     """Word that ends at ``end`` in plain small letters, and its start."""
-    lo = max(0, end - 24)
-    m = TOKEN.search(text, lo, end)
+    room = 24
+    while True:
+        lo = max(0, end - room)
+        m = TOKEN.search(text, lo, end)
+        if m.start() > lo or not lo:
+            break
+        room *= 4  # a longer word
     w = m.group()
     return (w if w.isascii() else skeleton(w)), m.start()
 
 
+def _solid_end(text: str, at: int) -> int:
+    """Where the text before ``at`` ends without its blanks."""
+    while at and text[at - 1].isspace():
+        at -= 1
+    return at
+
+
 @functools.cache
 def _plain(words: frozenset[str]) -> frozenset[str]:
     return words | frozenset(map(skeleton, words))
@@ -85,12 +106,12 @@ def _word_class(text: str, end: int, following: str) -> str:
     if not w:
         return "none"
     if w.isdigit():
-        if len(w) <= 2 and following in "UL" and _token(text, len(text[:start].rstrip()))[0].lower() in ARTICLES:
+        if len(w) <= 2 and following in "UL" and _token(text, _solid_end(text, start))[0].lower() in ARTICLES:
             return "ordinal"
         return "number"
     cut = w.rstrip(".")
     if len(w) == 1 and w.isalpha():
-        before, at = _token(text, len(text[max(0, start - 30) : start].rstrip()) + max(0, start - 30))
+        before, at = _token(text, _solid_end(text, start))
         if before.endswith(".") and before[:-1].lower() + "." + w in CLOCK:
             return "trailing"
         if w in ("г", "r") and before[:1].isdigit():
@@ -99,7 +120,7 @@ def _word_class(text: str, end: int, following: str) -> str:
     if cut in CLOCK:
         return "trailing"
     if cut in ("sr", "jr"):
-        before, _ = _token(text, len(text[max(0, start - 40) : start].rstrip()) + max(0, start - 40))
+        before, _ = _token(text, _solid_end(text, start))
         return "trailing" if before[:1].isupper() and not before.endswith(".") and before.lower() not in ("el", "al", "del", "un") else "leading"
     if cut in _plain(LEADING):
         return "leading"
@@ -126,8 +147,10 @@ def _following(text: str, at: int) -> tuple[str, int]:
     if c.isalpha():
         return ("L" if c.islower() else "U" if c.isupper() else "W"), k
     if c in "—–-":
-        rest = text[k + 1 : k + 12].lstrip()
-        return ("l" if rest[:1].islower() else "u"), k
+        k2 = k + 1
+        while k2 < n and text[k2].isspace():
+            k2 += 1
+        return ("l" if text[k2 : k2 + 1].islower() else "u"), k
     if c in OPENERS:
         return "O", k
     return "P", k
@@ -199,7 +222,7 @@ def candidates(text: str) -> tuple[list[int], list[Bundle]]:
         speech = "-"
         if quote:
             if follow in "UW":
-                rest = text[k : k + 60]
+                rest = FEW_WORDS.match(text, k).group()
                 if follow == "W" and WIDE.match(rest):
                     speech = "said" if SPOKEN_CJK.match(rest) else "-"
                 else:
@@ -213,7 +236,7 @@ def candidates(text: str) -> tuple[list[int], list[Bundle]]:
 
 def _folded(s: str) -> str:
     """Styled and look-alike letters as Latin ones, but a word of plain Cyrillic or accented letters as it is."""
-    return s if re.match(r"[\u0400-\u052f\u0386-\u03ce\s]+", s) and not re.search("[A-Za-z]", s[:20]) and re.search("[бгдёжзийлфцчшщъыьэюяβγδζθλξπσφψω]", s[:20]) else skeleton(s)
+    return s if re.match(r"[\u0400-\u052f\u0386-\u03ce\s]+", s) and not re.search("[A-Za-z]", s) and re.search("[бгдёжзийлфцчшщъыьэюяβγδζθλξπσφψω]", s) else skeleton(s)
 
 
 #: Shapes of speech that a sample may lack, taken into the training as they are.
@@ -289,6 +312,43 @@ def train(texts: list[str], epochs: int = 4, seed: int = 5) -> dict:
     return {"weights": {f: round(v / n, 4) for f, v in sorted(total.items()) if v}, "trans": (trans_total / n).round(4).tolist(), "texts": len(chains)}
 
 
+def train_bare(texts: list[str]) -> dict:
+    """Model of text without punctuation: every fifth text is held out and gives the F1 of its script."""
+    out: dict = {"bare": {}}
+    for script in bare.SCRIPTS:
+        # a text with a sentence of a page has no stops to learn from
+        own = [(t, found) for t in texts if bare.script_of(t) == script and len(found := _cut(t, _punctuated(t))) > 1 and max(b - a for a, b in found) < LONGEST_SENTENCE]
+        chains = [bare.strip(t, found) for t, found in own]
+        if len(chains) < 20:
+            continue
+        model = bare.train([c for i, c in enumerate(chains) if i % 5])
+        held = bare.f1(model, chains[::5])
+        longest = max(b - a for _, found in own for a, b in found)
+        used = np.flatnonzero(model[0])
+        out["bare"][script] = {"at": used.tolist(), "weights": model[0][used].tolist(), "trans": model[1].tolist(), "longest": int(longest), "held_out_f1": round(held, 4), "texts": len(chains)}
+    return out
+
+
+@functools.cache
+def _bare_model() -> dict[str, tuple[tuple[np.ndarray, np.ndarray], int]]:
+    out = {}
+    for script, m in json.loads(MODEL.read_text()).get("bare", {}).items():
+        weights = np.zeros(1 << bare.BITS)
+        weights[m["at"]] = m["weights"]
+        out[script] = (weights, np.array(m["trans"])), m["longest"]
+    return out
+
+
+def _bare_ends(text: str) -> list[int] | None:
+    """Ends of the sentences of an unpunctuated text longer than any sentence of its script in training; None for other texts."""
+    a, b = len(text) - len(text.lstrip()), len(text.rstrip())
+    core = text[a:b]
+    if core.isascii() or not bare.is_bare(core) or (script := bare.script_of(core)) not in _bare_model():
+        return None
+    model, longest = _bare_model()[script]
+    return (np.flatnonzero(bare.decode(model, core)) + a).tolist() if len(core) > longest else None
+
+
 @functools.cache
 def _model() -> tuple[dict[str, float], np.ndarray]:
     m = json.loads(MODEL.read_text())
@@ -301,6 +361,10 @@ def _score(b: Bundle) -> float:
     return sum(w.get(f, 0.0) for f in features(b))
 
 
+def _punctuated(text: str) -> list[int]:
+    return boundaries([text])[0]
+
+
 def boundaries(texts: list[str | None]) -> list[list[int]]:
     """Ends of all sentences but the last of each text."""
     found = [candidates(t) if t else ([], []) for t in texts]
@@ -309,21 +373,27 @@ def boundaries(texts: list[str | None]) -> list[list[int]]:
     emit = np.zeros((int(lengths.sum()), 2))
     emit[:, 1] = [_score(b) for _, what in found for b in what]
     tags = viterbi(emit, starts, lengths, _model()[1], np.zeros(2))
-    return [[e for e, y in zip(ends, tags[a : a + n], strict=True) if y] for (ends, _), a, n in zip(found, starts, lengths, strict=True)]
+    out = [[e for e, y in zip(ends, tags[a : a + n], strict=True) if y] for (ends, _), a, n in zip(found, starts, lengths, strict=True)]
+    for i, (t, (ends, _)) in enumerate(zip(texts, found, strict=True)):
+        if t and not ends and (own := _bare_ends(t)) is not None:
+            out[i] = own
+    return out
+
+
+def _cut(t: str | None, cuts: list[int]) -> list[tuple[int, int]]:
+    """(start, end) of the sentences between the cuts, without blanks around."""
+    own = []
+    a = 0
+    for e in [*cuts, len(t or "")]:
+        part = t[a:e] if t else ""
+        left = len(part) - len(part.lstrip())
+        right = len(part.rstrip())
+        if right > left:
+            own.append((a + left, a + right))
+        a = e
+    return own
 
 
 def spans(texts: list[str | None]) -> list[list[tuple[int, int]]]:
     """(start, end) of every sentence of each text."""
-    out = []
-    for t, cuts in zip(texts, boundaries(texts), strict=True):
-        own = []
-        a = 0
-        for e in [*cuts, len(t or "")]:
-            part = t[a:e] if t else ""
-            left = len(part) - len(part.lstrip())
-            right = len(part.rstrip())
-            if right > left:
-                own.append((a + left, a + right))
-            a = e
-        out.append(own)
-    return out
+    return [_cut(t, cuts) for t, cuts in zip(texts, boundaries(texts), strict=True)]

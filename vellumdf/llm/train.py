@@ -27,9 +27,15 @@ def main(folder: str) -> None:
     blocks = [r.text for r in pick("text_blocks", "block_id").where("text is not null").select("text").collect()]
     lines.MODEL.write_text(json.dumps(lines.train([r.content for r in sections] + blocks)))
     lines._model.cache_clear()
-    sentences.MODEL.write_text(json.dumps(sentences.train([t for t, junk in zip(blocks, lines.not_prose(blocks), strict=True) if not junk]), ensure_ascii=False))
-    sentences._model.cache_clear()
-    sentences._score.cache_clear()
+    prose = lambda texts: [t for t, junk in zip(texts, lines.not_prose(texts), strict=True) if not junk]
+    model = sentences.train(prose(blocks))
+    sentences.MODEL.write_text(json.dumps(model, ensure_ascii=False))
+    for cached in (sentences._model, sentences._score, sentences._bare_model):
+        cached.cache_clear()
+    # scripts without blanks are rare: a sample of their own
+    unspaced = spark.read.parquet(f"{folder}/text_blocks.parquet").where(F.col("text").rlike("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]")).orderBy(F.xxhash64("block_id")).limit(SAMPLE)
+    sentences.MODEL.write_text(json.dumps(model | sentences.train_bare(prose([r.text for r in unspaced.select("text").collect()])), ensure_ascii=False))
+    sentences._bare_model.cache_clear()
     model = reading.train([r.content for r in sections], [r.book_id for r in sections])
     reading.MODEL.write_text(json.dumps(model))
     print({k: v for k, v in model.items() if k != "model"})
