@@ -95,14 +95,6 @@ def vocabulary(freq: DataFrame, *more: Column) -> DataFrame:
     return v.withColumns(cols)
 
 
-def top_words(freq: DataFrame) -> DataFrame:
-    """Share of the ten most frequent words that are no stop words."""
-    c = freq.where(~is_stop(F.col("word"), F.col("lang")))
-    order = Window.partitionBy("unit_id").orderBy(F.desc("f"), "first_pos")
-    r = c.select("unit_id", "f", F.row_number().over(order).alias("r"))
-    return r.groupBy("unit_id").agg(share(F.sum(F.when(F.col("r") <= 10, F.col("f"))), F.sum("f")).alias("topWords"))
-
-
 def keywords(freq: DataFrame, k: int = 20) -> DataFrame:
     """unit_id, rank, word, f: the most frequent words that are no stop words, ties by first occurrence."""
     c = freq.where(F.col("lang").isin("de", "en") & ~is_stop(F.col("word"), F.col("lang")))
@@ -110,29 +102,6 @@ def keywords(freq: DataFrame, k: int = 20) -> DataFrame:
     return c.select("unit_id", F.row_number().over(order).alias("rank"), "word", "f").where(F.col("rank") <= k)
 
 
-def hdd(freq: DataFrame, sample: int = 42) -> DataFrame:
-    """Expected share of types in a draw of 42 words; equal frequencies are taken together."""
-    n = F.sum("f").over(Window.partitionBy("unit_id"))
-    ff = freq.select("unit_id", "f", n.alias("n")).groupBy("unit_id", "n", "f").agg(F.count("*").alias("types"))
-    absent = F.aggregate(F.sequence(F.lit(0), F.lit(sample - 1)), F.lit(1.0), lambda acc, j: acc * (F.col("n") - F.col("f") - j) / (F.col("n") - j))
-    miss = F.when(F.col("n") - F.col("f") < sample, 0.0).otherwise(absent)
-    return ff.where(F.col("n") >= sample).groupBy("unit_id").agg((100.0 / sample * F.sum(F.col("types") * (1 - miss))).alias("hdd"))
-
-
-def ordered(tok: DataFrame) -> DataFrame:
-    """MATTR in closed form and near repetition, from the previous place of each word."""
-    prev = F.lag("pos").over(Window.partitionBy("unit_id", "word").orderBy("pos"))
-    t = tok.select("unit_id", "pos", prev.alias("prev"), is_stop(F.col("word"), F.col("lang")).alias("stop"))
-    size = tok.groupBy("unit_id").agg(F.count("*").alias("n"))
-    t = t.join(size, "unit_id")
-    pos, w, n = F.col("pos"), F.lit(WINDOW), F.col("n")
-    # windows in which the word is new: those that start behind its previous place and reach its own
-    new = F.greatest(F.lit(0), F.least(pos, n - w) - F.greatest(F.coalesce(F.col("prev"), F.lit(-1)) + 1, pos - w + 1, F.lit(0)) + 1)
-    near = ~F.col("stop") & (pos - F.col("prev") <= NEAR)
-    a = t.groupBy("unit_id", "n").agg(F.sum(new).alias("s"), F.sum(near.cast("int")).alias("repeats"), F.sum((~F.col("stop")).cast("int")).alias("content"))
-    return a.select("unit_id", F.when(n >= WINDOW, 100.0 * F.col("s") / (WINDOW * (n - WINDOW + 1))).alias("mattr"), share(F.coalesce("repeats", F.lit(0)), F.col("content")).alias("nearRepeat"))
-
-
 def is_passive(lang: Column) -> Column:
     """A sentence (its ``words``) with an auxiliary and a participle candidate."""
     has = lambda words: F.arrays_overlap("words", F.array(*map(F.lit, words)))
@@ -175,24 +144,6 @@ def trigrams(sent: DataFrame) -> DataFrame:
     return sent.select("unit_id", "sent", F.posexplode(grams).alias("at", "gram")).groupBy("unit_id", "gram").agg(F.count("*").alias("f"), F.min(F.struct("sent", "at")).alias("first"))
 
 
-def _again(df: DataFrame, key: Column, name: str) -> DataFrame:
-    """Share of further occurrences of a key among all."""
-    c = df.groupBy("unit_id", key.alias("key")).agg(F.count("*").alias("f"))
-    return c.groupBy("unit_id").agg(share(F.sum(F.col("f") - 1), F.sum("f")).alias(name))
-
-
-def repetition(sent: DataFrame, par: DataFrame) -> DataFrame:
-    tri = trigrams(sent).groupBy("unit_id").agg(share(F.sum(F.col("f") - 1), F.sum("f")).alias("trigramRepeat"))
-    key = F.concat_ws(" ", "words")
-    parts = [
-        tri,
-        _again(sent.where("len >= 5"), key, "sentenceRepeat"),
-        _again(sent.where("len >= 2"), F.concat_ws(" ", F.slice("words", 1, 2)), "startRepeat"),
-        _again(par.where("len >= 12"), key, "paragraphRepeat"),
-    ]
-    return reduce(lambda a, b: a.join(b, "unit_id", "full"), parts)
-
-
 def phrases(sent: DataFrame, k: int = 16) -> DataFrame:
     """unit_id, rank, phrase, f: the most frequent repeated three-word phrases, ties by first occurrence."""
     t = trigrams(sent).where("f >= 2")
@@ -267,14 +218,17 @@ def word_metrics(u: DataFrame, sample: int = 42) -> DataFrame:
     new = F.greatest(F.lit(0), F.least(pos, size - WINDOW) - F.greatest(F.coalesce(F.col("prev"), F.lit(-1)) + 1, pos - WINDOW + 1, F.lit(0)) + 1)
     near = (pos - F.col("prev") <= NEAR).cast("int")
     w = t.groupBy("unit_id", "word", "lang", "size").agg(F.count("*").alias("f"), F.min("pos").alias("first_pos"), F.sum(new).alias("new"), F.coalesce(F.sum(near), F.lit(0)).alias("near"))
-    stop = is_stop(F.col("word"), F.col("lang"))
-    w = w.withColumn("stop", stop).withColumn("r", F.row_number().over(Window.partitionBy("unit_id").orderBy("stop", F.desc("f"), "first_pos")))
+    w = w.withColumn("stop", is_stop(F.col("word"), F.col("lang")))
+    # the ten largest counts: every task keeps ten a unit before they are shuffled, and equal ones are alike in the sum
+    ranked = w.where(~F.col("stop")).select("unit_id", "f", F.row_number().over(Window.partitionBy("unit_id").orderBy(F.desc("f"))).alias("r"))
+    top = ranked.where("r <= 10").groupBy("unit_id").agg(F.sum("f").alias("top"))
     # chance that a type is not drawn, as a product over its occurrences
     missed = F.aggregate(F.sequence(F.lit(0), (F.col("f") - 1).cast("int")), F.lit(1.0), lambda acc, k: acc * (size - sample - k) / (size - k))
     drawn = F.when(size >= sample, 1 - F.when(size - F.col("f") < sample, 0.0).otherwise(missed))
     v = vocabulary(
-        w, F.sum("new").alias("windows"), F.sum(F.when(~F.col("stop"), F.col("near"))).alias("repeats"), F.sum(F.when(~F.col("stop") & (F.col("r") <= 10), F.col("f"))).alias("top"), F.sum(drawn).alias("drawn")
+        w, F.sum("new").alias("windows"), F.sum(F.when(~F.col("stop"), F.col("near"))).alias("repeats"), F.sum(drawn).alias("drawn")
     )
+    v = v.join(top, "unit_id", "left")
     n = F.col("n")
     return v.withColumns(
         {
@@ -286,8 +240,8 @@ def word_metrics(u: DataFrame, sample: int = 42) -> DataFrame:
     )
 
 
-def repetition_in_one(u: DataFrame) -> DataFrame:
-    """The four shares of ``repetition`` from one scan and one shuffle: every unit lists its keys, marked by kind."""
+def repetition(u: DataFrame) -> DataFrame:
+    """Shares of repeated phrases, sentences, openings and paragraphs from one scan and one shuffle: every unit lists its keys, marked by kind."""
     text = F.col("text")
     key = lambda kind: lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key"))
     lists = u.select("unit_id", F.transform(T.sentences(text), T.words).alias("s"), F.transform(T.paragraphs(text), T.words).alias("p"))
@@ -309,7 +263,7 @@ def wide(u: DataFrame, long_sentence: int = LONG_SENTENCE) -> DataFrame:
     """unit_id, lang, words and all metrics, without the gates.  The texts are scanned once a family: five times in all."""
     base = per_text(u)
     drop = ("lang", "letters", "flog", "ff", "f2", "once", "content", "types", "windows", "repeats", "top", "drawn", *(f"{x}_n" for x in (*LEXICONS, "nominal", "adverbs")))
-    out = reduce(lambda a, b: a.join(b, "unit_id", "left"), [word_metrics(u).drop(*drop), rhythm(sentence_rows(u), long_sentence), repetition_in_one(u), paragraph_metrics(paragraph_rows(u))], base)
+    out = reduce(lambda a, b: a.join(b, "unit_id", "left"), [word_metrics(u).drop(*drop), rhythm(sentence_rows(u), long_sentence), repetition(u), paragraph_metrics(paragraph_rows(u))], base)
     out = out.withColumns(formulas())
     return out.withColumn("n", F.coalesce("n", F.lit(0)))
 
@@ -338,7 +292,7 @@ def profile(u: DataFrame, groups: list[str] | None = None, long_sentence: int =
 
 
 def cadence(sent: DataFrame, bins: int = 160) -> DataFrame:
-    """unit_id, bin, first, last, mean, low, high: sentence lengths in at most ``bins`` steps."""
+    """unit_id, bin, first, last, mean, low, high: sentence lengths in at most ``bins`` steps; the mean at two places, half to even."""
     n = F.count("*").over(Window.partitionBy("unit_id"))
     b = sent.select("unit_id", "sent", "len", F.floor(F.col("sent") / F.greatest(F.lit(1), F.ceil(n / bins))).alias("bin"))
     return b.groupBy("unit_id", "bin").agg((F.min("sent") + 1).alias("first"), (F.max("sent") + 1).alias("last"), F.bround(F.avg("len"), 2).alias("mean"), F.min("len").alias("low"), F.max("len").alias("high"))
@@ -349,3 +303,13 @@ def histogram(sent: DataFrame) -> DataFrame:
     edges = [1, 6, 11, 16, 21, 31, 41]
     between = lambda a, b: (F.col("len") >= a) & (F.col("len") < b) if b else F.col("len") >= a
     return sent.groupBy("unit_id").agg(*(F.count_if(between(a, b)).alias(f"len_{a}") for a, b in zip(edges, [*edges[1:], None], strict=True)))
+
+
+def basic(u: DataFrame) -> DataFrame:
+    """unit_id, words, sentences, sentenceMean, sentenceCV, mattr, dialogue (100 at most), paragraphs and the sentence histogram: what an import shows at once."""
+    sent = sentence_rows(u)
+    parts = [
+        word_metrics(u).select("unit_id", F.col("n").alias("words"), "mattr"), rhythm(sent).select("unit_id", "sentences", "sentenceMean", "sentenceCV"), histogram(sent),
+        punctuation(u).select("unit_id", F.least(F.lit(100.0), "dialogue").alias("dialogue")), paragraph_rows(u).groupBy("unit_id").agg(F.count("*").alias("paragraphs")),
+    ]
+    return reduce(lambda a, b: a.join(b, "unit_id", "left"), parts, u.select("unit_id")).fillna(0, ["words", "sentences", "paragraphs", *(f"len_{a}" for a in (1, 6, 11, 16, 21, 31, 41))])

@@ -51,3 +51,41 @@ def in_lexicon(name: str) -> str:
 LETTERS = r"length(regexp_replace(word, '[^\p{L}]', '', 'g'))"
 SYLLABLES = """CASE WHEN lang = 'de' THEN greatest(1, len(regexp_extract_all(word, 'au|äu|eu|ei|ai|ie|[aeiouyäöü]')))
   ELSE greatest(1, len(regexp_extract_all(word, '[aeiouy]+')) - CASE WHEN suffix(word, 'e') AND NOT regexp_matches(word, '[^aeiouy]le$') AND len(regexp_extract_all(word, '[aeiouy]+')) > 1 THEN 1 ELSE 0 END) END"""
+
+
+def unrounded(sql: str) -> str:
+    """The query with every round(x, n) as (x)."""
+    out, at = [], 0
+    while (a := sql.find("round(", at)) >= 0:
+        depth, comma, k, text = 1, -1, a + 6, False
+        while depth:
+            text ^= sql[k] == "'"
+            if not text:
+                depth += {"(": 1, ")": -1}.get(sql[k], 0)
+                comma = k if sql[k] == "," and depth == 1 else comma
+            k += 1
+        out += [sql[at:a], "(", unrounded(sql[a + 6 : comma]), ")"]
+        at = k
+    return "".join([*out, sql[at:]])
+
+
+def inner(sql: str, name: str) -> str:
+    """A query as a named part of another."""
+    return f"{name} AS ({sql})"
+
+
+#: Stretches of MTLD in one direction: a fold over the words, each with the place of the same word before it.
+def stretches(name: str, place: str, before: str) -> str:
+    step = (
+        "struct_pack(i := b.i, prev := b.prev, started := CASE WHEN (a.kinds + (b.prev < a.started)::INT)::DOUBLE / (b.i + 1 - a.started) <= 0.72::DOUBLE THEN b.i + 1 ELSE a.started END, "
+        "kinds := CASE WHEN (a.kinds + (b.prev < a.started)::INT)::DOUBLE / (b.i + 1 - a.started) <= 0.72::DOUBLE THEN 0 ELSE a.kinds + (b.prev < a.started)::INT END, "
+        "ended := a.ended + CASE WHEN (a.kinds + (b.prev < a.started)::INT)::DOUBLE / (b.i + 1 - a.started) <= 0.72::DOUBLE THEN 1 ELSE 0 END)"
+    )
+    return f"""{name} AS (SELECT unit_id, n, r.ended + CASE WHEN n > r.started THEN (1 - r.kinds::DOUBLE / (n - r.started)) / 0.28::DOUBLE ELSE 0 END AS factor FROM (
+      SELECT unit_id, count(*) AS n, list_reduce(list_prepend(struct_pack(i := -1, prev := -1, started := 0, kinds := 0, ended := 0), list(struct_pack(i := ({place})::INT, prev := ({before})::INT, started := 0, kinds := 0, ended := 0) ORDER BY {place})), lambda a, b: {step}) AS r
+      FROM placed GROUP BY unit_id))"""
+
+
+MTLD = f"""placed AS (SELECT unit_id, pos, count(*) OVER (PARTITION BY unit_id) AS total, coalesce(lag(pos) OVER same, -1) AS before, lead(pos) OVER same AS behind FROM tokens WINDOW same AS (PARTITION BY unit_id, word ORDER BY pos)),
+  {stretches("there", "pos", "before")}, {stretches("back", "total - 1 - pos", "coalesce(total - 1 - behind, -1)")},
+  stretch AS (SELECT u.unit_id, CASE WHEN t.factor > 0 AND b.factor > 0 THEN (t.n / t.factor + b.n / b.factor) / 2 END AS mtld FROM units u LEFT JOIN there t USING (unit_id) LEFT JOIN back b USING (unit_id))"""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..catalog import METRICS, REASONS
 from ..lexicons import LEXICONS, NOMINAL, PARTICIPLES_EN, PASSIVE_AUXILIARIES
 from ..operators import evidence as E
 from ..operators import metrics as M
@@ -73,20 +74,20 @@ def vocab_metrics(spark, d):
   y AS (SELECT unit_id, f, n, CASE WHEN n - f < 42 THEN 0 ELSE exp((lgamma(n - f + 1.0) - lgamma(n - f - 41.0)) - (lgamma(n + 1.0) - lgamma(n - 41.0))) END AS miss FROM x WHERE n >= 42)
 SELECT unit_id, round(sum(1 - miss) * 100 / 42, 5) AS hdd FROM y GROUP BY unit_id""")
 def vocab_hdd(spark, d):
-    return M.hdd(M.frequencies(M.tokens(docs(spark, d)))).select("unit_id", F.round("hdd", 5).alias("hdd"))
+    return M.word_metrics(docs(spark, d)).where("n >= 42").select("unit_id", F.round("hdd", 5).alias("hdd"))
 
 
 @query(f"""WITH {DOCS}, {S.TOKENS}, a AS (SELECT unit_id, lang, word, pos, lag(pos) OVER (PARTITION BY unit_id, word ORDER BY pos) AS prev, count(*) OVER (PARTITION BY unit_id) AS n, {S.IS_STOP} AS stop FROM tokens)
 SELECT unit_id, round(CASE WHEN any_value(n) >= 100 THEN 100.0 * sum(greatest(0, least(pos, n - 100) - greatest(coalesce(prev, -1) + 1, pos - 99, 0) + 1)) / (100 * (any_value(n) - 99)) END, 6) AS mattr,
   round(CASE WHEN count(*) FILTER (NOT stop) > 0 THEN 100.0 * count(*) FILTER (NOT stop AND pos - prev <= 20) / count(*) FILTER (NOT stop) END, 6) AS "nearRepeat" FROM a GROUP BY unit_id""")
 def vocab_mattr_near(spark, d):
-    return r6(M.ordered(M.tokens(docs(spark, d))))
+    return r6(M.word_metrics(docs(spark, d)).select("unit_id", "mattr", "nearRepeat"))
 
 
 @query(f"""WITH {DOCS}, {S.TOKENS}, {S.FREQ}, c AS (SELECT unit_id, f, row_number() OVER (PARTITION BY unit_id ORDER BY f DESC, first_pos) AS r FROM freq WHERE NOT {S.IS_STOP})
 SELECT unit_id, round(100.0 * sum(f) FILTER (r <= 10) / sum(f), 6) AS "topWords" FROM c GROUP BY unit_id""")
 def top_words_share(spark, d):
-    return r6(M.top_words(M.frequencies(M.tokens(docs(spark, d)))))
+    return r6(M.word_metrics(docs(spark, d)).where("content > 0").select("unit_id", "topWords"))
 
 
 @query(f"""WITH {DOCS}, {S.TOKENS}, {S.FREQ} SELECT unit_id, row_number() OVER (PARTITION BY unit_id ORDER BY f DESC, first_pos)::INT AS rank, word, f FROM freq WHERE lang IN ('de','en') AND NOT {S.IS_STOP} QUALIFY rank <= 20""")
@@ -163,8 +164,7 @@ def _again(cte: str, key: str, name: str) -> str:
   {_again("g", "gram", "trigramRepeat")}, {_again("(SELECT * FROM sent WHERE n >= 5)", "w", "sentenceRepeat")}, {_again("(SELECT * FROM sent WHERE n >= 2)", "w[1:2]", "startRepeat")}, {_again("(SELECT * FROM par WHERE n >= 12)", "w", "paragraphRepeat")}
 SELECT unit_id, "trigramRepeat", "sentenceRepeat", "startRepeat", "paragraphRepeat" FROM trigramRepeat FULL JOIN sentenceRepeat USING (unit_id) FULL JOIN startRepeat USING (unit_id) FULL JOIN paragraphRepeat USING (unit_id)""")
 def repetition_metrics(spark, d):
-    u = sections(spark, d)
-    return r6(M.repetition(M.sentence_rows(u), M.paragraph_rows(u)))
+    return r6(M.repetition(sections(spark, d)))
 
 
 @query(f"""WITH {DOCS}, {S.SENTENCES}, g AS (SELECT unit_id, sent, unnest(range(1, n::BIGINT - 1)) AS k, w FROM sent WHERE n >= 3),
@@ -184,25 +184,51 @@ def paragraph_metrics(spark, d):
 
 
 @query(f"""WITH {SECTIONS}, {S.SENTENCES}, b AS (SELECT unit_id, sent, n, sent // greatest(1, ceil(count(*) OVER (PARTITION BY unit_id) / 160)::BIGINT) AS bin FROM sent)
-SELECT unit_id, bin, (min(sent) + 1)::INT AS "first", (max(sent) + 1)::INT AS "last", round(avg(n), 4) AS mean, min(n)::INT AS low, max(n)::INT AS high FROM b GROUP BY unit_id, bin""")
+SELECT unit_id, bin, (min(sent) + 1)::INT AS "first", (max(sent) + 1)::INT AS "last", round_even(avg(n), 2) AS mean, min(n)::INT AS low, max(n)::INT AS high FROM b GROUP BY unit_id, bin""")
 def cadence_bins(spark, d):
-    sent = M.sentence_rows(sections(spark, d))
-    c = M.cadence(sent)
-    # the mean unrounded as in the report, at four places for comparison
-    n = F.count("*").over(M.Window.partitionBy("unit_id"))
-    exact = sent.select("unit_id", "len", F.floor(F.col("sent") / F.greatest(F.lit(1), F.ceil(n / 160))).alias("bin")).groupBy("unit_id", "bin").agg(F.round(F.avg("len"), 4).alias("exact"))
-    return c.join(exact, ["unit_id", "bin"]).select("unit_id", "bin", "first", "last", F.col("exact").alias("mean"), "low", "high")
+    return M.cadence(M.sentence_rows(sections(spark, d)))
 
 
-@query()
+@query(f"WITH {DOCS}, {S.TOKENS}, {S.MTLD} SELECT unit_id, round(mtld, 6) AS mtld FROM stretch")
+def lexical_stretch(spark, d):
+    return M.lexical_stretch(docs(spark, d)).select("unit_id", F.round("mtld", 6).alias("mtld"))
+
+
+def _profile_sql() -> str:
+    """The profile put together from the SQL of its families, unrounded, with the gates in their order."""
+    part = lambda name: S.unrounded(ORACLE[name])
+    on_docs = lambda name: part(name).replace(SECTIONS, DOCS)
+    families = {
+        "v": part("vocab_metrics"), "h": part("vocab_hdd"), "o": part("vocab_mattr_near"), "tw": part("top_words_share"), "lx": part("lexicon_rates"), "pu": part("punctuation_rates"),
+        "se": part("sentence_metrics"), "re": part("readability_all"), "rp": on_docs("repetition_metrics"), "pa": on_docs("paragraph_metrics"), "ml": f"WITH {DOCS}, {S.TOKENS}, {S.MTLD} SELECT * FROM stretch",
+    }
+    names = ", ".join(f"('{m.id}', {i}, {m.min_words}, '{','.join(m.languages)}')" for i, m in enumerate(METRICS))
+    value = " ".join(f"WHEN '{m.id}' THEN \"{m.id}\"::DOUBLE" for m in METRICS)
+    own = " ".join(f"WHEN metric = '{k}' THEN '{v}'" for k, v in REASONS.items() if k in {m.id for m in METRICS})
+    joins = " ".join(f"LEFT JOIN {k} USING (unit_id)" for k in families)
+    return f"""WITH {DOCS}, {", ".join(S.inner(v, k) for k, v in families.items())}, m(metric, place, least, spoken) AS (VALUES {names}),
+      w AS (SELECT * FROM units {joins}), l AS (SELECT unit_id, lang, coalesce(n, 0) AS n, metric, least, spoken, CASE metric {value} END AS v FROM w CROSS JOIN m),
+      g AS (SELECT *, CASE WHEN NOT list_contains(string_split(spoken, ','), lang) THEN '{REASONS["language"]}' WHEN n < least THEN '{REASONS["short"]}' WHEN v IS NULL OR isnan(v) THEN CASE {own} ELSE '{REASONS["other"]}' END END AS reason FROM l)
+    SELECT unit_id, lang, metric, CASE WHEN reason IS NULL THEN round_even(v, 4) END AS value, reason FROM g"""
+
+
+@query(_profile_sql())
 def metric_profile(spark, d):
     """All 51 metrics of every document with the reasons for missing values (long form)."""
     return M.profile(docs(spark, d))
 
 
-@query()
-def lexical_stretch(spark, d):
-    return M.lexical_stretch(docs(spark, d)).select("unit_id", F.round("mtld", 6).alias("mtld"))
+_BASIC = f"""WITH {DOCS}, v AS ({S.unrounded(ORACLE["vocab_mattr_near"])}), c AS ({S.unrounded(ORACLE["token_count"])}), s AS ({S.unrounded(ORACLE["sentence_metrics"])}), hi AS ({ORACLE["sentence_histogram"]}), pu AS ({S.unrounded(ORACLE["punctuation_rates"])}), {S.PARAGRAPHS},
+  pa AS (SELECT unit_id, count(*) AS paragraphs FROM par GROUP BY unit_id)
+SELECT unit_id, coalesce(words, 0)::BIGINT AS words, round(mattr, 6) AS mattr, coalesce(sentences, 0) AS sentences, round("sentenceMean", 6) AS "sentenceMean", round("sentenceCV", 6) AS "sentenceCV",
+  {", ".join(f"coalesce(len_{a}, 0) AS len_{a}" for a in (1, 6, 11, 16, 21, 31, 41))}, round(CASE WHEN dialogue IS NOT NULL THEN least(100.0, dialogue) END, 6) AS dialogue, coalesce(paragraphs, 0) AS paragraphs
+FROM units LEFT JOIN v USING (unit_id) LEFT JOIN c USING (unit_id) LEFT JOIN s USING (unit_id) LEFT JOIN hi USING (unit_id) LEFT JOIN pu USING (unit_id) LEFT JOIN pa USING (unit_id)"""
+
+
+@query(_BASIC)
+def basic_metrics(spark, d):
+    b = M.basic(docs(spark, d))
+    return r6(b.withColumn("dialogue", F.when(F.col("words") > 0, F.col("dialogue"))))
 
 
 @query(f"""WITH {DOCS}, {S.TOKENS}, a AS (SELECT unit_id, word, pos, pos - lag(pos) OVER (PARTITION BY unit_id, word ORDER BY pos) AS gap FROM tokens WHERE NOT {S.IS_STOP} AND lang IN ('de','en'))
@@ -230,6 +256,8 @@ _HITS = f"""hits AS (SELECT unit_id, 'longSentences' AS metric, count(*) AS n FR
   UNION ALL SELECT unit_id, 'startRepeat', sum(f - 1) FROM (SELECT unit_id, w[1:2] AS k, count(*) AS f FROM sent WHERE n >= 2 GROUP BY ALL HAVING count(*) > 1) GROUP BY unit_id
   UNION ALL SELECT unit_id, 'trigramRepeat', count(*) FROM (SELECT unit_id, gram FROM (SELECT unit_id, unnest(list_transform(range(1, n::BIGINT - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS gram FROM sent WHERE n >= 3) GROUP BY ALL HAVING count(*) >= 2) GROUP BY unit_id
   UNION ALL SELECT unit_id, 'paragraphRepeat', sum(f - 1) FROM (SELECT unit_id, w, count(*) AS f FROM par WHERE n >= 12 GROUP BY ALL HAVING count(*) > 1) GROUP BY unit_id
+  UNION ALL SELECT unit_id, 'nearRepeat', count(*) FROM ({ORACLE["near_repeat_hits"].replace(DOCS, SECTIONS)}) GROUP BY unit_id
+  UNION ALL SELECT unit_id, 'shifts', count(*) FROM (SELECT unit_id, lang, CASE WHEN len(own) > 0 AND len(before) > 0 THEN len(list_intersect(own, before)) / len(list_distinct(list_concat(own, before))) END AS j FROM (SELECT *, lag(own) OVER (PARTITION BY unit_id ORDER BY par) AS before FROM (SELECT *, CASE WHEN n >= 12 THEN list_distinct(list_filter(w, lambda word: NOT {S.IS_STOP})) ELSE [] END AS own FROM par))) WHERE j < 0.05 AND lang IN ('de','en') GROUP BY unit_id
   UNION ALL SELECT unit_id, 'nominal', count(*) FROM tokens WHERE {_NOM} GROUP BY unit_id
   UNION ALL SELECT unit_id, 'adverbs', count(*) FROM tokens WHERE {_ADV} GROUP BY unit_id
   {" ".join(f"UNION ALL SELECT unit_id, '{x}', count(*) FROM tokens WHERE {S.in_lexicon(x)} GROUP BY unit_id" for x in LEXICONS)})"""
@@ -238,7 +266,7 @@ _HITS = f"""hits AS (SELECT unit_id, 'longSentences' AS metric, count(*) AS n FR
 @query(f"WITH {SECTIONS}, {S.TOKENS}, {S.SENTENCES}, {S.PARAGRAPHS}, {_HITS} SELECT unit_id, metric, n::BIGINT AS n FROM hits")
 def evidence_counts(spark, d):
     """Findings of every metric with places, counted from their index."""
-    e = E.index(sections(spark, d)).where(~F.col("metric").isin("nearRepeat", "shifts"))
+    e = E.index(sections(spark, d))
     return e.groupBy("unit_id", "metric").agg(F.count("*").alias("n"))
 
 
