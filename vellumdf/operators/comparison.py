@@ -43,12 +43,16 @@ def deviations(banded: DataFrame, value: str, metric: str, words: str | None = N
     return banded.withColumn("direction", F.when(F.col(words) >= least_words, d) if words else d)
 
 
-def deltas(target: DataFrame, reference: DataFrame) -> DataFrame:
-    """metric, delta, reason of two profiles (metric, value, reason, lang): target minus reference, or why there is none."""
+def deltas(target: DataFrame, reference: DataFrame, same_version: bool = True, same_long_sentence: bool = True) -> DataFrame:
+    """metric, delta, reason of two profiles (metric, value, reason, lang): target minus reference, or why there is none.
+
+    ``same_version``: both were made by the same version of the metrics; ``same_long_sentence``: with the same limit of long sentences.
+    """
     t = target.select("unit_id", "metric", F.col("value").alias("a"), F.col("reason").alias("ra"), F.col("lang").alias("la"))
     r = reference.select("metric", F.col("value").alias("b"), F.col("reason").alias("rb"), F.col("lang").alias("lb"))
     j = t.join(r, "metric")
-    reason = F.when(F.col("la") != F.col("lb"), "different languages").otherwise(F.coalesce("ra", "rb"))
+    reason = F.when(F.lit(not same_version), "different versions").when(F.col("la") != F.col("lb"), "different languages")
+    reason = reason.when(F.lit(not same_long_sentence) & (F.col("metric") == "longSentences"), "different limits of long sentences").otherwise(F.coalesce("ra", "rb"))
     return j.select("unit_id", "metric", F.when(reason.isNull(), F.bround(F.col("a") - F.col("b"), 4)).alias("delta"), reason.alias("reason"))
 
 
@@ -66,23 +70,3 @@ def matched_windows(tokens: DataFrame, size: int, most: int = 9) -> DataFrame:
     # a token lies in at most one window: equi join on the unit, range within it
     j = tokens.join(w, "unit_id").where((F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("start") + size))
     return j.groupBy("unit_id", "window", "start").agg(F.count("*").alias("words"), F.count_distinct("word").alias("types"))
-
-
-def cards(w: DataFrame, goal: float = 10.0) -> DataFrame:
-    """unit_id, card, status: fit, review, observe or unknown of flow, vocabulary and repetition (wide metrics with n)."""
-    unknown = F.col("n") < 300
-    status = lambda value, review, observe: F.when(unknown | value.isNull(), "unknown").when(review, "review").when(observe, "observe").otherwise("fit")
-    longs, near, tri = F.col("longSentences"), F.col("nearRepeat"), F.col("trigramRepeat")
-    rows = [
-        F.struct(F.lit("flow").alias("card"), status(longs, longs > goal, F.lit(False)).alias("status")),
-        F.struct(F.lit("vocabulary").alias("card"), status(F.col("mattr"), F.lit(False), F.lit(True)).alias("status")),
-        F.struct(F.lit("repetition").alias("card"), status(F.coalesce(near, tri), F.coalesce(F.col("sentenceRepeat") > 0, F.lit(False)) | F.coalesce(F.col("paragraphRepeat") > 0, F.lit(False)), F.lit(True)).alias("status")),
-    ]
-    return w.select("unit_id", F.inline(F.array(*rows)))
-
-
-def priorities(cards_: DataFrame, k: int = 3) -> DataFrame:
-    """At most three cards to review a unit, in fixed order."""
-    order = F.array_position(F.array(*map(F.lit, ("flow", "repetition", "consistency", "vocabulary"))), F.col("card"))
-    r = cards_.where(F.col("status") == "review").withColumn("rank", F.row_number().over(Window.partitionBy("unit_id").orderBy(order)))
-    return r.where(F.col("rank") <= k).select("unit_id", "rank", "card")

@@ -134,6 +134,20 @@ def with_decisions(evidence: DataFrame, decisions: DataFrame) -> DataFrame:
     return evidence.join(decisions.select(*key).distinct().withColumn("hit", F.lit(True)), key, "left").withColumn("intentional", F.coalesce("hit", F.lit(False))).drop("hit")
 
 
+def current_decisions(decisions: DataFrame, u: DataFrame) -> DataFrame:
+    """The decisions whose text_sha256 is that of the unit's text as it is now; others were made on another text and are rejected."""
+    now = u.select("unit_id", F.sha2("text", 256).alias("text_sha256"))
+    return decisions.join(now, ["unit_id", "text_sha256"], "left_semi")
+
+
+def filtered(evidence: DataFrame, metric: str | None = None, status: str = "all") -> DataFrame:
+    """Findings of one metric (null: of all) that are open, intentional or all."""
+    if status not in ("open", "intentional", "all"):
+        raise ValueError(f"unknown status {status}")
+    e = evidence if metric is None else evidence.where(F.col("metric") == metric)
+    return e if status == "all" else e.where(F.col("intentional") if status == "intentional" else ~F.col("intentional"))
+
+
 def page(evidence: DataFrame, offset: int, limit: int) -> DataFrame:
     """One page in order of (unit_id, start, end, metric); limit 1 to 50, the offset moved back to the last page that has rows."""
     limit = max(1, min(50, limit))

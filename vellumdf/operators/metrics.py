@@ -274,7 +274,11 @@ def profile(u: DataFrame, groups: list[str] | None = None, long_sentence: int =
     The gates come in this order: group switched off, language, number of words,
     no value.  Values are rounded half-even to four places.
     """
-    w = wide(u, long_sentence)
+    return gated(wide(u, long_sentence), groups).drop("n")
+
+
+def gated(w: DataFrame, groups: list[str] | None = None) -> DataFrame:
+    """unit_id, lang, n, metric, value, reason of the wide form (see ``profile``)."""
     ids = [m.id for m in METRICS]
     long = w.select("unit_id", "lang", "n", *(F.col(i).cast("double").alias(i) for i in ids)).unpivot(["unit_id", "lang", "n"], ids, "metric", "value")
     metric, v = F.col("metric"), F.col("value")
@@ -288,7 +292,7 @@ def profile(u: DataFrame, groups: list[str] | None = None, long_sentence: int =
         if i in REASONS:
             reason = reason.when(missing & (metric == i), REASONS[i])
     long = long.withColumn("reason", reason.when(missing, REASONS["other"]))
-    return long.select("unit_id", "lang", "metric", F.when(F.col("reason").isNull(), F.bround("value", 4)).alias("value"), "reason")
+    return long.select("unit_id", "lang", "n", "metric", F.when(F.col("reason").isNull(), F.bround("value", 4)).alias("value"), "reason")
 
 
 def cadence(sent: DataFrame, bins: int = 160) -> DataFrame:

@@ -44,12 +44,6 @@ def source_counts(spark, d):
     return Y.source_counts(table(spark, d, "documents"), "source")
 
 
-@query("SELECT lang, count(*) FILTER (source = 'lantern_press') AS lantern_press, count(*) FILTER (source = 'night_train') AS night_train, count(*) FILTER (source = 'fair_copy') AS fair_copy FROM documents GROUP BY lang")
-def source_coverage(spark, d):
-    houses = ["lantern_press", "night_train", "fair_copy"]
-    return table(spark, d, "documents").groupBy("lang").pivot("source", houses).count().na.fill(0, houses)
-
-
 @query("""WITH s AS (SELECT book_id, section_id, chapter_index, coalesce(word_count, 0) AS w FROM book_sections), x AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY section_id) - 1 AS place, count(*) OVER (PARTITION BY book_id) AS n,
   row_number() OVER (PARTITION BY book_id ORDER BY w, section_id) = 1 AS short, row_number() OVER (PARTITION BY book_id ORDER BY w DESC, section_id) = 1 AS long FROM s),
   r AS (SELECT *, CASE WHEN place = 0 THEN 0 WHEN place = n // 2 THEN 1 WHEN place = n - 1 THEN 2 WHEN short THEN 3 WHEN long THEN 4 END AS rank FROM x)
@@ -71,17 +65,6 @@ def segment_spans(spark, d):
     return cut_out.groupBy("book_id").agg(F.sum(F.length("t")).cast("long").alias("chars"), F.sum(F.regexp_count("t", F.lit(SG.T.IMPORT_WORD))).cast("long").alias("words"))
 
 
-@query("""WITH b AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE label = 0), t AS (SELECT label::VARCHAR AS doc, vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE label IN (1, 2, 3)),
-  x AS (SELECT unnest(e) AS x, generate_subscripts(e, 1) AS dim FROM b), f AS (SELECT list(mean ORDER BY dim) AS m, list(sd ORDER BY dim) AS s FROM (SELECT dim, avg(x) AS mean, CASE WHEN stddev_pop(x) = 0 THEN 1 ELSE stddev_pop(x) END AS sd FROM x GROUP BY dim)),
-  bz AS (SELECT vec_id, list_transform(range(1, 65), lambda i: (e[i] - m[i]) / s[i]) AS z FROM b, f), tz AS (SELECT doc, vec_id, list_transform(range(1, 65), lambda i: (e[i] - m[i]) / s[i]) AS z FROM t, f),
-  k AS (SELECT doc, tz.vec_id, list_distance(tz.z, bz.z) AS dist, row_number() OVER (PARTITION BY tz.vec_id ORDER BY list_distance(tz.z, bz.z), bz.vec_id) AS n FROM tz, bz QUALIFY n <= 25), r AS (SELECT doc, vec_id, avg(dist) AS raw FROM k GROUP BY ALL)
-SELECT doc, round(avg(raw), 5) AS distance FROM r GROUP BY doc""")
-def baseline_distance(spark, d):
-    """Distance of three groups to a fourth, scaled on that one only (all groups: baseline_distances)."""
-    e = V.vectors(table(spark, d, "embeddings"), "vec_id", "embedding", F.col("label").cast("string").alias("doc"))
-    return Y.baseline_distance(e.where(F.col("doc").isin("1", "2", "3")), e.where("doc = '0'").select("id", "v")).select("doc", F.round("distance", 5).alias("distance"))
-
-
 @query("""WITH v AS (SELECT vec_id, label::VARCHAR AS doc, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0), x AS (SELECT unnest(e) AS x, generate_subscripts(e, 1) AS dim FROM v WHERE doc = '0'),
   f AS (SELECT list(mean ORDER BY dim) AS m, list(sd ORDER BY dim) AS s FROM (SELECT dim, avg(x) AS mean, CASE WHEN stddev_pop(x) = 0 THEN 1 ELSE stddev_pop(x) END AS sd FROM x GROUP BY dim)),
   z AS (SELECT doc, vec_id, list_transform(range(1, 65), lambda i: (e[i] - m[i]) / s[i]) AS z FROM v, f WHERE doc IS NOT NULL), k AS (SELECT t.doc, t.vec_id, list_distance(t.z, b.z) AS dist, row_number() OVER (PARTITION BY t.vec_id ORDER BY list_distance(t.z, b.z), b.vec_id) AS n FROM z t, z b WHERE t.doc <> '0' AND b.doc = '0' QUALIFY n <= 25),
@@ -93,27 +76,9 @@ def baseline_distances(spark, d):
     return Y.baseline_distance(e.where("doc <> '0'"), e.where("doc = '0'").select("id", "v")).select("doc", F.round("distance", 5).alias("distance"))
 
 
-@query("""WITH p AS (SELECT CASE WHEN source = 'lantern_press' THEN 'human' ELSE source END AS source, (doc_id % 100) / 100.0 AS percentile FROM documents WHERE source IS NOT NULL)
-SELECT round(avg(percentile) FILTER (source = 'human'), 6) AS human_mean, round(avg(percentile) FILTER (source <> 'human'), 6) AS machine_mean,
-  coalesce(abs(avg(percentile) FILTER (source = 'human') - 0.71) <= 0.1 AND abs(avg(percentile) FILTER (source <> 'human') - 0.49) <= 0.1, false) AS within_tolerance, 'reconstruction' AS status FROM p""")
-def quality_gate(spark, d):
-    s = table(spark, d, "documents").where("source is not null").select(F.when(F.col("source") == "lantern_press", "human").otherwise(F.col("source")).alias("source"), (F.col("doc_id") % 100 / 100.0).cast("double").alias("percentile"))
-    return r6(Y.quality_gate(s, 64, 0))
-
-
 @query("SELECT book_id, chapter_index AS segment_index, 'words' AS metric, w AS value, round(w - lag(w) OVER (PARTITION BY book_id ORDER BY chapter_index), 4) AS change FROM (SELECT book_id, chapter_index, sum(word_count)::DOUBLE AS w FROM book_sections WHERE word_count IS NOT NULL GROUP BY ALL)")
 def progression(spark, d):
     v = table(spark, d, "book_sections").where("word_count is not null").groupBy("book_id", F.col("chapter_index").alias("segment_index")).agg(F.sum("word_count").cast("double").alias("value")).withColumn("metric", F.lit("words"))
     return Y.progression(v).select("book_id", "segment_index", "metric", "value", "change")
 
 
-@query()
-def matched_comparison(spark, d):
-    """Bands of every metric over windows of 300 words of the longest German document, and the deltas of the German documents to their medians."""
-    u = docs(spark, d)
-    long = table(spark, d, "documents").where("lang = 'de' and text is not null").agg(F.max_by("doc_id", F.struct(F.length("text"), F.col("doc_id"))).alias("unit_id"))  # one row
-    ref = cut(u.join(F.broadcast(long), "unit_id", "left_semi"))
-    w = C.matched_windows(M.tokens(ref), 300)
-    bands = cut(Y.matched_bands(M.profile(Y.windows_as_units(E.token_offsets(ref), w, ref, 300))))
-    base = bands.select(F.lit("de").alias("lang"), "metric", F.col("median").alias("value"), F.lit(None).cast("string").alias("reason"))
-    return C.deltas(M.profile(u.where("lang = 'de'")), base).join(bands, "metric")

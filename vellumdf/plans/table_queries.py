@@ -90,13 +90,6 @@ def known_titles(spark, d):
     return table(spark, d, "documents").join(table(spark, d, "book_inventory").select("book_title"), "book_title", "left_semi").groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query("SELECT prompt_id, count(*) AS n, bool_and(source IS NOT NULL) AS complete FROM reference_matrix WHERE split = 'val' AND prompt_id NOT IN (SELECT prompt_id FROM reference_matrix WHERE split = 'train' AND prompt_id IS NOT NULL) GROUP BY prompt_id")
-def split_purity(spark, d):
-    """Prompts of the validation rows that no training row has."""
-    r = table(spark, d, "reference_matrix")
-    return r.where("split = 'val'").join(r.where("split = 'train'").select("prompt_id"), "prompt_id", "left_anti").groupBy("prompt_id").agg(F.count("*").alias("n"), F.bool_and(F.col("source").isNotNull()).alias("complete"))
-
-
 @query("SELECT book_id FROM book_inventory i WHERE NOT EXISTS (FROM book_sections s WHERE s.book_id = i.book_id AND s.matter = 'front')")
 def books_without_front(spark, d):
     return table(spark, d, "book_inventory").select("book_id").join(table(spark, d, "book_sections").where("matter = 'front'").select("book_id"), "book_id", "left_anti")
@@ -254,12 +247,6 @@ def peer_bands(spark, d):
     return r6(b.select("book_id", "section_id", "word_count", "n", "q25", "median", "q75"))
 
 
-@query(f"""WITH {_PEERS} SELECT book_id, section_id, CASE WHEN n >= 4 AND word_count > q[3] + greatest(0, 1.5 * (q[3] - q[1])) THEN 'above' WHEN n >= 4 AND word_count < q[1] - greatest(0, 1.5 * (q[3] - q[1])) THEN 'below' END AS direction FROM p""")
-def deviation_flags(spark, d):
-    b = C.peer_bands(table(spark, d, "book_sections"), "book_id", "section_id", "word_count").where("n >= 1")
-    return C.deviations(b, "word_count", "word_count").select("book_id", "section_id", "direction")
-
-
 @query(f"""WITH {DOCS}, {S.TOKENS}, t AS (SELECT unit_id, count(*)::INT AS total FROM tokens GROUP BY unit_id), c AS (SELECT unit_id, total, least(9, total // 200)::INT AS k FROM t WHERE total >= 200),
   s AS (SELECT unit_id, unnest(range(k)) AS win, k, total FROM c), w AS (SELECT unit_id, win, CASE WHEN k = 1 THEN (total - 200) // 2 ELSE round_even(win * (total - 200) / (k - 1), 0)::INT END AS start FROM s)
 SELECT w.unit_id, win::INT AS "window", start::INT AS start, count(*) AS words, count(DISTINCT word) AS types FROM w JOIN tokens t ON t.unit_id = w.unit_id AND pos >= start AND pos < start + 200 GROUP BY ALL""")
@@ -267,35 +254,7 @@ def matched_windows(spark, d):
     return C.matched_windows(M.tokens(docs(spark, d)), 200)
 
 
-@query()
-def metric_deltas(spark, d):
-    """Profile of every document against that of the document with the smallest id of at least 100 words."""
-    p = cut(M.profile(docs(spark, d)))
-    first = p.where("value is not null and metric = 'lix'").agg(F.min("unit_id").alias("unit_id"))
-    return C.deltas(p, p.join(F.broadcast(first), "unit_id", "left_semi"))
-
-
-@query()
-def review_priorities(spark, d):
-    return C.priorities(C.cards(M.wide(docs(spark, d))))
-
-
 # -- evidence ----------------------------------------------------------------
-@query(f"""WITH {DOCS}, {S.TOKENS}, a AS (SELECT unit_id, pos, word, pos - lag(pos) OVER (PARTITION BY unit_id, word ORDER BY pos) AS gap FROM tokens WHERE NOT {S.IS_STOP}), h AS (SELECT unit_id, pos FROM a WHERE gap <= 20)
-SELECT unit_id, count(*) AS hits, (count(*) FILTER (unit_id % 2 = 0))::BIGINT AS intentional FROM h GROUP BY unit_id""")
-def decided_findings(spark, d):
-    """Near repetitions a document and how many a decision marks as intentional (here: those of even ids)."""
-    e = E.near_repeats(E.token_offsets(docs(spark, d)))
-    r = E.with_decisions(e, e.where("unit_id % 2 = 0"))
-    return r.groupBy("unit_id").agg(F.count("*").alias("hits"), F.count_if("intentional").alias("intentional"))
-
-
-@query()
-def findings_page(spark, d):
-    """Third page of 50 findings."""
-    return E.page(E.near_repeats(E.token_offsets(docs(spark, d))), 100, 50)
-
-
 # -- features ----------------------------------------------------------------
 SPECS = [
     X.Feature("lang", "categorical", ("en", "de", "fr", "es", "ru", "other")),

@@ -194,25 +194,24 @@ def lexical_stretch(spark, d):
     return M.lexical_stretch(docs(spark, d)).select("unit_id", F.round("mtld", 6).alias("mtld"))
 
 
-def _profile_sql() -> str:
-    """The profile put together from the SQL of its families, unrounded, with the gates in their order."""
-    part = lambda name: S.unrounded(ORACLE[name])
-    on_docs = lambda name: part(name).replace(SECTIONS, DOCS)
+def profile_ctes(units: str = DOCS) -> str:
+    """``g``: the profile put together from the SQL of its families, unrounded, with the gates in their order; ``units`` names the texts."""
+    part = lambda name: S.unrounded(ORACLE[name]).replace(SECTIONS, units).replace(DOCS, units)
     families = {
         "v": part("vocab_metrics"), "h": part("vocab_hdd"), "o": part("vocab_mattr_near"), "tw": part("top_words_share"), "lx": part("lexicon_rates"), "pu": part("punctuation_rates"),
-        "se": part("sentence_metrics"), "re": part("readability_all"), "rp": on_docs("repetition_metrics"), "pa": on_docs("paragraph_metrics"), "ml": f"WITH {DOCS}, {S.TOKENS}, {S.MTLD} SELECT * FROM stretch",
+        "se": part("sentence_metrics"), "re": part("readability_all"), "rp": part("repetition_metrics"), "pa": part("paragraph_metrics"), "ml": f"WITH {units}, {S.TOKENS}, {S.MTLD} SELECT * FROM stretch",
     }
-    names = ", ".join(f"('{m.id}', {i}, {m.min_words}, '{','.join(m.languages)}')" for i, m in enumerate(METRICS))
+    names = ", ".join(f"('{m.id}', {m.min_words}, '{','.join(m.languages)}')" for m in METRICS)
     value = " ".join(f"WHEN '{m.id}' THEN \"{m.id}\"::DOUBLE" for m in METRICS)
     own = " ".join(f"WHEN metric = '{k}' THEN '{v}'" for k, v in REASONS.items() if k in {m.id for m in METRICS})
     joins = " ".join(f"LEFT JOIN {k} USING (unit_id)" for k in families)
-    return f"""WITH {DOCS}, {", ".join(S.inner(v, k) for k, v in families.items())}, m(metric, place, least, spoken) AS (VALUES {names}),
+    return f"""{units}, {", ".join(S.inner(v, k) for k, v in families.items())}, m(metric, least, spoken) AS (VALUES {names}),
       w AS (SELECT * FROM units {joins}), l AS (SELECT unit_id, lang, coalesce(n, 0) AS n, metric, least, spoken, CASE metric {value} END AS v FROM w CROSS JOIN m),
-      g AS (SELECT *, CASE WHEN NOT list_contains(string_split(spoken, ','), lang) THEN '{REASONS["language"]}' WHEN n < least THEN '{REASONS["short"]}' WHEN v IS NULL OR isnan(v) THEN CASE {own} ELSE '{REASONS["other"]}' END END AS reason FROM l)
-    SELECT unit_id, lang, metric, CASE WHEN reason IS NULL THEN round_even(v, 4) END AS value, reason FROM g"""
+      gates AS (SELECT *, CASE WHEN NOT list_contains(string_split(spoken, ','), lang) THEN '{REASONS["language"]}' WHEN n < least THEN '{REASONS["short"]}' WHEN v IS NULL OR isnan(v) THEN CASE {own} ELSE '{REASONS["other"]}' END END AS reason FROM l),
+      g AS (SELECT unit_id, lang, n, metric, CASE WHEN reason IS NULL THEN round_even(v, 4) END AS value, reason FROM gates)"""
 
 
-@query(_profile_sql())
+@query(f"WITH {profile_ctes()} SELECT unit_id, lang, metric, value, reason FROM g")
 def metric_profile(spark, d):
     """All 51 metrics of every document with the reasons for missing values (long form)."""
     return M.profile(docs(spark, d))
@@ -268,14 +267,3 @@ def evidence_counts(spark, d):
     """Findings of every metric with places, counted from their index."""
     e = E.index(sections(spark, d))
     return e.groupBy("unit_id", "metric").agg(F.count("*").alias("n"))
-
-
-@query()
-def findings_shown(spark, d):
-    """The first six findings of three metrics a document with their surroundings."""
-    u = docs(spark, d)
-    o = E.token_offsets(u)
-    e = E.near_repeats(o)
-    for name in ("negations", "sensory"):
-        e = e.unionByName(E.lexicon_hits(o, name, {k: v.split() for k, v in LEXICONS[name].items()}))
-    return E.excerpts(E.shown(e), u)
