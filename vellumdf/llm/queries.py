@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -114,7 +115,37 @@ QUERIES: dict[str, Query] = {
     for f in (p1_consistent, p1_found, p1_classes, p2_levels, p2_found, p2_books, p3_statistics, p3_found, p4_neighbors, p4_found, p5_sentences, p5_found, p6_pieces, p6_found, p7_leaks, p7_found, p7_clean, p8_mixture, p8_report, p8_found, p9_restored, p9_found)
 }
 
+
+
+def _folded(text: str) -> str:
+    """SQL: every letter and figure as the smallest of its case and look-alike variants, characters that print nothing left out."""
+    fold, several = leakage._folds()
+    one = [(c, int(fold[c]) - 1) for c in range(0x10000) if fold[c] and fold[c] != leakage.DROP and fold[c] - 1 != c and not 0xD800 <= c < 0xE000]
+    gone = [c for c in range(0x10000) if fold[c] == leakage.DROP]
+    quote = lambda cs: "'" + "".join(map(chr, cs)).replace("'", "''") + "'"
+    out = f"nfc_normalize({text})"
+    for c, to in several.items():
+        if c < 0x10000 and "LATIN" in unicodedata.name(chr(c), ""):
+            out = f"replace({out}, '{chr(c)}', '{to}')"
+    return f"translate({out}, {quote([a for a, _ in one] + gone)}, {quote([b for _, b in one])})"
+
+
+_WORDS = r"regexp_extract_all({0}, '[\p{{L}}\p{{N}}]+')"
+
+
+def _grams(table_name: str, key: str) -> str:
+    words = _WORDS.format(_folded("text"))
+    return f"SELECT DISTINCT {key}, array_to_string(w[i:i + 9], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - 8)) AS i FROM (SELECT {key}, {words} AS w FROM {table_name} WHERE text IS NOT NULL) WHERE len(w) >= 10)"
+
+
 ORACLE: dict[str, str] = {
+    "p4_found": """
+        WITH r AS MATERIALIZED (SELECT reference_index AS id, matrix::DOUBLE[] AS v FROM reference_matrix
+            WHERE matrix IS NOT NULL AND len(matrix) = 64 AND len(list_filter(matrix, lambda x: x IS NULL OR isnan(x))) = 0),
+        k AS (SELECT a.id AS a, b.id AS b, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS n FROM r a, r b WHERE a.id <> b.id QUALIFY n <= 5)
+        SELECT DISTINCT least(a, b) AS reference_index_a, greatest(a, b) AS reference_index_b FROM k
+    """,
+    "p7_found": f"SELECT DISTINCT d.doc_id, i.item_id FROM ({_grams('documents', 'doc_id')}) d JOIN ({_grams('eval_items', 'item_id')}) i USING (g)",
     "p8_found": r"""
         WITH sized AS (
             SELECT source, coalesce(len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x{85}\x{1c}-\x{1f}]')), 0) AS tokens
