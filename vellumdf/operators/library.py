@@ -198,36 +198,6 @@ def quality_gate(scores: DataFrame, dimensions: int, missing_rows: int) -> DataF
     return g.withColumn("within_tolerance", within).withColumn("status", F.when(exact, "exact").otherwise("reconstruction"))
 
 
-# -- matched comparison ------------------------------------------------------
-# Metrics that depend on the length of a text, and those that need the original paragraphs.
-LENGTH_DEPENDENT = ("entropy", "hapax", "topWords", "trigramRepeat", "sentenceRepeat", "startRepeat", "paragraphRepeat")
-STRUCTURAL = ("paragraphMean", "paragraphCV", "paragraphRepeat", "cohesion", "shifts")
-
-
-def windows_as_units(offsets: DataFrame, windows: DataFrame, u: DataFrame, size: int) -> DataFrame:
-    """Reference windows as units: the text from the first to the last word of each, under unit_id ``reference/window``."""
-    o = offsets.select("unit_id", "pos", "start", "end")
-    a = windows.select("unit_id", "window", F.col("start").alias("pos"))
-    begin = a.join(o, ["unit_id", "pos"]).select("unit_id", "window", F.col("start").alias("lo"))
-    end = a.select("unit_id", "window", (F.col("pos") + size - 1).alias("pos")).join(o, ["unit_id", "pos"]).select("unit_id", "window", F.col("end").alias("hi"))
-    j = begin.join(end, ["unit_id", "window"]).join(u, "unit_id")
-    return j.select(F.concat_ws("/", F.col("unit_id").cast("string"), F.col("window").cast("string")).alias("unit_id"), "lang", F.substring("text", F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("text"))
-
-
-def matched_bands(window_profiles: DataFrame, legacy: bool = False) -> DataFrame:
-    """metric, median, low, high, n over window profiles (metric, value, reason); structural metrics have none on a legacy basis."""
-    p = window_profiles.where(F.col("value").isNotNull())
-    if legacy:
-        p = p.where(~F.col("metric").isin(*STRUCTURAL))
-    return p.groupBy("metric").agg(F.bround(F.median("value"), 4).alias("median"), F.bround(F.percentile("value", F.lit(0.25)), 4).alias("low"), F.bround(F.percentile("value", F.lit(0.75)), 4).alias("high"), F.count("*").alias("n"))
-
-
-def without_length_dependent(profile: DataFrame) -> DataFrame:
-    """A profile of a reference shorter than the text: metrics that depend on length have no value."""
-    hit = F.col("metric").isin(*LENGTH_DEPENDENT)
-    return profile.withColumn("reason", F.when(hit, "reference shorter than the text").otherwise(F.col("reason"))).withColumn("value", F.when(~hit, F.col("value")))
-
-
 def dimension(spark: SparkSession) -> DataFrame:
     """The catalogue as a table: metric, group, languages, min_words."""
     return spark.createDataFrame([(m.id, m.group, list(m.languages), m.min_words) for m in METRICS], "metric string, group string, languages array<string>, min_words int")
@@ -237,7 +207,7 @@ def preview(segments: DataFrame, k: int = 10) -> str:
     """Markdown overview of the books and their first segments."""
     books = segments.groupBy("book_id").agg(F.count("*").alias("n"), F.sum("word_count").alias("words"), F.min("word_count").alias("low"), F.max("word_count").alias("high")).orderBy("book_id")
     lines = ["| book | segments | words | shortest | longest |", "|---|---|---|---|---|"]
-    lines += [f"| {r.book_id} | {r.n} | {r.words} | {r.low} | {r.high} |" for r in books.limit(1000).toLocalIterator()]
+    lines += [f"| {r.book_id} | {r.n} | {r.words} | {r.low} | {r.high} |" for r in books.toLocalIterator()]
     lines += ["", "| segment | words |", "|---|---|"]
     lines += [f"| {r.book_id} {r.segment_index} | {r.word_count} |" for r in segments.orderBy("book_id", "segment_index").limit(k).collect()]
     return "\n".join(lines) + "\n"

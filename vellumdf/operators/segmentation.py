@@ -141,10 +141,19 @@ def assign_segments(b: DataFrame, least: int, target: int, most: int) -> DataFra
     return narrow.mapInArrow(run, "book_id string, block_no int, segment_index int")
 
 
-def segments(sections: DataFrame, least: int = 3000, target: int = 5000, most: int = 7000) -> DataFrame:
-    """One row a segment: book_id, segment_index, segment_id, text, word_count, text_sha256, chapters, boundaries."""
+def segments(sections: DataFrame, least: int = 3000, target: int = 5000, most: int = 7000, by_chapter: bool = False) -> DataFrame:
+    """One row a segment: book_id, segment_index, segment_id, text, word_count, text_sha256, chapters, boundaries.
+
+    ``by_chapter``: no segment goes beyond its chapter; the segments of a book are numbered through.
+    """
     b = blocks(sections, most)
-    j = b.join(assign_segments(b, least, target, most), ["book_id", "block_no"])
+    if by_chapter:
+        part = F.concat_ws("\u0003", F.coalesce("book_id", F.lit("")), F.col("chapter_index").cast("string"))
+        own = assign_segments(b.withColumn("book_id", part), least, target, most).withColumnRenamed("book_id", "part").withColumnRenamed("segment_index", "local")
+        j = b.withColumn("part", part).join(own, ["part", "block_no"])
+        j = j.withColumn("segment_index", F.dense_rank().over(Window.partitionBy("book_id").orderBy("chapter_index", "local")) - 1).drop("part", "local")
+    else:
+        j = b.join(assign_segments(b, least, target, most), ["book_id", "block_no"])
     parts = F.sort_array(F.collect_list(F.struct("block_no", "text", "chapter_title", "boundary_before")))
     g = j.groupBy("book_id", "segment_index").agg(parts.alias("p"), F.min("chapter_index").alias("chapter_index"), F.max("chapter_index").alias("chapter_end_index"))
     text = T.normalize_breaks(F.array_join(F.col("p.text"), "\n\n"))
@@ -178,3 +187,30 @@ def covering(segs: DataFrame, chapters: DataFrame) -> DataFrame:
     s = segs.select("book_id", "segment_index", F.col("chapter_index").alias("lo"), F.col("chapter_end_index").alias("hi"))
     j = chapters.join(s, "book_id").where((F.col("chapter_index") >= F.col("lo")) & (F.col("chapter_index") <= F.col("hi")))
     return j.groupBy("book_id", "chapter_index").agg(F.count("*").alias("segments"), F.bool_and((F.col("lo") == F.col("chapter_index")) & (F.col("hi") == F.col("chapter_index"))).alias("all_inside"))
+
+
+def paragraph_spans(sections: DataFrame, key: str, text: str) -> DataFrame:
+    """key, par, start, end: paragraphs without the blanks around them as code points of the text; blank ones are left out."""
+    parts = F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"({T.PARAGRAPH_BREAK})", f"$1{T.END}"), T.END)
+    p = sections.select(F.col(key).alias("key"), F.posexplode(parts).alias("i", "part"))
+    before = F.coalesce(F.sum(F.length("part")).over(Window.partitionBy("key").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lead = F.length("part") - F.length(F.regexp_replace("part", rf"^{T.WS}+", ""))
+    size = F.length(F.regexp_replace(F.regexp_replace("part", rf"^{T.WS}+", ""), rf"{T.WS}+\z", ""))
+    q = p.withColumn("start", (before + lead).cast("int")).withColumn("end", (F.col("start") + size).cast("int")).where("end > start")
+    return q.select(F.col("key").alias(key), (F.row_number().over(Window.partitionBy("key").orderBy("i")) - 1).alias("par"), "start", "end")
+
+
+def approval(segs: DataFrame) -> dict[str, int | str]:
+    """What an approval records: numbers of segments and books and one hash of all ids and texts, whatever their order."""
+    h = F.xxhash64("book_id", "segment_id", "text_sha256")
+    r = segs.agg(F.count("*").alias("n"), F.count_distinct("book_id").alias("books"), F.sum(h.cast("decimal(38,0)")).alias("total"), F.bit_xor(h).alias("mixed")).first()
+    return {"segments": r.n, "books": r.books, "hash": f"{r.total}/{r.mixed}"}
+
+
+def check_approved(segs: DataFrame, approved: dict[str, int | str] | None) -> DataFrame:
+    """The segments, if they are those that were approved; otherwise an error."""
+    if approved is None:
+        raise ValueError("the segments have not been approved")
+    if approval(segs) != approved:
+        raise ValueError("the segments changed after the approval")
+    return segs

@@ -7,6 +7,7 @@ joined back; encoding is a generated list of expressions.
 
 from __future__ import annotations
 
+import json
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,7 +40,15 @@ def features(rows: DataFrame) -> list[Feature]:
 
 
 def is_missing(v: Column) -> Column:
-    return v.isNull() | F.lower(F.trim(v)).isin(*MISSING[1:])
+    """Null, a marker of MISSING[1:], or what Spark prints for a number that is none (NaN)."""
+    t = F.trim(v.cast("string"))
+    return v.isNull() | F.lower(t).isin(*MISSING[1:]) | (t == "NaN")
+
+
+def scale_text(v: Column) -> Column:
+    """A number as text, without decimals where it is whole; null where it is no number (true and false are none)."""
+    x = F.trim(v.cast("string")).try_cast("double")
+    return F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))
 
 
 def match_key(v: Column) -> Column:
@@ -83,17 +92,34 @@ def vocabulary(spark: SparkSession, specs: list[Feature]) -> DataFrame:
 
 
 def long(df: DataFrame, key: str, specs: list[Feature]) -> DataFrame:
-    """key, feature_id, raw of the wide table."""
-    return df.unpivot(key, [f.id for f in specs], "feature_id", "raw")
+    """key, feature_id, raw (text) of the features the wide table has."""
+    have = [f.id for f in specs if f.id in df.columns]
+    return df.select(key, *(F.col(f"`{c}`").cast("string").alias(c) for c in have)).unpivot(key, have, "feature_id", "raw")
 
 
 def canonical(df: DataFrame, key: str, specs: list[Feature]) -> DataFrame:
-    """key, feature_id, raw, canonical, method: every single-valued cell, missing ones as n/a."""
-    cells = long(df, key, [f for f in specs if f.type != "multi_select"]).withColumn("raw", F.trim("raw"))
-    m = best_match(cells.where(~is_missing(F.col("raw"))), vocabulary(df.sparkSession, specs))
-    j = cells.join(m, ["feature_id", "raw"], "left")
+    """key, feature_id, raw, canonical, method of every cell: missing ones as n/a, numbers of a scale as text, others by ``best_match``, each item of a multi-select by itself."""
+    kind = {t: [f.id for f in specs if f.type == t] for t in ("multi_select", "scale")}
+    cells = long(df, key, specs).withColumn("raw", F.trim("raw"))
+    of = lambda t: F.col("feature_id").isin(kind[t] or [""])
     miss = is_missing(F.col("raw"))
-    return j.select(key, "feature_id", "raw", F.when(miss, "n/a").otherwise(F.col("canonical")).alias("canonical"), F.when(miss, "missing_marker").otherwise(F.col("method")).alias("method"))
+    words = vocabulary(df.sparkSession, specs)
+    plain = cells.where(~miss & ~of("multi_select") & ~of("scale"))
+    items = cells.where(~miss & of("multi_select")).select("feature_id", "raw").distinct().select("feature_id", "raw", F.posexplode(parse_multi(F.col("raw"))).alias("i", "item"))
+    m = best_match(plain, words)
+    one = best_match(items.select("feature_id", F.col("item").alias("raw")), words).withColumnRenamed("raw", "item")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("i", "canonical"))), lambda x: x["canonical"])
+    many = items.join(one, ["feature_id", "item"]).groupBy("feature_id", "raw").agg(F.array_join(F.array_distinct(listed), "|").alias("canonical"), F.array_join(F.array_sort(F.collect_set("method")), "+").alias("method"))
+    j = cells.join(m.unionByName(many), ["feature_id", "raw"], "left")
+    number = scale_text(F.col("raw"))
+    value = F.when(miss, "n/a").when(of("scale"), F.coalesce(number, "raw")).when(of("multi_select"), F.coalesce("canonical", F.lit(""))).otherwise(F.col("canonical"))
+    method = F.when(miss, "missing_marker").when(of("scale"), F.when(number.isNotNull(), "numeric_scale").otherwise("unmatched")).otherwise(F.coalesce("method", F.lit("")))
+    return j.select(key, "feature_id", "raw", value.alias("canonical"), method.alias("method"))
+
+
+def pivot_back(cells: DataFrame, key: str, specs: list[Feature]) -> DataFrame:
+    """The wide table of the canonical values."""
+    return cells.groupBy(key).pivot("feature_id", [f.id for f in specs]).agg(F.first("canonical"))
 
 
 def changes(cells: DataFrame) -> DataFrame:
@@ -102,15 +128,32 @@ def changes(cells: DataFrame) -> DataFrame:
 
 
 def invalid(df: DataFrame, key: str, specs: list[Feature]) -> DataFrame:
-    """key, feature_id, value of cells outside the vocabulary; an item of a multi-select is a cell of its own."""
-    kinds = {f.id: f.type for f in specs}
+    """key, feature_id, value, error of cells outside the vocabulary; an item of a multi-select is a cell of its own, a feature without a column one row with a null key."""
+    of = lambda *types: F.col("feature_id").isin([f.id for f in specs if f.type in types] or [""])
     cells = long(df, key, specs).where(~is_missing(F.col("raw")))
-    multi = [f for f, t in kinds.items() if t == "multi_select"]
-    single = cells.where(~F.col("feature_id").isin(multi)) if multi else cells
-    items = single.select(key, "feature_id", F.trim("raw").alias("value"))
-    if multi:
-        items = items.unionByName(cells.where(F.col("feature_id").isin(multi)).select(key, "feature_id", F.explode(parse_multi(F.col("raw"))).alias("value")))
-    return items.join(vocabulary(df.sparkSession, specs).select("feature_id", "value"), ["feature_id", "value"], "left_anti").select(key, "feature_id", "value")
+    number = scale_text(F.col("raw"))
+    single = cells.where(~of("multi_select")).select(key, "feature_id", F.when(of("scale"), F.coalesce(number, F.trim("raw"))).otherwise(F.trim("raw")).alias("value"))
+    items = single.unionByName(cells.where(of("multi_select")).select(key, "feature_id", F.explode(parse_multi(F.col("raw"))).alias("value")))
+    words = vocabulary(df.sparkSession, specs).select("feature_id", F.when(of("scale"), F.coalesce(scale_text(F.regexp_extract("value", r"^\s*(-?\d+(?:\.\d+)?)", 1)), "value")).otherwise(F.col("value")).alias("value")).distinct()
+    bad = items.join(words, ["feature_id", "value"], "left_anti").select(key, "feature_id", "value", F.lit("outside the vocabulary").alias("error"))
+    absent = [f.id for f in specs if f.id not in df.columns]
+    if not absent:
+        return bad
+    rows = df.sparkSession.createDataFrame([(f, None, "missing feature column") for f in absent], "feature_id string, value string, error string")
+    return bad.unionByName(rows.select(F.lit(None).cast(dict(df.dtypes)[key]).alias(key), "feature_id", "value", "error"))
+
+
+def validate(df: DataFrame, key: str, specs: list[Feature], most: int = 25) -> dict[str, int]:
+    """Missing cells of each feature; an error that names at most ``most`` of the cells outside the vocabulary or columns that are missing."""
+    bad = invalid(df, key, specs).orderBy("feature_id", key, "value").limit(most).collect()
+    if bad:
+        raise ValueError(f"{len(bad)} errors shown: " + "; ".join(f"{r.feature_id} {r.error}" + ("" if r.value is None else f" ({r[key]}: {r.value})") for r in bad))
+    return {r.feature_id: r.n for r in missing_counts(df, key, specs).collect()}
+
+
+def missing_counts(df: DataFrame, key: str, specs: list[Feature]) -> DataFrame:
+    """feature_id, n: missing cells of each feature."""
+    return long(df, key, specs).groupBy("feature_id").agg(F.count_if(is_missing(F.col("raw"))).alias("n"))
 
 
 def columns(specs: list[Feature]) -> list[str]:
@@ -141,6 +184,41 @@ def encode(specs: list[Feature]) -> Column:
     return F.transform(F.array(*out), lambda x: x.cast("float"))
 
 
-def resolve_set(specs: DataFrame, exclude_dimensions: list[str], exclude_ids: list[str]) -> DataFrame:
-    """The features of a set: all but the excluded dimensions and ids."""
-    return specs.where(~F.col("dimension").isin(exclude_dimensions or [""]) & ~F.col("feature_id").isin(exclude_ids or [""]))
+def resolve_set(specs: DataFrame, exclude_dimensions: list[str], exclude_ids: list[str], expected: int | None = None, blocked: str | None = None) -> DataFrame:
+    """The features of a set: all but the excluded dimensions and ids.  A blocked set, an excluded id that does not exist and another number than expected are errors."""
+    if blocked is not None:
+        raise ValueError(f"the feature set is blocked: {blocked}")
+    known = {r.feature_id for r in specs.where(F.col("feature_id").isin(exclude_ids or [""])).select("feature_id").collect()}
+    if unknown := sorted(set(exclude_ids) - known):
+        raise ValueError(f"excluded ids do not exist: {', '.join(unknown)}")
+    out = specs.where(~F.col("dimension").isin(exclude_dimensions or [""]) & ~F.col("feature_id").isin(exclude_ids or [""]))
+    if expected is not None and (n := out.count()) != expected:
+        raise ValueError(f"{n} features instead of {expected}")
+    return out
+
+
+def declared_count(rows: DataFrame, declared: int) -> DataFrame:
+    """The flattened taxonomy, if it has as many features as it says."""
+    if (n := rows.count()) != declared:
+        raise ValueError(f"{n} features, {declared} declared")
+    return rows
+
+
+def encoder_manifest(specs: list[Feature]) -> dict:
+    return {"version": 1, "columns": columns(specs), "features": [{"id": f.id, "type": f.type, "values": list(f.values)} for f in specs], "missing": {"flags": "a column of its own", "numbers": -1}}
+
+
+def save_encoder(path: str, specs: list[Feature]) -> None:
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(encoder_manifest(specs), f, ensure_ascii=False, sort_keys=True)
+
+
+def load_encoder(path: str, specs: list[Feature]) -> list[str]:
+    """The columns of a stored encoder, if it was made with these features; otherwise an error."""
+    with open(path, encoding="utf-8") as f:
+        stored = json.load(f)
+    now = encoder_manifest(specs)
+    for part in ("version", "features", "columns"):
+        if stored.get(part) != now[part]:
+            raise ValueError(f"the stored encoder has other {part}")
+    return stored["columns"]

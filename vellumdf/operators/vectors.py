@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 
 #: Bytes of query vectors that may go to every executor at once; more are searched block by block.
 MAX_QUERY_BYTES = 128 << 20
+#: Rows of a value range of ``percentiles``, and most ranges.
+BAND_ROWS, MAX_BANDS = 100_000, 4_000
 
 
 def vectors(df: DataFrame, key: str, vector: str, *carry: str) -> DataFrame:
@@ -21,10 +23,10 @@ def vectors(df: DataFrame, key: str, vector: str, *carry: str) -> DataFrame:
 
 
 def scale_fit(df: DataFrame) -> DataFrame:
-    """dim, mean, sd (population; 1 where the column is constant) of the reference rows."""
+    """dim, mean, sd (population; 1 where the column is constant), constant of the reference rows."""
     x = df.select(F.posexplode("v").alias("dim", "x"))
     sd = F.stddev_pop(F.col("x").cast("double"))
-    return x.groupBy("dim").agg(F.avg(F.col("x").cast("double")).alias("mean"), F.when(sd == 0, 1.0).otherwise(sd).alias("sd"))
+    return x.groupBy("dim").agg(F.avg(F.col("x").cast("double")).alias("mean"), F.when(sd == 0, 1.0).otherwise(sd).alias("sd"), (sd == 0).alias("constant"))
 
 
 def scale(df: DataFrame, fit: DataFrame) -> DataFrame:
@@ -56,7 +58,7 @@ def knn(queries: DataFrame, reference: DataFrame, k: int, carry: str | None = No
 
 def _scan(reference: DataFrame, block: pa.Table, k: int, carry: str | None, exclude_self: bool) -> DataFrame:
     ids = block.column("id").to_numpy()
-    q = np.array(block.column("v").to_pylist(), np.float64).reshape(len(ids), -1)
+    q = block.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1) if len(ids) else np.zeros((0, 1))
     shared = reference.sparkSession.sparkContext.broadcast((ids, q))
     schema = f"query_id long, neighbor_id long, distance double{f', {carry} string' if carry else ''}"
 
@@ -67,7 +69,7 @@ def _scan(reference: DataFrame, block: pa.Table, k: int, carry: str | None, excl
             mid = b.column("id").to_numpy().astype(np.int64)
             if not len(mid):
                 continue
-            m = np.array(b.column("v").to_pylist(), np.float64).reshape(len(mid), -1)
+            m = b.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(mid), -1)
             tag = np.array(b.column(carry).to_pylist(), object) if carry else np.zeros(len(mid), object)
             for at in range(0, len(ids), 256):
                 part = slice(at, at + 256)
@@ -106,16 +108,17 @@ def percentiles(values: DataFrame, reference: DataFrame, value: str = "value") -
     """``values`` with right, left and mid: shares of the reference at most, below, and half-way.
 
     Rows are put into value ranges by approximate quantiles; counts run within a
-    range and start from the totals of the ranges below, so no task sorts all rows.
+    range of about BAND_ROWS rows and start from the totals of the ranges below, so
+    no task sorts all rows.
     """
-    cuts = reference.select(F.percentile_approx(value, [i / 64 for i in range(1, 64)], 10_000)).first()[0] or []
-    edges = sorted(set(cuts))
-    band = F.lit(0)
-    for e in edges:
-        band = band + (F.col(value) > F.lit(e)).cast("int")
+    ranges = max(2, min(MAX_BANDS, -(-(reference.count() + values.count()) // BAND_ROWS)))
+    cuts = reference.select(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []
+    edges = F.array(*(F.lit(float(e)) for e in sorted(set(cuts))))
+    # number of edges below the value
+    band = F.size(F.filter(edges, lambda e: e < F.col(value))) if cuts else F.lit(0)
     names = values.columns
     rows = values.withColumn("is_ref", F.lit(0)).unionByName(reference.select(value).withColumn("is_ref", F.lit(1)), allowMissingColumns=True).withColumn("band", band)
-    totals = rows.groupBy("band").agg(F.sum("is_ref").alias("own"))  # at most 64 rows
+    totals = rows.groupBy("band").agg(F.sum("is_ref").alias("own"))  # at most MAX_BANDS rows
     below = F.coalesce(F.sum("own").over(Window.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     totals = totals.select("band", below.alias("below"), F.sum("own").over(Window.partitionBy()).alias("n"))
     upto = F.sum("is_ref").over(Window.partitionBy("band").orderBy(value).rangeBetween(Window.unboundedPreceding, 0))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..functions.unicode import nfc, slug
+from ..functions.unicode import slug
 from ..operators import comparison as C
 from ..operators import evidence as E
 from ..operators import metrics as M
@@ -134,12 +134,6 @@ def heading_parts(spark, d):
     return p.groupBy(F.col("text_id").alias("doc_id"), "part").agg(F.count("*").alias("lines"), F.sum(F.length("line")).cast("long").alias("chars"))
 
 
-@query()
-def normalized_texts(spark, d):
-    """Composed, tidied texts and slugs of the titles."""
-    return table(spark, d, "documents").select("doc_id", F.sha2(T.normalize_breaks(nfc("text")), 256).alias("sha"), slug("book_title").alias("slug"))
-
-
 # -- segments ----------------------------------------------------------------
 def one_delivery(spark: SparkSession, d: str) -> DataFrame:
     """The first delivered, included section of every chapter."""
@@ -214,13 +208,13 @@ def knn_external(spark, d):
     return r6(V.rarity(V.knn(_emb(spark, d).where("id % 20 = 0"), ref, 25, exclude_self=False)))
 
 
-@query("""WITH r AS (SELECT n_chars::DOUBLE AS v FROM documents WHERE lang = 'en' AND n_chars IS NOT NULL), q AS (SELECT doc_id, n_chars::DOUBLE AS v FROM documents WHERE lang = 'de' AND n_chars IS NOT NULL), c AS (SELECT v, count(*) AS c FROM r GROUP BY v), n AS (SELECT count(*) AS n FROM r)
+@query("""WITH r AS (SELECT n_chars::DOUBLE AS v FROM documents WHERE lang = 'en' AND n_chars IS NOT NULL), q AS (SELECT doc_id, n_chars::DOUBLE AS v FROM documents WHERE lang IS NOT NULL AND n_chars IS NOT NULL), c AS (SELECT v, count(*) AS c FROM r GROUP BY v), n AS (SELECT count(*) AS n FROM r)
 SELECT q.doc_id, round(sum(CASE WHEN c.v <= q.v THEN c.c ELSE 0 END) / any_value(n.n), 6) AS "right", round(sum(CASE WHEN c.v < q.v THEN c.c ELSE 0 END) / any_value(n.n), 6) AS "left",
   round((sum(CASE WHEN c.v <= q.v THEN c.c ELSE 0 END) + sum(CASE WHEN c.v < q.v THEN c.c ELSE 0 END)) / 2 / any_value(n.n), 6) AS mid FROM q, c, n GROUP BY q.doc_id""")
 def ecdf(spark, d):
-    """Percentile of German document sizes among English ones, in the three ways of counting ties."""
+    """Percentile of the documents' sizes among those of the English ones, in the three ways of counting ties."""
     s = table(spark, d, "documents").where("n_chars is not null").select("doc_id", "lang", F.col("n_chars").cast("double").alias("value"))
-    return r6(V.percentiles(s.where("lang = 'de'").select("doc_id", "value"), s.where("lang = 'en'").select("value")).select("doc_id", "right", "left", "mid"))
+    return r6(V.percentiles(s.where("lang is not null").select("doc_id", "value"), s.where("lang = 'en'").select("value")).select("doc_id", "right", "left", "mid"))
 
 
 @query("""WITH x AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings), f AS (SELECT dim, avg(x) AS mean, CASE WHEN stddev_pop(x) = 0 THEN 1 ELSE stddev_pop(x) END AS sd FROM x GROUP BY dim)
@@ -306,9 +300,10 @@ def taxonomy_match(spark, d):
 
 @query(f"WITH {_FT} SELECT doc_id, 'house' AS feature_id, house AS value FROM f WHERE house IS NOT NULL AND house NOT IN (SELECT value FROM ({_HOUSE}))")
 def invalid_cells(spark, d):
-    return X.invalid(feature_table(spark, d), "doc_id", SPECS)
+    return X.invalid(feature_table(spark, d), "doc_id", SPECS).select("doc_id", "feature_id", "value")
 
 
 @query()
-def canonical_changes(spark, d):
-    return X.changes(X.canonical(feature_table(spark, d), "doc_id", SPECS))
+def title_slugs(spark, d):
+    """Slugs of the book titles."""
+    return table(spark, d, "documents").select("doc_id", slug("book_title").alias("slug"))

@@ -78,3 +78,24 @@ def unpack(archive: bytes) -> dict[str, bytes]:
     if set(want) != set(got) or any(len(b) != want[n]["size"] or hashlib.sha256(b).hexdigest() != want[n]["sha256"] for n, b in got.items()):
         raise ValueError("files and manifest differ")
     return got
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """Plain comma-separated files with a header, for programs."""
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_jsonl(df: DataFrame, path: str) -> None:
+    """One JSON object a line; null fields are kept."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def read_config(path: str) -> dict:
+    """A YAML mapping of settings; anything else is an error.  Needs PyYAML."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        got = yaml.safe_load(f)
+    if not isinstance(got, dict):
+        raise ValueError(f"{path} holds no mapping")
+    return got

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,10 +17,14 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Write the rows to the checkpoint folder that all executors share and go on from there.
 
     The folder is the session's ``spark.checkpoint.dir``; one is set only where
-    the session names none, as in local tests.
+    the session names none and the master is local, as in tests; on a cluster
+    without one there is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vellumdf-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="vellumdf-"))
     return df.checkpoint(eager)
