@@ -10,6 +10,7 @@ from vellumdf.operators import comparison as C
 from vellumdf.operators import evidence as E
 from vellumdf.operators import library as Y
 from vellumdf.operators import metrics as M
+from vellumdf.operators import review as R
 from vellumdf.operators.taxonomy import Feature
 from vellumdf.plans.library_queries import QUERIES
 
@@ -106,18 +107,23 @@ def test_every_group_has_a_distance(spark, tmp_path):
     assert got == {str(k): pytest.approx(np.mean([near(v) for v in z[label == k]]), abs=2e-5) for k in range(1, 10)}
 
 
-def test_matched_windows_are_medians_of_equal_windows(spark):
+def test_windows_as_long_as_the_target(spark):
     words = [f"q{chr(97 + (i * i + i // 7) % 19)}{chr(97 + i % 11)}" for i in range(500)]
-    u = M.units(spark.createDataFrame([("r", "de", " ".join(words) + ".")], "id string, lang string, t string"), "id", "lang", "t")
-    w = C.matched_windows(M.tokens(u), 120)
-    units = Y.windows_as_units(E.token_offsets(u), w, u, 120)
-    bands = {r.metric: r for r in Y.matched_bands(M.profile(units)).collect()}
+    text = " ".join(words) + "."
+    rows = [(1, "de", text), (2, "de", " ".join(words[:120]) + "."), (3, "de", "zu kurz. " + " ".join(words) + " mehr."), (4, "en", "No reference. " * 60)]
+    u = M.units(spark.createDataFrame(rows, "id long, lang string, t string"), "id", "lang", "t")
+    g = R.gated(u).cache()
+    ref = u.where("unit_id = 1")
+    w = R.window_units(g.where("metric = 'lix'").select("unit_id", "lang", "n"), ref)
+    assert {r.unit_id for r in w.collect()} == {"1/0", "2/0", "2/1", "2/2", "2/3"}
+    got = {(r.unit_id, r.metric): r for r in R.compare(g, g.where("unit_id = 1"), R.gated(w)).collect()}
     starts = [round(i * (500 - 120) / 3) for i in range(4)]
     types = sorted(100 * len([x for x in set(words[s : s + 120]) if words[s : s + 120].count(x) == 1]) / len(set(words[s : s + 120])) for s in starts)
-    assert bands["hapax"].n == 4 and bands["hapax"]["median"] == pytest.approx((types[1] + types[2]) / 2, abs=1e-3)
-    assert not set(Y.STRUCTURAL) & {r.metric for r in Y.matched_bands(M.profile(units), legacy=True).collect()}
-    short = Y.without_length_dependent(M.profile(u)).where("metric = 'entropy'").first()
-    assert short.value is None and short.reason
+    assert got[2, "hapax"].windows == 4 and got[2, "hapax"].reference == pytest.approx((types[1] + types[2]) / 2, abs=1e-3)
+    assert got[1, "lix"].delta == 0 and got[3, "entropy"].reference is None and got[3, "entropy"].reason == "reference is shorter" and got[3, "lix"].delta is not None
+    assert not any(k[0] == 4 for k in got)
+    old = {r.metric: r for r in R.compare(g.where("unit_id = 2"), g.where("unit_id = 1"), R.gated(w), F.lit(True)).collect()}
+    assert all(old[m].reference is None and old[m].q25 is None for m in R.STRUCTURAL) and old["hapax"].delta is not None
 
 
 def test_progression_and_preview(spark):

@@ -79,13 +79,6 @@ def test_windows_and_deltas(spark):
     assert C.deltas(p, r.withColumn("lang", F.lit("en"))).where("delta is not null").count() == 0
 
 
-def test_cards(spark):
-    u = M.units(spark.createDataFrame([(1, "en", "The old dog slept near a warm fire. " * 50), (2, "en", "Short.")], "id long, lang string, t string"), "id", "lang", "t")
-    cards = C.cards(M.wide(u))
-    assert {(r.unit_id, r.card): r.status for r in cards.collect()}[1, "repetition"] == "review"
-    assert [(r.unit_id, r.card) for r in C.priorities(cards).collect()] == [(1, "repetition")]
-
-
 def test_encoding(spark):
     df = spark.createDataFrame([(1, "a", "yes", "x|y", "low", "1"), (2, "b", "no", '["y"]', "high", "3"), (3, "n/a", None, "NA", " na ", "__na__")], WIDE)
     got = {r.id: r.e for r in df.select("id", X.encode(SPECS).alias("e")).collect()}

@@ -94,6 +94,8 @@ def vocabulary(spark: SparkSession, specs: list[Feature]) -> DataFrame:
 def long(df: DataFrame, key: str, specs: list[Feature]) -> DataFrame:
     """key, feature_id, raw (text) of the features the wide table has."""
     have = [f.id for f in specs if f.id in df.columns]
+    if not have:
+        return df.select(key, F.lit("").alias("feature_id"), F.lit(None).cast("string").alias("raw")).where(F.lit(False))
     return df.select(key, *(F.col(f"`{c}`").cast("string").alias(c) for c in have)).unpivot(key, have, "feature_id", "raw")
 
 

@@ -80,7 +80,7 @@ def unpack(archive: bytes) -> dict[str, bytes]:
     return got
 
 
-def write_csv(df: DataFrame, path: str) -> None:
+def write_plain_csv(df: DataFrame, path: str) -> None:
     """Plain comma-separated files with a header, for programs."""
     df.write.mode("overwrite").option("header", True).csv(path)
 
