@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions.unicode import nfc
@@ -217,6 +218,32 @@ def chapter_segments(spark, d):
     return s.where("chapter_index = chapter_end_index").groupBy("book_id", "chapter_index").agg(F.sum("word_count").alias("words")).where("words > 0")
 
 
+_CUTS = f"""WITH RECURSIVE t AS MATERIALIZED (SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY block_no) - 1 AS i, least(1400, len(regexp_extract_all(coalesce(text, ''), '{WORDS}'))) AS w, coalesce(boundary_before, 'paragraph') AS kind
+    FROM (SELECT book_id, block_no, arg_min(text, block_id) AS text, arg_min(boundary_before, block_id) AS boundary_before FROM (SELECT * REPLACE (coalesce(text, '') AS text, coalesce(boundary_before, 'paragraph') AS boundary_before) FROM text_blocks) GROUP BY ALL)),
+  c AS MATERIALIZED (SELECT *, sum(w) OVER (PARTITION BY book_id ORDER BY i) - w AS cum FROM t), n AS MATERIALIZED (SELECT book_id, count(*) AS n, sum(w) AS total FROM t GROUP BY book_id),
+  e AS (SELECT book_id, i AS e, cum, kind FROM c WHERE i > 0 UNION ALL SELECT book_id, n, total, 'chapter' FROM n),
+  v AS MATERIALIZED (SELECT *, CASE kind WHEN 'chapter' THEN 300.0 WHEN 'scene' THEN 100.0 WHEN 'forced' THEN -100.0 ELSE 0.0 END AS bonus FROM e),
+  opt AS MATERIALIZED (SELECT a.book_id, a.i AS st, arg_min(v.e, (abs(v.cum - a.cum - 1000) - v.bonus, abs(v.cum - a.cum - 1000), v.e)) AS k FROM c a JOIN v ON v.book_id = a.book_id AND v.e > a.i AND v.cum - a.cum BETWEEN 600 AND 1400 GROUP BY ALL),
+  walk AS (SELECT book_id, 0::BIGINT AS st FROM n UNION ALL SELECT o.book_id, o.k FROM walk JOIN opt o ON o.book_id = walk.book_id AND o.st = walk.st JOIN n ON n.book_id = o.book_id WHERE o.k < n.n),
+  seg AS MATERIALIZED (SELECT walk.book_id, st AS a, coalesce(lead(st) OVER own, n) AS b, row_number() OVER own AS s, count(*) OVER (PARTITION BY walk.book_id) AS segs FROM walk JOIN n ON n.book_id = walk.book_id WINDOW own AS (PARTITION BY walk.book_id ORDER BY st)),
+  pos AS MATERIALIZED (SELECT book_id, e, cum, bonus FROM v UNION ALL SELECT book_id, 0, 0, 0.0 FROM n),
+  last AS (SELECT z.book_id, y.a, z.a AS m, z.b, pa.cum AS ca, pm.cum AS cm, pb.cum AS cb FROM seg y JOIN seg z ON z.book_id = y.book_id AND z.s = z.segs AND y.s = z.s - 1
+    JOIN pos pa ON pa.book_id = y.book_id AND pa.e = y.a JOIN pos pm ON pm.book_id = y.book_id AND pm.e = z.a JOIN pos pb ON pb.book_id = y.book_id AND pb.e = z.b WHERE pb.cum - pm.cum < 600),
+  mend AS (SELECT l.book_id, l.m, CASE WHEN l.cb - l.ca <= 1400 THEN -1 ELSE (SELECT arg_min(p.e, (abs(p.cum - l.ca - 1000) + abs(l.cb - p.cum - 1000) - p.bonus, abs(p.cum - l.ca - (l.cb - p.cum)), p.e)) FROM pos p WHERE p.book_id = l.book_id AND p.e > l.a AND p.e < l.b AND p.cum - l.ca BETWEEN 600 AND 1400 AND l.cb - p.cum BETWEEN 600 AND 1400) END AS k FROM last l),
+  starts AS (SELECT w.book_id, coalesce(nullif(CASE WHEN mend.m IS NULL THEN w.st WHEN mend.k IS NULL THEN w.st ELSE mend.k END, -1), NULL) AS st FROM walk w LEFT JOIN mend ON mend.book_id = w.book_id AND mend.m = w.st),
+  fin AS MATERIALIZED (SELECT book_id, st FROM starts WHERE st IS NOT NULL)
+SELECT c.book_id, (SELECT count(*) FROM fin WHERE fin.book_id = c.book_id AND fin.st <= c.i)::INT - 1 AS segment_index, count(*) AS blocks, sum(c.w)::BIGINT AS words FROM c GROUP BY ALL"""
+
+
+@query(_CUTS)
+def block_segments(spark, d):
+    """The stored blocks of each book cut into segments: blocks and words of each.  A block over the limit counts as one of the limit."""
+    b = table(spark, d, "text_blocks").groupBy("book_id", "block_no").agg(F.min_by("text", "block_id").alias("text"), F.min_by("boundary_before", "block_id").alias("mark"))
+    place = F.row_number().over(Window.partitionBy("book_id").orderBy("block_no")) - 1
+    b = cut(b.select("book_id", place.alias("block_no"), F.least(F.lit(1400), T.word_count(F.col("text"), T.IMPORT_WORD)).alias("words"), F.coalesce("mark", F.lit("paragraph")).alias("boundary_before")))
+    return b.join(SG.assign_segments(b, 600, 1000, 1400), ["book_id", "block_no"]).groupBy("book_id", "segment_index").agg(F.count("*").alias("blocks"), F.sum("words").cast("long").alias("words"))
+
+
 @query(rf"""WITH p AS (SELECT section_id, unnest(l) AS part, generate_subscripts(l, 1) AS i FROM (SELECT section_id, string_split(regexp_replace(coalesce(content, ''), '(\n{T.WS}*\n)', '\1' || chr(2), 'g'), chr(2)) AS l FROM book_sections)),
   q AS (SELECT *, coalesce(sum(length(part)) OVER (PARTITION BY section_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base, length(part) - length(regexp_replace(part, '^{T.WS}+', '')) AS lead, length(regexp_replace(regexp_replace(part, '^{T.WS}+', ''), '{T.WS}+$', '')) AS size FROM p)
 SELECT section_id, (row_number() OVER (PARTITION BY section_id ORDER BY i) - 1)::INT AS par, (base + lead)::INT AS start, (base + lead + size)::INT AS "end" FROM q WHERE size > 0""")

@@ -149,10 +149,11 @@ def sentence_histogram(spark, d):
   a AS (SELECT unit_id, count(*) AS n, sum(y) AS syl, count(*) FILTER (k > 6) AS lw, count(*) FILTER (k >= 6) AS six, count(*) FILTER (y >= 3) AS multi, count(*) FILTER (y = 1) AS mono FROM k GROUP BY unit_id),
   s AS (SELECT unit_id, count(*) AS s FROM sent GROUP BY unit_id)
 SELECT unit_id, round(n / s + 100.0 * lw / n, 6) AS lix, round(lw / s, 6) AS rix, round(180 - n / s - 58.5 * syl / n, 6) AS "fleschDe", round(206.835 - 1.015 * n / s - 84.6 * syl / n, 6) AS "fleschEn",
-  round(0.39 * n / s + 11.8 * syl / n - 15.59, 6) AS "fkGrade", round(0.1935 * 100 * multi / n + 0.1672 * n / s + 0.1297 * 100 * six / n - 0.0327 * 100 * mono / n - 0.875, 6) AS wiener FROM a JOIN s USING (unit_id)""")
+  round(0.39 * n / s + 11.8 * syl / n - 15.59, 6) AS "fkGrade", round(0.1935 * 100 * multi / n + 0.1672 * n / s + 0.1297 * 100 * six / n - 0.0327 * 100 * mono / n - 0.875, 8) AS wiener FROM a JOIN s USING (unit_id)""")
 def readability_all(spark, d):
     u = docs(spark, d)
-    return r6(M.readability(M.vocabulary(M.frequencies(M.tokens(u))), M.rhythm(M.sentence_rows(u))))
+    x = M.readability(M.vocabulary(M.frequencies(M.tokens(u))), M.rhythm(M.sentence_rows(u)))
+    return r6(x.withColumn("wiener", F.round("wiener", 8)), "wiener")
 
 
 def _again(cte: str, key: str, name: str) -> str:
