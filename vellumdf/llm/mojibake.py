@@ -306,6 +306,8 @@ def _utf8_at(text: str, at: int, codec: str, sure: bool = False) -> tuple[int, s
         return None  # letters of one alphabet side by side are no evidence alone
     if codec in ("cp1256", "koi8-r") and len(good) == 1 and not sure:
         return None  # an Arabic letter before a comma, a Cyrillic one before the frame of a table
+    if codec == "koi8-r" and not any(map(_frame, stored)):
+        return None  # Cyrillic letters with blanks that do not break
     if codec in ("cp1257", "iso8859-2", "cp1256") and inside and any(c.isalpha() and c > "Ͱ" for c in good):
         return None  # a letter of another script within a Latin word
     if len(good) == 1 and n > 2 and stored > "Ͱ" and _letters(stored) and good not in PRINT_SIGNS:
