@@ -62,6 +62,7 @@ LONGEST = 2
 TWINS = frozenset(CYRILLIC[0])
 
 
+@functools.cache
 def _table(codec: str) -> list[str | None]:
     """Character of every byte; bytes a Windows code page leaves open read as C1 controls."""
     out: list[str | None] = []
@@ -135,11 +136,10 @@ def _script_sequences() -> Iterator[tuple[str, str, str]]:
     """Every two letters of a script: both small, or the first a capital, or both capitals."""
     for (read, written), script in SCRIPTS:
         g = _garbled(read, written, script.letters)
-        for a in g:
-            for b in g:
-                if script.cased and a.islower() and b.isupper():
-                    continue
-                yield g[a] + g[b], read, written
+        small = [x for c, x in g.items() if not c.isupper()]
+        for c, x in g.items():
+            for y in small if script.cased and c.islower() else g.values():
+                yield x + y, read, written
 
 
 def _reread_sequences() -> Iterator[tuple[str, str, str]]:
@@ -159,15 +159,16 @@ def _latin_sequences() -> Iterator[tuple[str, str, str]]:
     """An accented letter that prints as something no Latin word holds, with the letter before or behind it."""
     for read, written in LATIN_PAIRS:
         letters, signs = _garbled(read, written, COMMON_ACCENTED), _garbled(read, written, PRINT_SIGNS)
+        marks = {q for q in signs.values() if not q.isalpha()}
+        odd_marks = {q for q in marks if _odd_inside(q)}
         for g in {*letters.values(), *signs.values()}:
             if _odd_inside(g):
                 for c in string.ascii_letters + "-’'":
                     yield c + g, read, written
                     yield g + c, read, written
             # behind a garbled quotation mark
-            for q in signs.values():
-                if not q.isalpha() and (_odd_inside(g) or _odd_inside(q)):
-                    yield q + g, read, written
+            for q in marks if _odd_inside(g) else odd_marks:
+                yield q + g, read, written
 
 
 def _double_sequences() -> Iterator[tuple[str, str, str]]:
