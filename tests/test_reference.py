@@ -1,14 +1,17 @@
+import datetime
+import hashlib
 import json
 
 import numpy as np
 import pytest
-from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
+from vellumdf.functions.display import german_number, intensity, run_id
 from vellumdf.operators import reference as R
 from vellumdf.operators import segmentation as SG
 from vellumdf.operators import taxonomy as X
 from vellumdf.operators import vectors as V
-from vellumdf.sources import exports
+from vellumdf.sources import downloads, exports
 
 SPECS = [X.Feature("CAT", "categorical", ("a", "b")), X.Feature("MUL", "multi_select", ("x one", "y")), X.Feature("ORD", "ordinal", ("low", "medium", "high")), X.Feature("SCL", "scale", ("1 (least)", "2", "3"))]
 WIDE = "id long, CAT string, MUL string, ORD string, SCL double, source string"
@@ -145,7 +148,7 @@ def test_files_of_a_library(spark, tmp_path):
     exports.write_plain_csv(df, str(tmp_path / "c"))
     assert [tuple(r) for r in spark.read.csv(str(tmp_path / "c"), header=True, schema=df.schema, escape="\\").collect()] == [tuple(df.first())]
     exports.write_jsonl(df, str(tmp_path / "j"))
-    line = next((tmp_path / "j").glob("part-*")).read_text().splitlines()[0]
+    line = "".join(f.read_text() for f in (tmp_path / "j").glob("part-*")).splitlines()[0]
     assert json.loads(line) == {"a": 1, "b": None, "c": 'é,"x"'}
     (tmp_path / "s.yaml").write_text("min_words: 100\n")
     pytest.importorskip("yaml")
@@ -230,3 +233,22 @@ def test_percentiles_in_many_ranges(spark, monkeypatch):
     got = V.percentiles(spark.createDataFrame([(i, float(v)) for i, v in enumerate(q)], "id int, value double"), spark.createDataFrame([(float(v),) for v in r], "value double"))
     for x in got.collect():
         assert x.right == pytest.approx((r <= x.value).mean()) and x.left == pytest.approx((r < x.value).mean())
+
+
+def test_locked_downloads(tmp_path):
+    (tmp_path / "a").write_bytes(b"content")
+    good = hashlib.sha256(b"content").hexdigest()
+    url = (tmp_path / "a").as_uri()
+    out = downloads.fetch_locked(url, str(tmp_path / "d" / "b"), good)
+    assert out.read_bytes() == b"content" and downloads.fetch_locked("file:///gone", str(out), good) == out
+    for bad in ((url, "0" * 64, 1 << 20), (url, good, 3), ("ftp://x/y", good, 9)):
+        with pytest.raises(ValueError):
+            downloads.fetch_locked(bad[0], str(tmp_path / "d" / "c"), bad[1], bad[2])
+    assert sorted(p.name for p in (tmp_path / "d").iterdir()) == ["b"]
+
+
+def test_display(spark):
+    df = spark.createDataFrame([(1234567.891, 0.0, 10.0), (-0.5, 1.0, 1.0), (None, 0.0, 1.0)], "v double, lo double, hi double")
+    got = [tuple(r) for r in df.select(german_number("v"), intensity(F.col("v"), F.col("lo"), F.col("hi"))).collect()]
+    assert got == [("1.234.567,89", 1.0), ("-0,50", 0.5), (None, None)]
+    assert run_id(datetime.datetime(2026, 1, 2, 3, 4, 5, tzinfo=datetime.UTC)) == "20260102T030405Z"

@@ -42,9 +42,16 @@ def blocks(sections: DataFrame, max_words: int) -> DataFrame:
     # only a paragraph over the limit is taken apart
     pieces = F.when(n > max_words, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / max_words).cast("int")), lambda i: F.array_join(F.slice(units, i * max_words + 1, max_words), ""))).otherwise(F.array("text"))
     cut = marked.select("book_id", "chapter_index", "chapter_title", "par", "boundary", F.posexplode(pieces).alias("piece", "t"))
-    book = Window.partitionBy("book_id").orderBy("chapter_index", "par", "piece")
+    # numbers within a chapter, and the blocks of the chapters before it: no task sorts the texts of a whole book
+    inner = F.row_number().over(Window.partitionBy("book_id", "chapter_index").orderBy("par", "piece"))
+    sizes = cut.groupBy("book_id", "chapter_index").agg(F.count("*").alias("own"))
+    before = F.coalesce(F.sum("own").over(Window.partitionBy("book_id").orderBy("chapter_index").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = sizes.select(F.col("book_id").alias("b"), F.col("chapter_index").alias("c"), before.alias("base"))
     text = F.regexp_replace("t", rf"{T.WS}+\z", "")
-    return cut.select("book_id", "chapter_index", "chapter_title", (F.row_number().over(book) - 1).alias("block_no"), text.alias("text"), T.word_count(text, T.IMPORT_WORD).alias("words"), F.when(F.col("piece") > 0, "forced").otherwise(F.col("boundary")).alias("boundary_before"))
+    numbered = cut.withColumn("no", inner).join(base, F.col("book_id").eqNullSafe(F.col("b")) & F.col("chapter_index").eqNullSafe(F.col("c")))
+    return numbered.select(
+        "book_id", "chapter_index", "chapter_title", (F.col("base") + F.col("no") - 1).cast("int").alias("block_no"), text.alias("text"), T.word_count(text, T.IMPORT_WORD).alias("words"), F.when(F.col("piece") > 0, "forced").otherwise(F.col("boundary")).alias("boundary_before")
+    )
 
 
 class _Cutter:
@@ -174,12 +181,22 @@ def _word_places(df: DataFrame, book: str, order: str, text: str) -> DataFrame:
     return w.select("book_id", "base", F.posexplode("w").alias("i", "word")).select("book_id", (F.col("base") + F.col("i")).alias("place"), "word")
 
 
-def lost_words(sections: DataFrame, segs: DataFrame) -> DataFrame:
-    """book_id, place, expected, actual: words at which sections and segments differ; empty if nothing is lost."""
-    # scene marks hold no words, so all content counts
+def _compared(sections: DataFrame, segs: DataFrame) -> DataFrame:
+    """book_id, place, expected, actual of every word of both sides.  Scene marks hold no words, so all content counts."""
     a = _word_places(sections.where(F.col("content").isNotNull()), "book_id", "chapter_index", "content").withColumnRenamed("word", "expected")
     b = _word_places(segs, "book_id", "segment_index", "text").withColumnRenamed("word", "actual")
-    return a.join(b, ["book_id", "place"], "full").where(~F.col("expected").eqNullSafe(F.col("actual")))
+    return a.join(b, ["book_id", "place"], "full")
+
+
+def lost_words(sections: DataFrame, segs: DataFrame) -> DataFrame:
+    """book_id, place, expected, actual: words at which sections and segments differ; empty if nothing is lost."""
+    return _compared(sections, segs).where(~F.col("expected").eqNullSafe(F.col("actual")))
+
+
+def loss_report(sections: DataFrame, segs: DataFrame) -> DataFrame:
+    """book_id, words, letters, lost: words compared place by place, the letters of those of the segments, and how many differ."""
+    differ = ~F.col("expected").eqNullSafe(F.col("actual"))
+    return _compared(sections, segs).groupBy("book_id").agg(F.count("*").alias("words"), F.sum(F.length("actual")).alias("letters"), F.count_if(differ).alias("lost"))
 
 
 def covering(segs: DataFrame, chapters: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..functions.display import german_number, intensity
 from ..functions.unicode import nfc
 from ..operators import library as Y
 from ..operators import reference as R
@@ -258,3 +259,14 @@ _TIDY = rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(r
 def normalized_texts(spark, d):
     """Composed, tidied texts."""
     return table(spark, d, "documents").select("doc_id", F.sha2(T.normalize_breaks(nfc("text")), 256).alias("sha"))
+
+
+# -- display ---------------------------------------------------------------------------
+@query("""WITH b AS (SELECT min(n_chars) AS lo, max(n_chars) AS hi FROM documents)
+SELECT doc_id, replace(replace(replace(format('{:,.1f}', n_chars / 7.0), ',', '#'), '.', ','), '#', '.') AS shown, round(CASE WHEN n_chars IS NOT NULL THEN (n_chars - lo) / (hi - lo) END, 6) AS intensity FROM documents, b""")
+def displayed_sizes(spark, d):
+    """Sizes in German form and on a scale between the smallest and the largest."""
+    x = table(spark, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("v"))
+    bounds = x.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))  # one row
+    j = x.join(F.broadcast(bounds))
+    return r6(j.select("doc_id", german_number(F.col("v") / 7, 1).alias("shown"), intensity(F.col("v"), F.col("lo"), F.col("hi")).alias("intensity")))
