@@ -94,6 +94,25 @@ def _solid_end(text: str, at: int) -> int:
     return at
 
 
+def learn_abbreviations(texts: list[str], least: int = 3, share: float = 0.2) -> list[str]:
+    """Words of several letters whose point is followed by a small letter ``least`` times and in a ``share`` of all its places: abbreviations, whether they are listed or not."""
+    seen: dict[str, int] = {}
+    small: dict[str, int] = {}
+    for t in texts:
+        for m in re.finditer(r"\.(?=\s)", t):
+            w = _token(t, m.start())[0].lower()
+            follow, _ = _following(t, m.end())
+            if len(w) > 1 and w.replace(".", "").isalpha() and follow != "E":
+                seen[w] = seen.get(w, 0) + 1
+                small[w] = small.get(w, 0) + (follow in "Ll")
+    return sorted(w for w, n in small.items() if n >= least and n >= share * seen[w])
+
+
+@functools.cache
+def _learned() -> frozenset[str]:
+    return frozenset(json.loads(MODEL.read_text()).get("abbreviations", ()))
+
+
 @functools.cache
 def _plain(words: frozenset[str]) -> frozenset[str]:
     return words | frozenset(map(skeleton, words))
@@ -126,6 +145,8 @@ def _word_class(text: str, end: int, following: str) -> str:
         return "leading"
     if cut in _plain(TRAILING):
         return "trailing"
+    if cut in _learned():
+        return "leading"
     if "." in cut[1:] or cut.endswith(("-à-d", "-à-d")):
         return "leading"
     if len(cut) > 1 and "-" in cut and all(len(x) <= 1 for x in cut.replace(".", "").split("-")):
@@ -309,7 +330,7 @@ def train(texts: list[str], epochs: int = 4, seed: int = 5) -> dict:
                     total[f] = total.get(f, 0.0) + v
                 trans_total += trans
     n = max(1, steps // 50)
-    return {"weights": {f: round(v / n, 4) for f, v in sorted(total.items()) if v}, "trans": (trans_total / n).round(4).tolist(), "texts": len(chains)}
+    return {"abbreviations": learn_abbreviations(texts), "weights": {f: round(v / n, 4) for f, v in sorted(total.items()) if v}, "trans": (trans_total / n).round(4).tolist(), "texts": len(chains)}
 
 
 def train_bare(texts: list[str]) -> dict:

@@ -30,7 +30,7 @@ def main(folder: str) -> None:
     prose = lambda texts: [t for t, junk in zip(texts, lines.not_prose(texts), strict=True) if not junk]
     model = sentences.train(prose(blocks))
     sentences.MODEL.write_text(json.dumps(model, ensure_ascii=False))
-    for cached in (sentences._model, sentences._score, sentences._bare_model):
+    for cached in (sentences._model, sentences._score, sentences._bare_model, sentences._learned):
         cached.cache_clear()
     # scripts without blanks are rare: a sample of their own
     unspaced = spark.read.parquet(f"{folder}/text_blocks.parquet").where(F.col("text").rlike("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]")).orderBy(F.xxhash64("block_id")).limit(SAMPLE)
