@@ -226,14 +226,15 @@ _CUTS = f"""WITH RECURSIVE t AS MATERIALIZED (SELECT book_id, row_number() OVER
   v AS MATERIALIZED (SELECT *, CASE kind WHEN 'chapter' THEN 300.0 WHEN 'scene' THEN 100.0 WHEN 'forced' THEN -100.0 ELSE 0.0 END AS bonus FROM e),
   opt AS MATERIALIZED (SELECT a.book_id, a.i AS st, arg_min(v.e, (abs(v.cum - a.cum - 1000) - v.bonus, abs(v.cum - a.cum - 1000), v.e)) AS k FROM c a JOIN v ON v.book_id = a.book_id AND v.e > a.i AND v.cum - a.cum BETWEEN 600 AND 1400 GROUP BY ALL),
   walk AS (SELECT book_id, 0::BIGINT AS st FROM n UNION ALL SELECT o.book_id, o.k FROM walk JOIN opt o ON o.book_id = walk.book_id AND o.st = walk.st JOIN n ON n.book_id = o.book_id WHERE o.k < n.n),
-  seg AS MATERIALIZED (SELECT walk.book_id, st AS a, coalesce(lead(st) OVER own, n) AS b, row_number() OVER own AS s, count(*) OVER (PARTITION BY walk.book_id) AS segs FROM walk JOIN n ON n.book_id = walk.book_id WINDOW own AS (PARTITION BY walk.book_id ORDER BY st)),
+  seg AS MATERIALIZED (SELECT walk.book_id, st AS m, c.cum AS cm, coalesce(lead(st) OVER own, n.n) AS b, coalesce(lead(c.cum) OVER own, n.total) AS cb, lag(st) OVER own AS a, lag(c.cum) OVER own AS ca, lead(st) OVER own IS NULL AS final
+    FROM walk JOIN n ON n.book_id = walk.book_id JOIN c ON c.book_id = walk.book_id AND c.i = walk.st WINDOW own AS (PARTITION BY walk.book_id ORDER BY st)),
   pos AS MATERIALIZED (SELECT book_id, e, cum, bonus FROM v UNION ALL SELECT book_id, 0, 0, 0.0 FROM n),
-  last AS (SELECT z.book_id, y.a, z.a AS m, z.b, pa.cum AS ca, pm.cum AS cm, pb.cum AS cb FROM seg y JOIN seg z ON z.book_id = y.book_id AND z.s = z.segs AND y.s = z.s - 1
-    JOIN pos pa ON pa.book_id = y.book_id AND pa.e = y.a JOIN pos pm ON pm.book_id = y.book_id AND pm.e = z.a JOIN pos pb ON pb.book_id = y.book_id AND pb.e = z.b WHERE pb.cum - pm.cum < 600),
+  last AS MATERIALIZED (SELECT * FROM seg WHERE final AND a IS NOT NULL AND cb - cm < 600),
   mend AS (SELECT l.book_id, l.m, CASE WHEN l.cb - l.ca <= 1400 THEN -1 ELSE (SELECT arg_min(p.e, (abs(p.cum - l.ca - 1000) + abs(l.cb - p.cum - 1000) - p.bonus, abs(p.cum - l.ca - (l.cb - p.cum)), p.e)) FROM pos p WHERE p.book_id = l.book_id AND p.e > l.a AND p.e < l.b AND p.cum - l.ca BETWEEN 600 AND 1400 AND l.cb - p.cum BETWEEN 600 AND 1400) END AS k FROM last l),
   starts AS (SELECT w.book_id, coalesce(nullif(CASE WHEN mend.m IS NULL THEN w.st WHEN mend.k IS NULL THEN w.st ELSE mend.k END, -1), NULL) AS st FROM walk w LEFT JOIN mend ON mend.book_id = w.book_id AND mend.m = w.st),
   fin AS MATERIALIZED (SELECT book_id, st FROM starts WHERE st IS NOT NULL)
-SELECT c.book_id, (SELECT count(*) FROM fin WHERE fin.book_id = c.book_id AND fin.st <= c.i)::INT - 1 AS segment_index, count(*) AS blocks, sum(c.w)::BIGINT AS words FROM c GROUP BY ALL"""
+SELECT book_id, segment_index, count(*) AS blocks, sum(w)::BIGINT AS words FROM (
+  SELECT c.book_id, c.w, (sum((fin.st IS NOT NULL)::INT) OVER (PARTITION BY c.book_id ORDER BY c.i) - 1)::INT AS segment_index FROM c LEFT JOIN fin ON fin.book_id = c.book_id AND fin.st = c.i) GROUP BY ALL"""
 
 
 @query(_CUTS)
