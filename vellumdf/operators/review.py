@@ -14,13 +14,13 @@ from ..functions import text as T
 from . import metrics as M
 from .comparison import window_starts
 
-#: Least distance from the band at which a value is an exception.
+# Least distance from the band at which a value is an exception.
 MINIMUM = {"sentenceMean": 3.0, "mattr": 5.0, "nearRepeat": 2.0}
-#: Words from which a unit is judged and counts as a peer.
+# Fixed value: words from which a unit is judged and counts as a peer.
 LEAST_WORDS = 300
 # What is to be looked at first, and the group it belongs to.
 PRIORITIES = (("paragraphRepeat", "repetition"), ("sentenceRepeat", "repetition"), ("longSentences", "flow"), ("commaChains", "flow"), ("nearRepeat", "wording"), ("fillers", "wording"))
-#: Metrics that depend on the length of a text, and those that need the paragraphs of the original.
+# Metrics that depend on the length of a text, and those that need the paragraphs of the original.
 LENGTH_DEPENDENT = ("entropy", "hapax", "topWords", "trigramRepeat", "sentenceRepeat", "startRepeat", "paragraphRepeat")
 STRUCTURAL = ("paragraphMean", "paragraphCV", "paragraphRepeat", "cohesion", "shifts")
 
