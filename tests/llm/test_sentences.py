@@ -85,3 +85,66 @@ def test_abbreviations_are_learned_from_what_follows(monkeypatch):
     assert len(spans([t])[0]) == 3
     monkeypatch.setattr(sentences, "_learned", lambda: frozenset(["hptm"]))
     assert [t[a:b] for a, b in spans([t])[0]] == ["Da stand Hptm. Bell am Tor.", "Er schwieg."]
+
+
+def cut(t):
+    return [t[a:b] for a, b in spans([t])[0]]
+
+
+@pytest.mark.parametrize("word", ["pág", "pág", "Págs", "núm", "tél"])
+def test_abbreviations_with_accents_stand_before_figures(word):
+    assert cut(f"Navilond (véase {word}. 14) cruzó el palacio. Se fue.") == [f"Navilond (véase {word}. 14) cruzó el palacio.", "Se fue."]
+
+
+def test_closing_mark_behind_a_line_break():
+    assert cut("« Puis il vit\nle loup ?\n» cria-t-elle. « Non !\n» Il partit.") == ["« Puis il vit\nle loup ?\n» cria-t-elle.", "« Non !\n»", "Il partit."]
+    assert cut("Er ging.\n»Komm!« Sie lief.") == ["Er ging.", "»Komm!«", "Sie lief."]
+
+
+def test_attributions_of_any_length_and_with_invisible_characters():
+    for said in ("Gri\xadkar re\u200bplied", "Maria von der Leyen said", "Dr. J. R. Bell Stone of the Hill said", "Kazur gritó"):
+        assert cut(f"“Stop!” {said}. He ran.") == [f"“Stop!” {said}.", "He ran."]
+    assert cut("“Stop!” He ran home, and Marta said. “Yes.”")[0] == "“Stop!”"
+    assert cut("“STOP!” THE DOG RAN AND MARTA SAID. NO.")[0] == "“STOP!”"
+    assert cut("«СТОЙ!» КАМИР СКАЗАЛ. ОН УШЁЛ.") == ["«СТОЙ!» КАМИР СКАЗАЛ.", "ОН УШЁЛ."]
+    assert cut("“走吗？”她\xad说。雨。") == ["“走吗？”她\xad说。", "雨。"]
+    name = "守塔人的年轻的抄写员的弟弟"
+    assert cut(f"“走吗？”{name}说。雨。") == [f"“走吗？”{name}说。", "雨。"]
+    assert cut("“走吗？”守塔人在雨里读完了一本小说。雨。") == ["“走吗？”", "守塔人在雨里读完了一本小说。", "雨。"]
+
+
+def test_junior_in_capitals():
+    assert cut("SASTOS JR. OF NO. 7 RAN. HE FELL.") == ["SASTOS JR. OF NO. 7 RAN.", "HE FELL."]
+
+
+def test_paragraphs_without_punctuation():
+    own = "その朝灯台守だけが青い箱を海へ投げた 三日後彼女は青い箱を海へ投げた 古い船も石の橋を見つけた 昨日若い写字生だけが時計を運んでいた 夜になると小さな店は庭の鍵を運んでいた".split()
+    bare_text = "".join(own)
+    assert cut(f"{bare_text}\n\n{bare_text}") == own * 2
+    assert cut(f"猫は寝た。雨。\n\n{bare_text}") == ["猫は寝た。", "雨。", *own]
+    wrapped = bare_text[:30] + "\n" + bare_text[30:]
+    assert [s.replace("\n", "") for s in cut(wrapped)] == own
+
+
+def test_sentences_of_all_sections(spark, tmp_path):
+    from vellumdf.llm.queries import p5_sentences
+
+    rows = [(1, "One here. Two there."), (2, "- a \n- b \n- c \n- d "), (3, "== ++ == ++ == ++ =="), (4, None), (5, " ")]
+    spark.createDataFrame(rows, "section_id long, content string").write.parquet(f"{tmp_path}/book_sections.parquet")
+    got = p5_sentences(spark, str(tmp_path)).collect()
+    for key, text in rows:
+        covered = [i for r in got if r.section_id == key for i in range(r.sent_start, r.sent_end)]
+        assert len(covered) == len(set(covered))
+        assert {i for i, c in enumerate(text or "") if not c.isspace()} <= set(covered)
+
+
+def test_prose_whose_commas_fall_into_one_wrapped_line(spark):
+    prose = [
+        "Le n° 12, à env. 3,5 km, tandis que le tiroir que l’on\nporta sous le champ chercha le rêve.",
+        "Por la noche el pozo vio el clavo suave, y Mortribel, p. ej. el menor,\r\neste techo bajo el tambor vio un tambor.",
+        "A Viorkam, e.g. a spare one, so by noon he hid the kind road, when\nthis quiet barrel surrendered the boy on the nephew.",
+    ]
+    lists = ["Hof, Eimer, Schlüssel, Eimer, Turm,\nKessel, Wagen, Brief, Zaun, Bach,\nkessel, wagen, brief, zaun", "- kettle \n- neighborhood \n- afternoon \n- widow \n- box"]
+    df = spark.createDataFrame(list(enumerate(prose + lists)), "block_id long, text string")
+    got = sorted(map(tuple, sentence_units.sentence_spans(df, "block_id", "text").collect()))
+    assert got == [(i, 0, len(t)) for i, t in enumerate(prose)]

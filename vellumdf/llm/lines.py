@@ -247,6 +247,11 @@ class Lines:
         self.counts = counts[real]
         self.words = words[real]
         self.first, self.last, self.inner = a[first[real]], a[last[real]], a[inner[real]]
+        # lines that only one line break parts from the line before
+        self.next_line = np.zeros(len(self.unit), bool)
+        gap = self.start[1:] - self.end[:-1]
+        windows = (a[self.end[:-1]] == 13) & (a[np.minimum(self.end[:-1] + 1, max(len(a) - 1, 0))] == 10)
+        self.next_line[1:] = (self.unit[1:] == self.unit[:-1]) & ((gap == 1) | (gap == 2) & windows)
         self.unit_start = np.concatenate(([0], zero[:-1] + 1)) if len(zero) else zero
         self.unit_chars = zero - self.unit_start
 
@@ -394,7 +399,24 @@ def decode(lines: Lines) -> np.ndarray:
         score += e[:, bins[:, j]].T
     starts = np.searchsorted(lines.unit, np.arange(lines.n_units))
     lengths = np.searchsorted(lines.unit, np.arange(lines.n_units), side="right") - starts
-    return KIND_OF[viterbi(score, starts, lengths, trans, init)]
+    kind = KIND_OF[viterbi(score, starts, lengths, trans, init)]
+    kind[(kind == 1) & wrapped(lines, kind == 0)] = 0
+    return kind
+
+
+def wrapped(lines: Lines, prose: np.ndarray) -> np.ndarray:
+    """Lines with several words a comma that share a sentence with a line of prose across a hard line break.
+
+    The commas of a sentence can fall into one of its lines, which looks like a list of words by itself.
+    """
+    cls = _classes()[np.minimum(lines.first, 0x10000)]
+    last = lines.last_kind()
+    runs_on = np.zeros(len(prose), bool)  # from the line before
+    runs_on[1:] = lines.next_line[1:] & np.isin(cls[1:], (VOWEL, CONSONANT)) & ((last[:-1] == 1) | (lines.last[:-1] == 44))
+    beside = np.zeros(len(prose), bool)
+    beside[1:] |= runs_on[1:] & prose[:-1]
+    beside[:-1] |= runs_on[1:] & prose[1:]
+    return beside & (lines.words >= 3 * lines.counts[:, COMMA])
 
 
 def kind_chars(texts: list[str | None]) -> tuple[np.ndarray, Lines, np.ndarray]:

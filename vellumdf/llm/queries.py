@@ -61,8 +61,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_sentences(spark: SparkSession, d: str) -> DataFrame:
-    """Sentences of the section contents, with their text."""
-    return sentence_units.sentence_texts(table(spark, d, "book_sections"), "section_id", "content")
+    """Sentences of all section contents, also of lists, tables and junk, with their text."""
+    return sentence_units.sentence_texts(table(spark, d, "book_sections"), "section_id", "content", prose_only=False)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
